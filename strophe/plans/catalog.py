@@ -6,7 +6,7 @@ import importlib
 
 from strophe.plans import registry
 
-MODULES = ("q_detection",)
+MODULES = ("q_detection", "q_text", "q_audits")
 
 for _name in MODULES:
     importlib.import_module(f"strophe.plans.{_name}")
