@@ -141,6 +141,11 @@ def grid_select(scores: DataFrame, by: Sequence[str], metric: str, ties: Sequenc
     return scores.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*by, "_b.*")
 
 
+def _log_sum(scores: str, temperature: float) -> Column:
+    add = lambda acc, v: acc + F.exp((v - F.col("_mx")) / temperature)
+    return F.log(F.aggregate(scores, F.lit(0.0), add))
+
+
 def temperature_select(df: DataFrame, by: Sequence[str], scores: str, gold: str, weight: str,
                        grid: Sequence[float] = (0.5, 0.75, 1.0, 1.5, 2.0)) -> DataFrame:
     """Temperature with the lowest weighted negative log probability of the gold candidate.
@@ -151,7 +156,7 @@ def temperature_select(df: DataFrame, by: Sequence[str], scores: str, gold: str,
     work = df.withColumn("_mx", F.array_max(scores)).withColumn("_g", F.element_at(scores, F.col(gold)))
     aggs = []
     for i, t in enumerate(grid):
-        lse = F.log(F.aggregate(scores, F.lit(0.0), lambda a, v, t=t: a + F.exp((v - F.col("_mx")) / t)))
+        lse = _log_sum(scores, float(t))
         nll = lse - (F.col("_g") - F.col("_mx")) / t
         aggs.append((F.sum(F.col(weight) * nll) / F.sum(weight)).alias(f"_t{i}"))
     wide = work.groupBy(*by).agg(*aggs)

@@ -129,3 +129,51 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED_SQL = SCORED_ALL_SQL + """,
 scored AS (SELECT * FROM scored_all WHERE quality IS NULL AND diagnostic AND stable_error)"""
+
+
+# --- positions over the 39-phone inventory -------------------------------------------------
+
+def phone_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tokens`` with phone symbols; a few phones are common, one is rare, many never occur."""
+    from strophe.functions.inventory import phone_name
+
+    t = tokens(spark, sf_dir)
+    pid = F.when(F.col("key") % 1009 == 0, 39).otherwise((F.col("key") * F.col("key")) % 39 + 1).cast("int")
+    t = t.withColumn("pid", pid).withColumn("rid", ((F.col("pid") + F.col("k") % 5) % 39 + 1).cast("int"))
+    return t.withColumns({
+        "target": phone_name(F.col("pid")),
+        "realized": F.when(F.col("gold_event") == "match", phone_name(F.col("pid")))
+        .when(F.col("gold_event") == "substitution", phone_name(F.col("rid"))),
+    })
+
+
+PHONES_SQL = ("['AA','AE','AH','AO','AW','AY','B','CH','D','DH','EH','ER','EY','F','G','HH','IH','IY','JH','K','L','M','N','NG',"
+              "'OW','OY','P','R','S','SH','T','TH','UH','UW','V','W','Y','Z','ZH']")
+PTOK_SQL = TOKENS_SQL + f""",
+ptok0 AS (SELECT * EXCLUDE (target, realized), {PHONES_SQL} AS nm,
+  CASE WHEN key % 1009 = 0 THEN 39 ELSE (key * key) % 39 + 1 END AS pid FROM tokens),
+ptok AS (SELECT *, nm[pid] AS target, (pid + k % 5) % 39 + 1 AS rid,
+  CASE gold_event WHEN 'match' THEN nm[pid] WHEN 'substitution' THEN nm[(pid + k % 5) % 39 + 1] END AS realized FROM ptok0),
+conf AS (SELECT grp, cohort, target AS source, CASE gold_event WHEN 'match' THEN 'OK' WHEN 'substitution' THEN 'SUB' ELSE 'DEL' END op,
+  CASE gold_event WHEN 'deletion' THEN '<DEL>' ELSE realized END alternative, count(*) n FROM ptok
+  WHERE quality IS NULL AND diagnostic AND stable_event GROUP BY ALL),
+phones AS (SELECT unnest({PHONES_SQL}) AS phone)"""
+
+
+# --- frames --------------------------------------------------------------------------------
+
+N_CLASSES = 10
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame table from the embeddings: ten frames per event, class 0 is the blank."""
+    e = table(spark, sf_dir, "embeddings")
+    logits = F.transform(F.slice("embedding", 1, N_CLASSES), lambda v: v.cast("double") * 10)
+    return e.select(F.expr("vec_id div 10").alias("event"), (F.col("vec_id") % 10).alias("frame"), "label", logits.alias("logits"))
+
+
+FRAMES_SQL = """
+fr AS (SELECT vec_id // 10 AS event, vec_id % 10 AS frame, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10) AS logits FROM embeddings),
+fl AS (SELECT event, frame, label, unnest(logits) AS v, unnest(generate_series(0, 9)) AS symbol FROM fr),
+fm AS (SELECT *, max(v) OVER (PARTITION BY event, frame) AS mx FROM fl),
+lp AS (SELECT event, frame, label, symbol, v - mx - ln(sum(exp(v - mx)) OVER (PARTITION BY event, frame)) AS logp FROM fm)"""
