@@ -71,18 +71,15 @@ def content_dedup(jobs: DataFrame, content: Sequence[str | Column]) -> tuple[Dat
 def ranked_candidates(cands: DataFrame, row: Sequence[str], prob: str = "prob", symbol: str = "candidate") -> DataFrame:
     """Top symbol, its probability, margin to the second (0 for a single one) and entropy per row.
 
-    A plain aggregate over the long table: the two best are kept with ``max_by``-style
-    structs, nothing is sorted and no list is collected beyond the two best.
+    One aggregate: a row holds at most one inventory of candidates, ordered (-p, symbol).
     """
-    key = F.struct((-F.col(prob)).alias("p"), F.col(symbol).alias("c"))
-    best = cands.groupBy(*row).agg(
-        F.min(key).alias("_b"), F.count(F.lit(1)).alias("n"),
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col(prob)).alias("p"), F.col(symbol).alias("c"))))
+    out = cands.groupBy(*row).agg(
+        F.slice(ranked, 1, 2).alias("_r"),
         (-F.sum(F.col(prob) * F.log(F.greatest(F.col(prob), F.lit(1e-300))))).alias("entropy"))
-    rest = cands.join(best.select(*row, F.col("_b.c").alias("_top")), list(row)).where(F.col(symbol) != F.col("_top"))
-    second = rest.groupBy(*row).agg(F.max(prob).alias("_p2"))
-    return best.join(second, list(row), "left").select(
-        *row, F.col("_b.c").alias("top"), (-F.col("_b.p")).alias("p_top"),
-        F.when(F.col("n") == 1, 0.0).otherwise(-F.col("_b.p") - F.col("_p2")).alias("margin"), "entropy")
+    first, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    return out.select(*row, first["c"].alias("top"), (-first["p"]).alias("p_top"),
+                      F.coalesce(second["p"] - first["p"], F.lit(0.0)).alias("margin"), "entropy")
 
 
 def agreed_set(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:

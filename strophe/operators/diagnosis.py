@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.scalars import count_if, harmonic_f1, ratio, ratio_or_zero
@@ -109,12 +109,13 @@ def rank_metrics(cands: DataFrame, by: Sequence[str], row: Sequence[str]) -> Dat
     """Top-1, top-3 and reciprocal rank of the realised symbol (stable substitutions).
 
     ``cands`` is long: one row per (row key, candidate) with ``prob`` and ``realized``.
-    The rank is a count of better candidates, a plain aggregate without any ordering.
+    A row holds at most one inventory; its rank is a count of better candidates.
     """
-    truth = cands.where(F.col("candidate") == F.col("realized")).select(
-        *row, F.col("prob").alias("_p"), F.col("candidate").alias("_c"))
-    better = (F.col("prob") > F.col("_p")) | ((F.col("prob") == F.col("_p")) & (F.col("candidate") < F.col("_c")))
-    rank = cands.join(truth, list(row)).groupBy(*dict.fromkeys([*by, *row])).agg((count_if(better) + 1).alias("rank"))
+    hit = F.col("candidate") == F.col("realized")
+    p = F.max(F.when(hit, F.col("prob"))).over(Window.partitionBy(*row))
+    rows = cands.withColumn("_p", p).where("_p IS NOT NULL")
+    better = (F.col("prob") > F.col("_p")) | ((F.col("prob") == F.col("_p")) & (F.col("candidate") < F.col("realized")))
+    rank = rows.groupBy(*dict.fromkeys([*by, *row])).agg((count_if(better) + 1).alias("rank"))
     return rank.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((F.col("rank") <= 1).cast("double")).alias("top1"),

@@ -6,7 +6,7 @@ import importlib
 
 from strophe.plans import registry
 
-MODULES = ("q_detection", "q_text", "q_audits", "q_priors")
+MODULES = ("q_detection", "q_text", "q_audits", "q_priors", "q_frames")
 
 for _name in MODULES:
     importlib.import_module(f"strophe.plans.{_name}")
