@@ -6,7 +6,7 @@ import importlib
 
 from strophe.plans import registry
 
-MODULES = ("q_detection", "q_text", "q_audits", "q_priors", "q_frames", "q_groups", "q_sequences", "q_models")
+MODULES = ("q_detection", "q_text", "q_audits", "q_priors", "q_frames", "q_groups", "q_sequences", "q_models", "q_io")
 
 for _name in MODULES:
     importlib.import_module(f"strophe.plans.{_name}")
