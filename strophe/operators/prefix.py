@@ -26,11 +26,13 @@ def running_totals(
     sums: Sequence[str],
     descending: bool = True,
     with_next: bool = False,
+    then: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive) and ``tot_<c>`` for every column in ``sums``.
 
-    ``cells`` must hold one row per (by, order): aggregate ties first. With ``with_next``
-    the values of the following cell are added as ``next_<c>`` (null at the end).
+    ``cells`` must hold one row per (by, order, then): aggregate ties first. ``then`` are
+    further ascending order columns. With ``with_next`` the values of the following cell are
+    added as ``next_<c>`` (null at the end).
     """
     by = list(by)
     code = order_code(F.col(order))
@@ -51,7 +53,7 @@ def running_totals(
         *[F.sum(f"_sum_{c}").over(whole).alias(f"tot_{c}") for c in sums],
         *([F.lead("_first").over(across).alias("_after")] if with_next else []),
     )
-    inside = Window.partitionBy(*by, _BUCKET).orderBy(rank.desc() if descending else rank.asc())
+    inside = Window.partitionBy(*by, _BUCKET).orderBy(rank.desc() if descending else rank.asc(), *then)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = cells.join(heads, [*by, _BUCKET])
     out = joined.select(
@@ -75,20 +77,15 @@ def ranks(
 ) -> DataFrame:
     """Rank 1..n inside ``by`` by score, ties broken by the ascending numeric ``key``.
 
-    Adds ``rank`` and ``tot_n`` (rows of the group). Two prefix passes: over distinct
-    scores, then over keys inside a tie, so neither a big group nor a big tie is sorted
-    in one task.
+    Adds ``rank`` and ``tot_n`` (rows of the group). Rows are counted per (score, key bucket),
+    so a tie of any size shrinks to a bounded number of cells; running totals over the cells
+    give the rank at which each cell starts, and rows are numbered inside their cell only.
     """
     by = list(by)
-    heads = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"))
-    heads = running_totals(heads, by, score, ["n"], descending).select(
-        *by, score, (F.col("cum_n") - F.col("n")).alias("_before"), "n", "tot_n"
-    )
-    tied = df.join(heads, [*by, score])
-    # Singleton ties need no ordering; only real ties go through the second pass.
-    single = tied.where("n = 1").withColumn(out, F.col("_before") + 1)
-    multi = tied.where("n > 1").withColumn("_one", F.lit(1))
-    multi = running_totals(multi, [*by, score], key, ["_one"], descending=False)
-    multi = multi.withColumn(out, F.col("_before") + F.col("cum__one"))
-    keep = [*df.columns, "tot_n", out]
-    return single.select(*keep).unionByName(multi.select(*keep))
+    rows = df.withColumn("_kb", order_code(F.col(key)))
+    cells = rows.groupBy(*by, score, "_kb").agg(F.count(F.lit(1)).alias("n"))
+    cells = running_totals(cells, by, score, ["n"], descending, then=["_kb"]).select(
+        *by, score, "_kb", (F.col("cum_n") - F.col("n")).alias("_before"), "tot_n")
+    inside = Window.partitionBy(*by, score, "_kb").orderBy(key)
+    joined = rows.join(cells, [*by, score, "_kb"])
+    return joined.select(*df.columns, "tot_n", (F.col("_before") + F.row_number().over(inside)).alias(out))

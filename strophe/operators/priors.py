@@ -277,44 +277,57 @@ def prior_arrays(op_table: DataFrame, sub_table: DataFrame, inventory: Sequence[
     return ops.join(subs, [*by, "source"])
 
 
-def _masked(q: Column, accepted: Column) -> Column:
-    """Distribution ``q`` (array by id) with accepted ids set to zero, not renormalised."""
-    return F.transform(q, lambda v, i: F.when(F.array_contains(accepted, (i + 1).cast("int")), F.lit(0.0)).otherwise(v))
-
-
 def _total(a: str) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _over_accepted(values: str) -> Column:
+    """Sum of an array (by symbol id) over the accepted ids: one or two look-ups, not a pass."""
+    return F.aggregate("accepted", F.lit(0.0), lambda acc, i: acc + F.element_at(values, i.cast("int")))
+
+
+def _where_open(value) -> Column:
+    """``value(mass, index)`` for symbols with mass that are not accepted, else zero."""
+    def cell(m: Column, i: Column) -> Column:
+        blocked = (m == 0) | F.array_contains("accepted", (i + 1).cast("int"))
+        return F.when(blocked, F.lit(0.0)).otherwise(value(m, i))
+
+    return F.transform("sub_parts", cell)
+
+
 def prior_replacement(evidence: DataFrame, priors: DataFrame, on: Sequence[str] = ("source",)) -> DataFrame:
     """Replace the generic prior inside position posteriors by the learned one.
 
     ``evidence`` has ``ok, del, sub_parts`` (array by id) and ``accepted`` (ids); adds
-    ``cf_ok, cf_del`` and ``cf_sub`` (array). Identity when learned equals generic.
+    ``cf_ok, cf_del`` and ``cf_sub`` (array). Accepted symbols get no substitution mass and the
+    learned distribution is renormalised without them. Identity when learned equals generic.
     """
     n = len(PHONES)
-    j = evidence.join(priors, list(on)).withColumn("_q", _masked(F.col("sub_p"), F.col("accepted")))
-    j = j.withColumn("_qs", _total("_q")).withColumn("_k", F.col("op_sub") / F.col("_qs") / (GENERIC_OPS["SUB"] / (n - F.size("accepted"))))
-    j = j.withColumn("_s", F.zip_with("sub_parts", "_q", lambda m, q: m * q * F.col("_k")))
+    j = evidence.join(priors, list(on))
+    left = 1.0 - _over_accepted("sub_p")
+    j = j.withColumn("_k", F.col("op_sub") / left / (GENERIC_OPS["SUB"] / (n - F.size("accepted"))))
+    j = j.withColumn("_s", _where_open(lambda m, i: m * F.get("sub_p", i) * F.col("_k")))
     j = j.withColumns({"_o": F.col("ok") * F.col("op_ok") / GENERIC_OPS["OK"], "_d": F.col("del") * F.col("op_del") / GENERIC_OPS["DEL"]})
     j = j.withColumn("_t", F.col("_o") + F.col("_d") + _total("_s"))
-    return j.withColumns({
-        "cf_ok": F.col("_o") / F.col("_t"), "cf_del": F.col("_d") / F.col("_t"),
-        "cf_sub": F.transform("_s", lambda v: v / F.col("_t"))}).drop("_q", "_qs", "_k", "_s", "_o", "_d", "_t")
+    scaled = F.transform("_s", lambda v: F.when(v == 0, v).otherwise(v / F.col("_t")))
+    return j.withColumns({"cf_ok": F.col("_o") / F.col("_t"), "cf_del": F.col("_d") / F.col("_t"), "cf_sub": scaled}).drop(
+        "_k", "_s", "_o", "_d", "_t")
 
 
 def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFrame, baselines: Sequence[str],
                      on: Sequence[str] = ("source",)) -> DataFrame:
-    """Nine compressed cues: four evidence scores, occurrence shift, identity support, three baselines."""
+    """Nine compressed cues: four evidence scores, occurrence shift, identity support, three baselines.
+
+    The identity support compares the mass under the reliability-tempered learned distribution
+    with the mass under the uniform one; both need only the open mass and its product with
+    the learned distribution.
+    """
     n = len(PHONES)
     j = evidence.join(priors, list(on)).join(reliability.select("source", "reliability"), "source")
-    j = j.withColumn("_q", _masked(F.col("sub_p"), F.col("accepted"))).withColumn("_qs", _total("_q"))
-    uniform = 1.0 / (n - F.size("accepted"))
-    flat = _masked(F.transform("sub_p", lambda v: F.lit(1.0)), F.col("accepted"))
-    j = j.withColumn("_u", F.transform(flat, lambda v: v * uniform))
-    tempered = F.zip_with("_q", "_u", lambda q, u: F.col("reliability") * q / F.col("_qs") + (1 - F.col("reliability")) * u)
-    dot = lambda a: F.aggregate(F.zip_with("sub_parts", a, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    j = j.withColumn("_t", tempered).withColumns({"_num": dot("_t"), "_den": dot("_u")})
+    j = j.withColumns({"_open": _where_open(lambda m, i: m), "_prod": _where_open(lambda m, i: m * F.get("sub_p", i))})
+    j = j.withColumns({"_m": _total("_open"), "_mq": _total("_prod"), "_left": 1.0 - _over_accepted("sub_p"), "_u": 1.0 / (n - F.size("accepted"))})
+    r = F.col("reliability")
+    j = j.withColumns({"_num": r * F.col("_mq") / F.col("_left") + (1 - r) * F.col("_u") * F.col("_m"), "_den": F.col("_m") * F.col("_u")})
     cues = {
         "x_score": -F.col("gop"), "x_best": -F.col("viterbi_gop"),
         "x_sub": log_ratio(F.col("sub"), F.col("ok")), "x_del": log_ratio(F.col("del"), F.col("ok")),
@@ -323,7 +336,7 @@ def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFr
         **{f"x_{b}": -F.col(b) for b in baselines},
     }
     j = j.withColumns({k: signed_log(v) for k, v in cues.items()})
-    return j.drop("_q", "_qs", "_u", "_t", "_num", "_den")
+    return j.drop("_open", "_prod", "_m", "_mq", "_left", "_u", "_num", "_den")
 
 
 def share(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:

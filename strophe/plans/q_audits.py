@@ -10,7 +10,7 @@ from strophe.operators import audits as au
 from strophe.operators import detection as det
 from strophe.operators import linking as lk
 from strophe.plans.q_detection import CURVE, GAPS_SQL, gap_labels
-from strophe.plans.q_text import WORDS
+from strophe.plans.q_text import WORDS, documents
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import METHODS, SCORED_ALL_SQL, SCORED_SQL, SYMBOLS, TOKENS_SQL, scored, table, tokens, with_methods
 
@@ -37,7 +37,7 @@ t AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents WHERE lang = 'en')
 SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE lex.word IS NULL) AS n_oov, CAST(coalesce(sum(length(lex.word)), 0) AS BIGINT) AS n_symbols,
  count(*) FILTER (WHERE lex.word IS NULL) = 0 AS diagnostic FROM t LEFT JOIN lex USING (word) GROUP BY doc_id""")
 def lexicon_lookup(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
+    words = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
     found = lk.lexicon_lookup(words, lexicon(spark, sf_dir))
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.count_if("oov").alias("n_oov"),
@@ -271,7 +271,7 @@ def exclusion_report(spark, sf_dir):
 u AS (SELECT upper(ch) sym, sum(n) n FROM c GROUP BY ALL), i AS (SELECT unnest(['AA','AE','AH','AO','AW','AY','B','CH','D','DH','EH','ER','EY','F','G','HH','IH','IY','JH','K','L','M','N','NG','OW','OY','P','R','S','SH','T','TH','UH','UW','V','W','Y','Z','ZH']) phone)
 SELECT phone, CAST(coalesce(n, 0) AS BIGINT) n FROM i LEFT JOIN u ON sym = phone""")
 def symbol_counts(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(tx.words(F.col("text"))).alias("word"))
+    w = documents(spark, sf_dir).where("lang = 'en'").select(F.explode(tx.words(F.col("text"))).alias("word"))
     # Distinct words first: letters are exploded once per word, weighted by its count.
     per = w.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     letters = per.select("c", F.explode(F.split(F.upper("word"), "")).alias("phone")).groupBy("phone").agg(F.sum("c").alias("n"))

@@ -10,6 +10,7 @@ from strophe.operators import priors as pr
 from strophe.plans.q_detection import GAPS_SQL, gap_labels
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import PTOK_SQL, SYMBOLS, phone_tokens
+from strophe.session import spread
 
 
 def conf(spark, sf_dir):
@@ -202,7 +203,7 @@ def prior_edge_table(spark, sf_dir):
 
 def evidence(spark, sf_dir):
     """Position posteriors: mass on the reference, on a deletion and on two other phones."""
-    t = phone_tokens(spark, sf_dir).where("diagnostic")
+    t = spread(phone_tokens(spark, sf_dir).where("diagnostic"))
     ok = 0.5 + (F.col("k") % 10) / 50.0
     t = t.withColumns({"ok": ok, "del": 0.05 + (F.col("key") % 5) / 100.0}).withColumn("sub", 1 - F.col("ok") - F.col("del"))
     s1, s2 = F.col("pid") % 39 + 1, (F.col("pid") + 6) % 39 + 1

@@ -10,7 +10,7 @@ from strophe.operators import alignment as al
 from strophe.operators import lattice as la
 from strophe.operators import lexicon as lx
 from strophe.plans.q_frames import matrices, targets
-from strophe.plans.q_text import WORDS
+from strophe.plans.q_text import WORDS, documents
 from strophe.plans.registry import query
 from strophe.plans.tables import SYMBOLS, phone_tokens, table, tokens
 
@@ -137,7 +137,7 @@ u AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS po
 c AS (SELECT *, lag(word) OVER d lw, lead(word) OVER d rw, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) e FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, count(*) n_words, CAST(sum(e - length(word)) AS BIGINT) start_sum, CAST(max(e) AS BIGINT) n_symbols, count(*) FILTER (WHERE lw = rw) same_neighbours, max(rw) FILTER (WHERE pos = 1) second_word FROM c GROUP BY doc_id""")
 def word_context(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
+    w = documents(spark, sf_dir).select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
     c = al.word_context(w, "doc_id", "pos", "word", F.length("word").cast("long"))
     return c.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.sum("start").alias("start_sum"), F.max("end").alias("n_symbols"),

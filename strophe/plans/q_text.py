@@ -9,6 +9,7 @@ from strophe.functions import texts as tx
 from strophe.operators import contracts as ct
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import SCORED_SQL, SYMBOLS, TOKENS_SQL, scored, table, tokens
+from strophe.session import spread
 
 SQL_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 SQL_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -16,9 +17,14 @@ NORM = f"trim(regexp_replace(coalesce(text, ''), '{SQL_SPACES}', ' ', 'g'))"
 WORDS = r"regexp_extract_all(lower(replace(text, '’', '''')), '[a-z0-9]+(?:[''.-][a-z0-9]+)*')"
 
 
+def documents(spark, sf_dir):
+    """Document texts, spread over the cores when they sit in one small file."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 @query("text_normalize", f"SELECT doc_id, {NORM} AS normalized, length({NORM}) AS n_chars FROM documents")
 def text_normalize(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
+    d = documents(spark, sf_dir).select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
     return d.withColumn("n_chars", F.length("normalized").cast("long"))
 
 
@@ -31,7 +37,7 @@ r AS (SELECT doc_id, CASE WHEN lower(t) IN ('', 'xxx', 'noise', 'silence') THEN
 SELECT doc_id, reason, reason IS NULL AS valid, count(*) AS n FROM r GROUP BY ALL""")
 def text_validate(spark, sf_dir):
     """Every line of every document, and every page address, as a candidate prompt."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     urls = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.col("url").alias("text"))
     out = lines.unionByName(urls).select("doc_id", tx.text_reason(F.col("text")).alias("reason"))
     return out.groupBy("doc_id", "reason", F.col("reason").isNull().alias("valid")).agg(F.count(F.lit(1)).alias("n"))
@@ -41,7 +47,7 @@ def text_validate(spark, sf_dir):
   list_sort(list_distinct(regexp_extract_all(text, '[^\x00-\x7f]'))) f FROM documents)
 SELECT doc_id, len(c) AS n_controls, len(f) AS n_foreign, array_to_string(f, ' ') AS offenders FROM a WHERE len(c) + len(f) > 0""")
 def text_char_audit(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(
+    d = documents(spark, sf_dir).select(
         "doc_id", tx.control_chars(F.col("text")).alias("c"), tx.non_ascii_chars(F.col("text")).alias("f"))
     return d.where(F.size("c") + F.size("f") > 0).select(
         "doc_id", F.size("c").cast("long").alias("n_controls"), F.size("f").cast("long").alias("n_foreign"),
@@ -63,7 +69,7 @@ u AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS po
 SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct, min(word) AS first_sorted, max(word) AS last_sorted,
   CAST(sum(pos * length(word)) AS BIGINT) AS position_weight FROM u GROUP BY doc_id""")
 def tokenize_words(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
+    w = documents(spark, sf_dir).select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
     return w.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.count_distinct("word").alias("n_distinct"), F.min("word").alias("first_sorted"),
         F.max("word").alias("last_sorted"), F.sum((F.col("pos") + 1) * F.length("word")).alias("position_weight"))
@@ -162,7 +168,7 @@ def leak_check(spark, sf_dir):
 
 def full_predictions(spark, sf_dir):
     """Prediction rows with a candidate map, and planted breaches of every kind of rule."""
-    t = tokens(spark, sf_dir)
+    t = spread(tokens(spark, sf_dir))
     names = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate([*SYMBOLS, inv.DELETE], 1)])
     t = t.withColumn("_w", F.transform(
         F.filter(names, lambda n: n["s"] != F.col("target")),

@@ -45,3 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Widen an input with fewer partitions than the session's parallelism before heavy row work.
+
+    A large table has far more splits than cores and passes through untouched; only a small
+    file that would keep one core busy is redistributed. (The partition count is read from
+    the plan; nothing runs.)
+    """
+    spark = df.sparkSession
+    target = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
