@@ -216,7 +216,7 @@ def gmm_density(train: DataFrame, test: DataFrame, symbol: str, vector: str, key
     mixture = GaussianMixture(k=components, maxIter=100, tol=1e-3, seed=seed)
     # Independent small fits: run a few at a time so that the cluster is not idle between them.
     with ThreadPool(parallelism) as pool:
-        fits = pool.map(inheritable_thread_target(lambda s: mixture.fit(sample.where(F.col(symbol) == s))), list(symbols))
+        fits = pool.map(inheritable_thread_target(sample.sparkSession)(lambda s: mixture.fit(sample.where(F.col(symbol) == s))), list(symbols))
     for s, gm in zip(symbols, fits):
         for weight, g in zip(gm.weights, gm.gaussians):
             cov = g.cov.toArray() if isinstance(g.cov, DenseMatrix) else np.asarray(g.cov.toArray())

@@ -79,13 +79,13 @@ def oof_scores(data: DataFrame, groups: Sequence[str], candidate: dict, group: s
         scored = fit_predictor(fit_rows, candidate, group=group)(data.where(F.col(group) == held))
         return scored.select("key", group, "gold_error", "score", F.lit(held).alias("held_out"))
 
-    return union_all(in_parallel(one, groups))
+    return union_all(in_parallel(data.sparkSession, one, groups))
 
 
-def in_parallel(job, items: Sequence, parallelism: int = 4) -> list:
+def in_parallel(spark: SparkSession, job, items: Sequence, parallelism: int = 4) -> list:
     """Independent fits a few at a time, as model tuning does; each one is a set of Spark jobs."""
     with ThreadPool(min(parallelism, len(items))) as pool:
-        return pool.map(inheritable_thread_target(job), list(items))
+        return pool.map(inheritable_thread_target(spark)(job), list(items))
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

@@ -165,7 +165,7 @@ def fold_run(spark, sf_dir):
         test, dev = groups[i], groups[(i + 1) % len(groups)]
         return fr.run_fold(data, [g for g in groups if g not in (test, dev)], dev, test)[0]
 
-    out = fr.union_all(fr.in_parallel(one, range(len(groups))))
+    out = fr.union_all(fr.in_parallel(spark, one, range(len(groups))))
     return out.withColumns({"score": F.round("score", 5), "p_error": F.round("p_error", 5)})
 
 
