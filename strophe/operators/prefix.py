@@ -35,9 +35,11 @@ def running_totals(
     added as ``next_<c>`` (null at the end).
     """
     by = list(by)
-    code = order_code(F.col(order))
     rank = F.col(order)
-    cells = cells.withColumn(_BUCKET, -code if descending else code)
+    # A bucket that cannot be null keeps the two branches below identical up to the cell
+    # exchange, so the cells are computed and shuffled once.
+    code = F.coalesce(order_code(rank), F.lit(0))
+    cells = cells.where(rank.isNotNull()).withColumn(_BUCKET, -code if descending else code)
     first = F.min_by(F.struct(*sums), -rank if descending else rank)
     heads = cells.groupBy(*by, _BUCKET).agg(
         *[F.sum(c).alias(f"_sum_{c}") for c in sums],
@@ -82,7 +84,7 @@ def ranks(
     give the rank at which each cell starts, and rows are numbered inside their cell only.
     """
     by = list(by)
-    rows = df.withColumn("_kb", order_code(F.col(key)))
+    rows = df.where(F.col(score).isNotNull()).withColumn("_kb", F.coalesce(order_code(F.col(key)), F.lit(0)))
     cells = rows.groupBy(*by, score, "_kb").agg(F.count(F.lit(1)).alias("n"))
     cells = running_totals(cells, by, score, ["n"], descending, then=["_kb"]).select(
         *by, score, "_kb", (F.col("cum_n") - F.col("n")).alias("_before"), "tot_n")
