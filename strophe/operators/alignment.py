@@ -32,10 +32,10 @@ def category_cost(a: Column, b: Column) -> Column:
     def either(x: str, y: str) -> Column:
         return ((a == x) & (b == y)) | ((a == y) & (b == x))
 
-    vowels = list(VOWELS)
+    vowels, folded = list(VOWELS), ["AX", "DX"]
+    near = (a.isin(folded) | b.isin(folded)) & (either("AX", "AH") | either("DX", "T") | either("DX", "D"))
     return (F.when(a == b, 0.0)
-            .when(either("AX", "AH") | either("DX", "T") | either("DX", "D"), 0.15)
-            .when(a.isin(vowels) == b.isin(vowels), 1.0)
+            .when(a.isin(vowels) == b.isin(vowels), F.when(near, 0.15).otherwise(1.0))
             .when(either("Y", "IY") | either("W", "UW"), 0.6).otherwise(2.2))
 
 

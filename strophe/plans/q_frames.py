@@ -9,6 +9,7 @@ from strophe.functions import vectors as vx
 from strophe.operators import candidates as ca
 from strophe.operators import lattice as la
 from strophe.plans.registry import query, rounded
+from strophe.session import keyed, shuffle_width
 from strophe.plans.tables import FRAMES_SQL, N_CLASSES, TOKENS_SQL, frames, table, tokens
 
 IDS = list(range(1, N_CLASSES))
@@ -19,7 +20,7 @@ def logp_frames(spark, sf_dir):
 
 
 def matrices(spark, sf_dir):
-    return la.frame_matrix(logp_frames(spark, sf_dir), "event", "frame", "logp")
+    return la.frame_matrix(keyed(logp_frames(spark, sf_dir), "event"), "event", "frame", "logp")
 
 
 def targets(spark, sf_dir):
@@ -264,7 +265,7 @@ cf AS (SELECT cq.event, position, candidate, cq.q, ln(nullif(p, 0)) AS s FROM cq
 
 
 def cf_scores(spark, sf_dir):
-    return la.counterfactual_scores(matrices(spark, sf_dir), targets(spark, sf_dir), "event", "labels", IDS)
+    return la.counterfactual_scores(matrices(spark, sf_dir), targets(spark, sf_dir), "event", "labels", IDS, shuffle_width(spark))
 
 
 @query("counterfactual_scores", f"WITH RECURSIVE {CF_SQL} SELECT event, CAST(position AS BIGINT) position, CAST(candidate AS BIGINT) candidate, round(s, 7) log_score FROM cf")

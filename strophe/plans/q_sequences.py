@@ -12,6 +12,7 @@ from strophe.operators import lexicon as lx
 from strophe.plans.q_frames import matrices, targets
 from strophe.plans.q_text import WORDS, documents
 from strophe.plans.registry import query
+from strophe.session import keyed
 from strophe.plans.tables import SYMBOLS, phone_tokens, table, tokens
 
 
@@ -25,7 +26,7 @@ def pairs(spark, sf_dir):
 
 def _sequence(t, target, seen):
     rows = F.array_sort(F.collect_list(F.struct("idx", F.col(target).alias("t"), seen.alias("s"))))
-    g = t.groupBy("event", "grp").agg(rows.alias("r"))
+    g = keyed(t, "event").groupBy("event", "grp").agg(rows.alias("r"))
     return g.select("event", "grp", F.transform("r", lambda x: x["t"]).alias("reference"), F.flatten(F.transform("r", lambda x: x["s"])).alias("observed"))
 
 

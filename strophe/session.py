@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", app: str = "strophe", partitions: int =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -57,3 +58,16 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     target = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by key for heavy row work that follows a grouping on the same key.
+
+    The grouping reuses this partitioning (no further shuffle). The explicit count keeps
+    adaptive execution from merging partitions that are small in bytes but costly to compute.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *cols)
