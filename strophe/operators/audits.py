@@ -129,23 +129,35 @@ def group_summary(positions: DataFrame, by: Sequence[str], order: str) -> DataFr
         count_if(~F.col("assessed")).alias("unassessed"), F.transform(listed, lambda x: x["w"]).alias("flagged_words"))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float] | int) -> DataFrame:
     """Exact linear-interpolated quantiles of groups of any size: (by, prob, value).
 
-    Ranks come from running totals over distinct values, so no task holds a group.
+    ``probs`` is a short list, or a number of evenly spaced points from 0 to 1. Ranks come from
+    running totals over distinct values, so no task holds a group; a cell is unfolded only for
+    the probabilities whose neighbouring ranks it covers.
     """
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     run = running_totals(cells, by, value, ["n"], descending=False)
-    grid = run.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    at = F.col("prob") * (F.col("tot_n") - 1)
-    before = F.col("cum_n") - F.col("n")
-
-    def pick(i: Column) -> Column:
-        return F.max(F.when((before <= i) & (i < F.col("cum_n")), F.col(value)))
-
-    out = grid.groupBy(*by, "prob").agg(pick(F.floor(at)).alias("_lo"), pick(F.ceil(at)).alias("_hi"), F.max(at).alias("_at"))
-    share = F.col("_at") - F.floor("_at")
-    return out.select(*by, "prob", (F.col("_lo") + share * (F.col("_hi") - F.col("_lo"))).alias("value"))
+    before, last = F.col("cum_n") - F.col("n"), F.col("tot_n") - 1
+    if isinstance(probs, int):
+        steps = float(probs - 1)
+        at = lambda r: r * steps / F.greatest(last, F.lit(1))
+        lo = F.greatest(F.floor(at(before - 1)) - 1, F.lit(0)).cast("int")
+        hi = F.least(F.ceil(at(F.col("cum_n"))) + 1, F.lit(probs - 1)).cast("int")
+        grid = F.transform(F.sequence(lo, hi), lambda i: i / steps)
+    else:
+        grid = F.array(*[F.lit(float(p)) for p in probs])
+
+    def covers(i: Column) -> Column:
+        return (before <= i) & (i < F.col("cum_n"))
+
+    hits = F.filter(grid, lambda p: covers(F.floor(p * last)) | covers(F.ceil(p * last)))
+    rows = run.select(*by, value, before.alias("_b"), "cum_n", last.alias("_l"), F.explode(hits).alias("prob"))
+    pos = F.col("prob") * F.col("_l")
+    pick = lambda i: F.max(F.when((F.col("_b") <= i) & (i < F.col("cum_n")), F.col(value)))
+    out = rows.groupBy(*by, "prob").agg(pick(F.floor(pos)).alias("_lo"), pick(F.ceil(pos)).alias("_hi"), F.max(pos).alias("_at"))
+    part = F.col("_at") - F.floor("_at")
+    return out.select(*by, "prob", (F.col("_lo") + part * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def check_pass_rates(df: DataFrame, by: Sequence[str], checks: Sequence[str]) -> DataFrame:

@@ -123,12 +123,14 @@ def leak_report(df: DataFrame, value_patterns: dict[str, str]) -> DataFrame:
         if low in FORBIDDEN_FIELDS or "gold" in low or low.endswith("_path") or low.startswith("raw_"):
             named.append(path)
     texts = [p for p, _, t in schema_fields(df.schema) if isinstance(t, T.StringType) and "[]" not in p]
-    checks = F.array(*[
-        F.struct(F.lit(c).alias("field"), F.lit(n).alias("finding"), F.col(c).rlike(p).alias("hit"))
-        for c in texts for n, p in value_patterns.items()
-    ], *[F.struct(F.lit(p).alias("field"), F.lit("forbidden_name").alias("finding"), F.lit(True).alias("hit")) for p in named])
-    return (df.select(F.explode(checks).alias("_c")).select("_c.*").where("hit")
-            .groupBy("field", "finding").agg(F.count(F.lit(1)).alias("n")))
+    # One pass with a conditional count per check; only the single result row is unfolded.
+    checks = [(c, n, F.count_if(F.coalesce(F.col(c).rlike(p), F.lit(False)))) for c in texts for n, p in value_patterns.items()]
+    checks += [(p, "forbidden_name", F.count(F.lit(1))) for p in named]
+    if not checks:
+        return df.sparkSession.createDataFrame([], "field string, finding string, n bigint")
+    wide = df.agg(*[e.alias(f"_n{i}") for i, (_, _, e) in enumerate(checks)])
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("finding"), F.col(f"_n{i}").alias("n")) for i, (f, k, _) in enumerate(checks)])
+    return wide.select(F.explode(cells).alias("_c")).select("_c.*").where("n > 0")
 
 
 def decision_record(df: DataFrame, gate: float | None, min_margin: float = 0.1, threshold: float = 0.5) -> DataFrame:

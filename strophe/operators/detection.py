@@ -221,13 +221,15 @@ def precision_at_coverage(
     """Share of correct rows among the top ``ceil(c*n)`` by confidence, ties by key."""
     work = df.select(*by, F.col(confidence).alias("_conf"), F.col(correct).alias("_ok"), F.col(key).alias("_key"))
     ranked = ranks(work, by, "_conf", "_key")
-    grid = ranked.select("*", F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"))
-    take = F.greatest(F.lit(1), F.ceil(F.col("coverage") * F.col("tot_n")))
-    return (
-        grid.where(F.col("rank") <= take)
-        .groupBy(*by, "coverage")
-        .agg(F.count(F.lit(1)).alias("n_selected"), F.avg(F.col("_ok").cast("double")).alias("precision"))
-    )
+    aggs = []
+    for i, c in enumerate(coverages):
+        top = F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.lit(float(c)) * F.col("tot_n")))
+        aggs += [count_if(top).alias(f"_n{i}"), F.avg(F.when(top, F.col("_ok").cast("double"))).alias(f"_p{i}")]
+    wide = ranked.groupBy(*by).agg(*aggs)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(float(c)).alias("coverage"), F.col(f"_n{i}").alias("n_selected"), F.col(f"_p{i}").alias("precision"))
+        for i, c in enumerate(coverages)]))
+    return wide.select(*by, cells.alias("_c")).select(*by, "_c.*")
 
 
 def matched_fpr_diagnosis(
@@ -253,12 +255,16 @@ def matched_fpr_diagnosis(
         names += [f"gold_{kind}", f"prop_{kind}", f"good_{kind}"]
     cells = score_cells(df, by, score, label, **extra)
     curve = running_totals(cells, by, score, ["n", "neg", *names])
-    grid = curve.select("*", F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target_fpr"))
+    # Each target has exactly one boundary cell: only boundary cells are unfolded.
+    before = F.col("cum_neg") - F.col("neg")
+
+    def boundary(t: Column) -> Column:
+        want = t * F.col("tot_neg")
+        return (F.col("neg") > 0) & (F.col("cum_neg") >= want) & ((before < want) | ((want == 0) & (before == 0)))
+
+    grid = F.array(*[F.lit(float(t)) for t in targets])
+    edge = curve.select("*", F.explode(F.filter(grid, boundary)).alias("target_fpr"))
     budget = F.col("target_fpr") * F.col("tot_neg")
-    reached = grid.where((F.col("neg") > 0) & (F.col("cum_neg") >= budget))
-    edge = reached.groupBy(*by, "target_fpr").agg(
-        F.max_by(F.struct(*[c for c in reached.columns if c not in (*by, "target_fpr")]), score).alias("_e")
-    ).select(*by, "target_fpr", "_e.*")
     share = F.when(F.col("target_fpr") == 1.0, 1.0).otherwise(
         (budget - (F.col("cum_neg") - F.col("neg"))) / F.col("neg")
     )

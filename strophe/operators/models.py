@@ -86,8 +86,7 @@ def rank_normalize(df: DataFrame, train: DataFrame, col: str, out: str, points:
 
     Ties of the quantile grid get the middle of their rank range; the ends are clipped.
     """
-    probs = [i / (points - 1) for i in range(points)]
-    grid = exact_quantiles(train, [], col, probs)
+    grid = exact_quantiles(train, [], col, points)
     packed = grid.agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"]).alias("_q"))
     j = df.crossJoin(F.broadcast(packed))
     x, last = F.col(col), float(points - 1)

@@ -56,15 +56,16 @@ def sink_csv(spark, sf_dir):
     return spark.read.schema("grp string, target string, n bigint, mean_value double").option("header", True).csv(path)
 
 
-@query("src_file_index")
+@query("src_file_index", r"""WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]*)', 1) h, page_id % 3 = 0 AS up FROM pages)
+SELECT h || '.lab' AS stem, count(*) AS n FROM p GROUP BY h""")
 def src_file_index(spark, sf_dir):
-    """Label files written per host of the pages; the stem is the folder, its case is folded."""
+    """One label file per host and spelling; the stem folds case, so both spellings stay visible."""
     path = scratch(spark, "files")
     host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.initcap(host), F.lit(".lab")).alias("stem"), F.col("url").alias("value"))
-    pages.write.partitionBy("stem").text(path)
-    out = rc.file_index(spark, path, ".txt", stem=r"stem=([^/]+)\.lab/")
-    return out.select("stem", "n")
+    stem = F.concat(F.when(F.col("page_id") % 3 == 0, F.upper(host)).otherwise(host), F.lit(".lab"))
+    pages = table(spark, sf_dir, "pages").select(stem.alias("stem"), F.col("url").alias("value"))
+    pages.repartition("stem").write.partitionBy("stem").text(path)
+    return rc.file_index(spark, path, ".txt", stem=r"stem=([^/]+)/").select("stem", "n")
 
 
 @query("src_interval_labels", f"""WITH {SEGMENTS_SQL}, l AS (SELECT event, idx, CASE WHEN (event * 8 + idx) % 101 = 1 THEN 'too_few_fields' WHEN (event * 8 + idx) % 103 = 2 THEN 'invalid_bounds'
@@ -100,26 +101,26 @@ def src_lexicon(spark, sf_dir):
     return lex.select("word", "variant", F.concat_ws(" ", "symbols").alias("symbols"))
 
 
-@query("src_section_csv", """WITH c AS (SELECT c_nationkey AS grp, c_custkey, chr(CAST(97 + c_custkey % 7 AS INT)) || CASE WHEN c_custkey % 4 = 0 THEN '/' || chr(CAST(97 + c_custkey % 5 AS INT)) ELSE '' END g, 'item' || CAST(c_custkey // 100 AS VARCHAR) k FROM customer),
+@query("src_section_csv", """WITH c AS (SELECT c_custkey // 100 AS grp, c_custkey, chr(CAST(97 + c_custkey % 7 AS INT)) || CASE WHEN c_custkey % 4 = 0 THEN '/' || chr(CAST(97 + c_custkey % 5 AS INT)) ELSE '' END g, 'item' || CAST(c_custkey % 40 AS VARCHAR) k FROM customer),
 l AS (SELECT grp, k, arg_max(g, c_custkey) g FROM c GROUP BY ALL),
 p AS (SELECT grp, k, g, unnest(string_split(g, '/')) x FROM l), s AS (SELECT grp, k, g, avg(CASE WHEN x BETWEEN 'a' AND 'e' THEN ascii(x) - 96 END) v FROM p GROUP BY ALL)
 SELECT grp, round(avg(v), 8) score, string_agg(k || '=' || g, ';' ORDER BY k) AS label FROM s GROUP BY grp""")
 def src_section_csv(spark, sf_dir):
-    """Notes of each group: a heading, graded lines, then another section that must not count."""
+    """Notes of each group (a hundred customers): a heading, graded lines, then another section that must not count."""
     path = scratch(spark, "notes")
     c = table(spark, sf_dir, "customer")
     grade = F.concat(F.char(97 + F.col("c_custkey") % 7), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("/"), F.char(97 + F.col("c_custkey") % 5))).otherwise(""))
-    item = F.concat(F.lit("Item"), F.expr("c_custkey div 100").cast("string"))
-    body = c.select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("o"), F.concat_ws(",", F.lit(""), item, grade, F.lit("x")).alias("value"))
+    item = F.concat(F.lit("Item"), (F.col("c_custkey") % 40).cast("string"))
+    body = c.select(F.expr("c_custkey div 100").alias("grp"), F.col("c_custkey").alias("o"), F.concat_ws(",", F.lit(""), item, grade, F.lit("x")).alias("value"))
     marks = {-3: "General,,", -2: ",Early,a", -1: "Intelligibility,rating,", 1 << 40: "Other,,", (1 << 40) + 1: ",Late,e"}
     marks = F.array(*[F.struct(F.lit(o).cast("bigint").alias("o"), F.lit(v).alias("value")) for o, v in marks.items()])
-    heads = c.select(F.col("c_nationkey").alias("grp")).distinct().select("grp", F.explode(marks).alias("h")).select("grp", "h.o", "h.value")
+    heads = c.select(F.expr("c_custkey div 100").alias("grp")).distinct().select("grp", F.explode(marks).alias("h")).select("grp", "h.o", "h.value")
     lines = body.unionByName(heads).repartition("grp").sortWithinPartitions("grp", "o")
     lines.select("grp", "value").write.partitionBy("grp").text(path)
     notes = lb.read_section_notes(spark, path, "intel", "grp")
     # The heading line itself names a column, not a graded item.
     label = F.array_join(F.filter(F.split("label", ";"), lambda x: x != "rating="), ";")
-    return rounded(notes.select(F.col("grp").cast("int").alias("grp"), "score", label.alias("label")), "score")
+    return rounded(notes.select(F.col("grp").cast("long").alias("grp"), "score", label.alias("label")), "score")
 
 
 # --- feedback ------------------------------------------------------------------------------------
