@@ -315,18 +315,38 @@ def paths(spark, sf_dir):
     return j.select("event", "labels", la.viterbi_path(F.col("matrix"), F.col("labels")).alias("v")).where("v IS NOT NULL").select("event", "labels", "v.path", "v.score")
 
 
-@query("viterbi_states")
+@query("viterbi_states", f"""WITH RECURSIVE {TARGETS_SQL},
+st AS (SELECT event, s, CASE WHEN s % 2 = 1 THEN labels[(s + 1) // 2] ELSE 0 END AS sym, 2 * len(labels) + 1 AS ns, s >= 2 AND s % 2 = 1 AND (s < 3 OR labels[(s + 1) // 2] <> labels[(s - 1) // 2]) AS skip
+  FROM (SELECT *, unnest(generate_series(0, 2 * len(labels))) AS s FROM tg)),
+vt AS (SELECT st.event, 0 AS t, list(CASE WHEN s <= 1 THEN logp ELSE -1e300::DOUBLE END ORDER BY s) AS v, list(CAST(s AS VARCHAR) ORDER BY s) AS p FROM st JOIN lp ON lp.event = st.event AND lp.frame = 0 AND lp.symbol = sym GROUP BY st.event
+ UNION ALL SELECT z.event, z.t, z.v, z.p FROM (SELECT event, t, list(CASE WHEN best <= -1e299 THEN -1e300::DOUBLE ELSE best + logp END ORDER BY s) AS v, list(p[s + 1 - mv] || ',' || s ORDER BY s) AS p FROM
+   (SELECT *, CASE mv WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS best FROM (SELECT *, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS mv FROM
+     (SELECT vt.event, vt.t + 1 AS t, st.s, logp, vt.p, vt.v[s + 1] AS a, CASE WHEN s >= 1 THEN vt.v[s] ELSE -1e300::DOUBLE END AS b, CASE WHEN skip THEN vt.v[s - 1] ELSE -1e300::DOUBLE END AS c
+      FROM vt JOIN st ON st.event = vt.event JOIN lp ON lp.event = vt.event AND lp.frame = vt.t + 1 AND lp.symbol = st.sym) y) x) w GROUP BY event, t) z),
+en AS (SELECT vt.event, v, p, CASE WHEN v[len(v) - 1] > v[len(v)] THEN len(v) - 1 ELSE len(v) END AS e FROM vt JOIN nf ON nf.event = vt.event WHERE vt.t = nf.n - 1)
+SELECT event, p[e] AS path, round(v[e], 7) AS score FROM en WHERE v[e] > -1e299""")
 def viterbi_states(spark, sf_dir):
     p = paths(spark, sf_dir)
     return p.select("event", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), F.round("score", 7).alias("score"))
 
 
-@query("variant_marginal")
+@query("variant_marginal", f"""WITH RECURSIVE {TARGETS_SQL},
+first_ AS (SELECT event, labels, unnest(CASE WHEN event % 2 = 0 AND labels[1] % 9 + 1 <> labels[1] THEN [labels[1], CAST(labels[1] % 9 + 1 AS INT)] ELSE [labels[1]] END) AS c0,
+  CASE WHEN event % 2 = 0 THEN [labels[1], CAST(labels[1] % 9 + 1 AS INT)] ELSE [labels[1]] END AS own FROM tg),
+cs AS (SELECT event, -1 AS position, -2 AS candidate, list_concat([c0], labels[2:]) AS labels FROM first_
+ UNION SELECT event, 0, c, list_concat(CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[2:]) FROM first_, (SELECT unnest([1,2,3,4,5,6,7,8,9,-1]) c) WHERE NOT list_contains(own, c)
+ UNION SELECT event, i, c, list_concat([c0], labels[2:i], CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[i + 2:]) FROM (SELECT *, unnest(generate_series(1, len(labels) - 1)) AS i FROM first_), (SELECT unnest([1,2,3,4,5,6,7,8,9,-1]) c) WHERE labels[i + 1] <> c),
+cq AS (SELECT *, array_to_string(labels, ',') AS q FROM cs), sq AS (SELECT DISTINCT event, q, labels FROM cq), {_forward_sql("sq", "q")},
+sc AS (SELECT cq.event, position, candidate, ln(sum(p) / count(*)) AS s FROM cq JOIN ll ON ll.event = cq.event AND ll.q = cq.q GROUP BY ALL HAVING sum(p) > 0),
+nm AS (SELECT event, s AS normal FROM sc WHERE position = -1)
+SELECT event, CAST(position AS BIGINT) position, round(normal - s, 7) gop, CAST(candidate AS BIGINT) candidate FROM sc JOIN nm USING (event) WHERE position >= 0
+QUALIFY row_number() OVER (PARTITION BY event, position ORDER BY s DESC, CASE WHEN candidate = -1 THEN 99 ELSE candidate END) = 1""")
 def variant_marginal(spark, sf_dir):
     other = lambda s: s % 9 + 1
     acc = F.transform("labels", lambda s, i: F.when((i == 0) & (F.col("event") % 2 == 0), F.array(s, other(s))).otherwise(F.array(s)))
     pos = targets(spark, sf_dir).select("event", acc.alias("accepted"))
-    return la.variant_marginal(matrices(spark, sf_dir), pos, "event", IDS).withColumn("gop", F.round("gop", 7))
+    out = la.variant_marginal(matrices(spark, sf_dir), pos, "event", IDS).withColumn("gop", F.round("gop", 7))
+    return out.withColumns({"position": F.col("position").cast("long"), "candidate": F.col("candidate").cast("long")})
 
 
 SPANS_SQL = FRAMES_SQL + """,

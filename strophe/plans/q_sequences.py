@@ -9,11 +9,46 @@ from strophe.functions.inventory import phone_name
 from strophe.operators import alignment as al
 from strophe.operators import lattice as la
 from strophe.operators import lexicon as lx
-from strophe.plans.q_frames import matrices, targets
+from strophe.plans.q_frames import TARGETS_SQL, matrices, targets
 from strophe.plans.q_text import WORDS, documents
 from strophe.plans.registry import query
 from strophe.session import keyed
-from strophe.plans.tables import SYMBOLS, phone_tokens, table, tokens
+from strophe.plans.tables import PTOK_SQL, SYMBOLS, phone_tokens, table, tokens
+
+
+PAIRS_SQL = PTOK_SQL + """,
+pr AS (SELECT event, list(target ORDER BY idx) AS reference, flatten(list(seen ORDER BY idx)) AS observed FROM (SELECT event, idx, target,
+  list_filter([realized, CASE WHEN CAST(floor(value) AS BIGINT) % 4 = 1 THEN nm[k % 39 + 1] END], lambda x: x IS NOT NULL) AS seen FROM ptok) GROUP BY event),
+pc AS (SELECT event, list_transform(reference, lambda s, i: CASE WHEN event % 4 = 0 AND i = 3 AND s <> 'AH' THEN [s, 'AH'] ELSE [s] END) AS accepted, observed,
+  list_transform(reference, lambda s, i: (event + i - 1) % 11 <> 0) AS mask FROM pr)"""
+
+
+def _matrix_sql(name: str, ref: str, obs: str) -> str:
+    """Prefix cost rows of the accepted-set alignment, one recursion step per reference position."""
+    return f"""
+{name} AS (SELECT event, 0 AS i, range(0, len(observed) + 1) AS r FROM pc
+ UNION ALL SELECT event, i + 1, list_transform(range(0, m + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda q: t[q + 1] + j - q))) FROM
+  (SELECT f.event, f.i, len(observed) AS m, list_transform(range(0, len(observed) + 1), lambda j: CASE WHEN j = 0 THEN f.i + 1
+     ELSE least(f.r[j + 1] + 1, f.r[j] + CASE WHEN list_contains(({ref})[f.i + 1], ({obs})[j]) THEN 0 ELSE 1 END) END) AS t FROM {name} f JOIN pc ON pc.event = f.event WHERE f.i < len(accepted)))"""
+
+
+CELLS_SQL = _matrix_sql("wm", "accepted", "observed") + "," + _matrix_sql("vm", "list_reverse(accepted)", "list_reverse(observed)") + """,
+fc AS (SELECT event, i, unnest(range(0, len(r))) AS j, unnest(r) AS f FROM wm),
+bc AS (SELECT vm.event, len(accepted) - i AS i, len(observed) - unnest(range(0, len(r))) AS j, unnest(r) AS b FROM vm JOIN pc ON pc.event = vm.event),
+op AS (SELECT event, max(f) FILTER (WHERE i = len(accepted) AND j = len(observed)) AS opt FROM fc JOIN pc USING (event) GROUP BY event),
+del AS (SELECT fc.event, fc.i, fc.j FROM fc JOIN bc ON bc.event = fc.event AND bc.i = fc.i + 1 AND bc.j = fc.j JOIN op ON op.event = fc.event WHERE f + 1 + b = opt),
+dia AS (SELECT fc.event, fc.i, fc.j, observed[fc.j + 1] AS symbol, list_contains(accepted[fc.i + 1], observed[fc.j + 1]) AS hit FROM fc JOIN bc ON bc.event = fc.event AND bc.i = fc.i + 1 AND bc.j = fc.j + 1
+  JOIN op ON op.event = fc.event JOIN pc ON pc.event = fc.event WHERE f + CASE WHEN list_contains(accepted[fc.i + 1], observed[fc.j + 1]) THEN 0 ELSE 1 END + b = opt),
+ins AS (SELECT fc.event, fc.i, fc.j FROM fc JOIN bc ON bc.event = fc.event AND bc.i = fc.i AND bc.j = fc.j + 1 JOIN op ON op.event = fc.event WHERE f + 1 + b = opt),
+cand AS (SELECT event, i AS idx, 'deletion' AS kind, CAST(NULL AS VARCHAR) AS symbol FROM del UNION SELECT event, i, CASE WHEN hit THEN 'match' ELSE 'substitution' END, symbol FROM dia),
+lab AS (SELECT cand.event, idx, any_value(mask[idx + 1]) AS ok, count(*) AS n, count(DISTINCT kind <> 'match') AS ne, bool_or(kind <> 'match') AS err, min(kind) AS kind, min(symbol) AS symbol,
+  string_agg(kind || coalesce(':' || symbol, ''), ';' ORDER BY kind, symbol) AS candidates FROM cand JOIN pc ON pc.event = cand.event GROUP BY cand.event, idx),
+ent AS (SELECT event, 0 AS gap, 0 AS s FROM pc UNION SELECT event, i + 1, j FROM del UNION SELECT event, i + 1, j + 1 FROM dia),
+ext AS (SELECT event, len(accepted) AS gap, len(observed) AS e FROM pc UNION SELECT event, i, j FROM del UNION SELECT event, i, j FROM dia),
+seq AS (SELECT DISTINCT ent.event, ent.gap, array_to_string(observed[s + 1:e], ',') AS q, e - s AS n FROM ent JOIN ext ON ext.event = ent.event AND ext.gap = ent.gap AND e >= s JOIN pc ON pc.event = ent.event
+  WHERE e - s = (SELECT count(*) FROM ins WHERE ins.event = ent.event AND ins.i = ent.gap AND ins.j >= s AND ins.j < e)),
+gp AS (SELECT seq.event, gap, (gap = 0 OR any_value(mask)[gap]) AND (gap = len(any_value(mask)) OR any_value(mask)[gap + 1]) AS ok, count(*) AS n, min(q) AS q, string_agg(q, ';' ORDER BY q) AS sequences, max(seq.n) AS longest
+  FROM seq JOIN pc ON pc.event = seq.event GROUP BY seq.event, gap)"""
 
 
 def pairs(spark, sf_dir):
@@ -47,10 +82,16 @@ def edit_distance(spark, sf_dir):
 def _alignment(spark, sf_dir, cost):
     p = pairs(spark, sf_dir)
     a = p.select("event", F.posexplode(al.align(F.col("reference"), F.col("observed"), cost)).alias("step", "p"))
-    return a.select("event", "step", F.col("p.r").alias("r"), F.col("p.o").alias("o"))
+    return a.select("event", F.col("step").cast("long").alias("step"), F.col("p.r").cast("long").alias("r"), F.col("p.o").cast("long").alias("o"))
 
 
-@query("align_unit")
+@query("align_unit", f"""WITH RECURSIVE {PAIRS_SQL.replace("CASE WHEN event % 4 = 0 AND i = 3 AND s <> 'AH' THEN [s, 'AH'] ELSE [s] END", "[s]")}, {_matrix_sql("wm", "accepted", "observed")},
+fc AS (SELECT event, list(r ORDER BY i) AS f FROM wm GROUP BY event),
+tr AS (SELECT event, len(accepted) AS i, len(observed) AS j, -1 AS back, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS o FROM pc
+ UNION ALL SELECT x.event, CASE WHEN mv = 3 THEN i ELSE i - 1 END, CASE WHEN mv = 2 THEN j ELSE j - 1 END, back + 1, CASE WHEN mv <> 3 THEN i - 1 END, CASE WHEN mv <> 2 THEN j - 1 END FROM
+  (SELECT tr.*, CASE WHEN tr.i > 0 AND tr.j > 0 AND f[tr.i][tr.j] + CASE WHEN accepted[tr.i][1] = observed[tr.j] THEN 0 ELSE 1 END = f[tr.i + 1][tr.j + 1] THEN 1
+     WHEN tr.i > 0 AND (tr.j = 0 OR f[tr.i][tr.j + 1] + 1 = f[tr.i + 1][tr.j + 1]) THEN 2 ELSE 3 END AS mv FROM tr JOIN fc ON fc.event = tr.event JOIN pc ON pc.event = tr.event WHERE tr.i > 0 OR tr.j > 0) x)
+SELECT event, CAST(max(back) OVER (PARTITION BY event) - back AS BIGINT) AS step, r, o FROM tr WHERE back >= 0""")
 def align_unit(spark, sf_dir):
     return _alignment(spark, sf_dir, al.unit_cost)
 
@@ -80,27 +121,45 @@ def _cells(spark, sf_dir):
     return al.optimal_cells(p, "accepted", "observed")
 
 
-@query("optimal_labels")
+@query("optimal_labels", f"""WITH RECURSIVE {PAIRS_SQL}, {CELLS_SQL}
+SELECT lab.event, CAST(idx AS BIGINT) idx, ok AS diagnostic, CASE WHEN ok AND ne = 1 THEN err END is_error, ok AND ne = 1 AS stable_error, ok AND n = 1 AS stable_event,
+ CASE WHEN ok AND n = 1 THEN kind ELSE 'alignment_uncertain' END event_type, CASE WHEN ok AND n = 1 THEN symbol END realized, candidates, CAST(opt AS BIGINT) distance FROM lab JOIN op USING (event)""")
 def optimal_labels(spark, sf_dir):
     out = al.optimal_labels(_cells(spark, sf_dir), ["event"], "accepted", "observed", "mask")
-    return out.withColumn("candidates", F.concat_ws(";", F.transform("candidates", lambda c: F.concat_ws(":", c["event"], c["symbol"]))))
+    text = F.concat_ws(";", F.transform("candidates", lambda c: F.concat_ws(":", c["event"], c["symbol"])))
+    return out.withColumns({"candidates": text, "idx": F.col("idx").cast("long"), "distance": F.col("distance").cast("long")})
 
 
-@query("gap_labels")
+@query("gap_labels", f"""WITH RECURSIVE {PAIRS_SQL}, {CELLS_SQL}
+SELECT event, CAST(gap AS BIGINT) gap, ok AS diagnostic, ok AND n = 1 AS stable, CASE WHEN ok AND n = 1 THEN q ELSE '' END inserted, sequences, CAST(longest AS BIGINT) n_ordinals FROM gp""")
 def gap_labels(spark, sf_dir):
     out = al.gap_labels(_cells(spark, sf_dir), ["event"], "accepted", "observed", "mask")
-    return out.select("event", "gap", "diagnostic", "stable", F.concat_ws(",", "inserted").alias("inserted"),
-                      F.concat_ws(";", F.transform("sequences", lambda s: F.concat_ws(",", s))).alias("sequences"), F.size("ordinals").alias("n_ordinals"))
+    return out.select("event", F.col("gap").cast("long").alias("gap"), "diagnostic", "stable", F.concat_ws(",", "inserted").alias("inserted"),
+                      F.concat_ws(";", F.transform("sequences", lambda s: F.concat_ws(",", s))).alias("sequences"), F.size("ordinals").cast("long").alias("n_ordinals"))
 
 
-@query("greedy_label_scores")
+GREEDY_SQL = TARGETS_SQL + """,
+gb AS (SELECT event, frame, arg_max(symbol, logp * 1.0 - symbol * 1e-15) s FROM lp GROUP BY ALL),
+gc AS (SELECT *, lag(s) OVER (PARTITION BY event ORDER BY frame) prev FROM gb),
+pc AS (SELECT tg.event, list_transform(any_value(labels), lambda s: [CAST(s AS VARCHAR)]) AS accepted,
+  coalesce(list(CAST(s AS VARCHAR) ORDER BY frame) FILTER (WHERE s <> 0 AND (prev IS NULL OR prev <> s)), []) AS observed, list_transform(any_value(labels), lambda s: TRUE) AS mask
+  FROM tg JOIN gc ON gc.event = tg.event GROUP BY tg.event)"""
+
+
+@query("greedy_label_scores", f"""WITH RECURSIVE {GREEDY_SQL}, {CELLS_SQL},
+sl AS (SELECT gp.event, gap, o, count(DISTINCT coalesce(split_part(nullif(q2, ''), ',', o + 1), '')) AS kinds, bool_or(seq_n > o) AS some, bool_and(seq_n > o) AS every_, max(split_part(q2, ',', o + 1)) AS sym, longest
+  FROM gp JOIN (SELECT event AS e2, gap AS g2, q AS q2, n AS seq_n FROM seq) ON e2 = gp.event AND g2 = gp.gap, (VALUES (0), (1)) x(o) GROUP BY gp.event, gap, o, longest)
+SELECT event, 'position' AS kind, CAST(idx AS BIGINT) AS "at", CASE WHEN ne = 1 THEN CASE WHEN err THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END gop, CASE WHEN n = 1 THEN lab.kind ELSE 'unspecified' END cand_event,
+  CASE WHEN n = 1 AND lab.kind = 'substitution' THEN symbol END cand_symbol, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END cand_conf FROM lab
+UNION ALL SELECT event, 'gap', CAST(gap * 2 + o AS BIGINT), CASE WHEN o >= longest THEN 0.0 WHEN kinds = 1 THEN CASE WHEN every_ THEN 1.0 ELSE 0.0 END ELSE 0.5 END, NULL,
+  CASE WHEN o < longest AND kinds = 1 THEN nullif(sym, '') END, CASE WHEN o >= longest OR kinds = 1 THEN 1.0 ELSE 0.0 END FROM sl""")
 def greedy_label_scores(spark, sf_dir):
     g = matrices(spark, sf_dir).select("event", F.transform(la.greedy_symbols(F.col("matrix")), lambda s: s.cast("string")).alias("observed"))
     acc = F.transform("labels", lambda s: F.array(s.cast("string")))
     cells = al.optimal_cells(g.join(targets(spark, sf_dir), "event").select("event", acc.alias("accepted"), "observed"), "accepted", "observed")
     tok, slots = al.greedy_label_scores(al.optimal_labels(cells, ["event"], "accepted", "observed"), al.gap_labels(cells, ["event"], "accepted", "observed"), ["event"])
-    return tok.select("event", F.lit("position").alias("kind"), F.col("idx").alias("at"), "gop", "cand_event", "cand_symbol", "cand_conf").unionByName(
-        slots.select("event", F.lit("gap").alias("kind"), (F.col("gap") * 2 + F.col("ordinal")).alias("at"), F.col("insertion_probability").alias("gop"),
+    return tok.select("event", F.lit("position").alias("kind"), F.col("idx").cast("long").alias("at"), "gop", "cand_event", "cand_symbol", "cand_conf").unionByName(
+        slots.select("event", F.lit("gap").alias("kind"), (F.col("gap") * 2 + F.col("ordinal")).cast("long").alias("at"), F.col("insertion_probability").alias("gop"),
                      F.lit(None).cast("string").alias("cand_event"), F.col("slot_symbol").alias("cand_symbol"), "cand_conf"))
 
 
