@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strophe.functions import texts as tx
-from strophe.functions.inventory import phone_name
+from strophe.functions.inventory import VOWELS, phone_name
 from strophe.operators import alignment as al
 from strophe.operators import lattice as la
 from strophe.operators import lexicon as lx
 from strophe.plans.q_frames import TARGETS_SQL, matrices, targets
 from strophe.plans.q_text import WORDS, documents
-from strophe.plans.registry import query
+from strophe.plans.registry import query, rounded
 from strophe.session import keyed
 from strophe.plans.tables import PTOK_SQL, SYMBOLS, phone_tokens, table, tokens
 
@@ -59,6 +59,12 @@ def pairs(spark, sf_dir):
     return _sequence(t, "target", seen)
 
 
+def _alignment(spark, sf_dir, cost):
+    p = pairs(spark, sf_dir)
+    a = p.select("event", F.posexplode(al.align(F.col("reference"), F.col("observed"), cost)).alias("step", "p"))
+    return a.select("event", F.col("step").cast("long").alias("step"), F.col("p.r").cast("long").alias("r"), F.col("p.o").cast("long").alias("o"))
+
+
 def _sequence(t, target, seen):
     rows = F.array_sort(F.collect_list(F.struct("idx", F.col(target).alias("t"), seen.alias("s"))))
     g = keyed(t, "event").groupBy("event", "grp").agg(rows.alias("r"))
@@ -79,37 +85,65 @@ def edit_distance(spark, sf_dir):
                     al.set_edit_distance(F.transform(ref, lambda s: F.array(s)), obs).cast("long").alias("set_distance"))
 
 
-def _alignment(spark, sf_dir, cost):
-    p = pairs(spark, sf_dir)
-    a = p.select("event", F.posexplode(al.align(F.col("reference"), F.col("observed"), cost)).alias("step", "p"))
-    return a.select("event", F.col("step").cast("long").alias("step"), F.col("p.r").cast("long").alias("r"), F.col("p.o").cast("long").alias("o"))
+SQL_VOWELS = "(" + ", ".join(f"'{v}'" for v in sorted(VOWELS)) + ")"
+SQL_COST = {
+    "unit": "CASE WHEN {a} = {b} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END",
+    "category": f"""CASE WHEN {{a}} = {{b}} THEN 0.0::DOUBLE WHEN ({{a}} IN {SQL_VOWELS}) = ({{b}} IN {SQL_VOWELS}) THEN 1.0::DOUBLE
+      WHEN {{a}} || '|' || {{b}} IN ('Y|IY', 'IY|Y', 'W|UW', 'UW|W') THEN 0.6::DOUBLE ELSE 2.2::DOUBLE END""",
+}
 
 
-@query("align_unit", f"""WITH RECURSIVE {PAIRS_SQL.replace("CASE WHEN event % 4 = 0 AND i = 3 AND s <> 'AH' THEN [s, 'AH'] ELSE [s] END", "[s]")}, {_matrix_sql("wm", "accepted", "observed")},
-fc AS (SELECT event, list(r ORDER BY i) AS f FROM wm GROUP BY event),
-tr AS (SELECT event, len(accepted) AS i, len(observed) AS j, -1 AS back, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS o FROM pc
+def _trace_sql(n: str, cost: str) -> str:
+    """Cost rows (left to right, so sums keep their order), the back-trace, and per-position labels."""
+    c = SQL_COST[cost]
+    return f"""
+m{n} AS (SELECT event, 0 AS i, list_transform(range(0, len(observed) + 1), lambda j: CAST(j AS DOUBLE)) AS r FROM pr
+ UNION ALL SELECT event, i + 1, list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1.0))) FROM
+  (SELECT f.event, f.i, list_transform(range(0, len(observed) + 1), lambda j: CASE WHEN j = 0 THEN f.r[1] + 1.0 ELSE least(f.r[j] + {c.format(a="reference[f.i + 1]", b="observed[j]")}, f.r[j + 1] + 1.0) END) AS t
+   FROM m{n} f JOIN pr ON pr.event = f.event WHERE f.i < len(reference))),
+f{n} AS (SELECT event, list(r ORDER BY i) AS f FROM m{n} GROUP BY event),
+t{n} AS (SELECT event, len(reference) AS i, len(observed) AS j, -1 AS back, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS o FROM pr
  UNION ALL SELECT x.event, CASE WHEN mv = 3 THEN i ELSE i - 1 END, CASE WHEN mv = 2 THEN j ELSE j - 1 END, back + 1, CASE WHEN mv <> 3 THEN i - 1 END, CASE WHEN mv <> 2 THEN j - 1 END FROM
-  (SELECT tr.*, CASE WHEN tr.i > 0 AND tr.j > 0 AND f[tr.i][tr.j] + CASE WHEN accepted[tr.i][1] = observed[tr.j] THEN 0 ELSE 1 END = f[tr.i + 1][tr.j + 1] THEN 1
-     WHEN tr.i > 0 AND (tr.j = 0 OR f[tr.i][tr.j + 1] + 1 = f[tr.i + 1][tr.j + 1]) THEN 2 ELSE 3 END AS mv FROM tr JOIN fc ON fc.event = tr.event JOIN pc ON pc.event = tr.event WHERE tr.i > 0 OR tr.j > 0) x)
-SELECT event, CAST(max(back) OVER (PARTITION BY event) - back AS BIGINT) AS step, r, o FROM tr WHERE back >= 0""")
+  (SELECT q.*, CASE WHEN q.i > 0 AND q.j > 0 AND f[q.i][q.j] + {c.format(a="reference[q.i]", b="observed[q.j]")} = f[q.i + 1][q.j + 1] THEN 1
+     WHEN q.i > 0 AND (q.j = 0 OR f[q.i][q.j + 1] + 1.0 = f[q.i + 1][q.j + 1]) THEN 2 ELSE 3 END AS mv FROM t{n} q JOIN f{n} ON f{n}.event = q.event JOIN pr ON pr.event = q.event WHERE q.i > 0 OR q.j > 0) x),
+l{n} AS (SELECT t.event, r AS idx, observed[o + 1] AS realized, CASE WHEN o IS NULL THEN 'deletion' WHEN observed[o + 1] = reference[r + 1] THEN 'match' ELSE 'substitution' END AS kind
+  FROM t{n} t JOIN pr ON pr.event = t.event WHERE back >= 0 AND r IS NOT NULL)"""
+
+
+STEPS_SQL = "SELECT event, CAST(max(back) OVER (PARTITION BY event) - back AS BIGINT) AS step, r, o FROM t0 WHERE back >= 0"
+
+
+@query("align_unit", f"WITH RECURSIVE {PAIRS_SQL}, {_trace_sql('0', 'unit')} {STEPS_SQL}")
 def align_unit(spark, sf_dir):
     return _alignment(spark, sf_dir, al.unit_cost)
 
 
-@query("align_category")
+@query("align_category", f"WITH RECURSIVE {PAIRS_SQL}, {_trace_sql('0', 'category')} {STEPS_SQL}")
 def align_category(spark, sf_dir):
     return _alignment(spark, sf_dir, al.category_cost)
 
 
-@query("consensus_labels")
+BOTH_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, {_trace_sql('1', 'unit')}, {_trace_sql('2', 'category')},
+gr AS (SELECT DISTINCT event, grp FROM ptok),
+bo AS (SELECT l1.event, grp, l1.idx, l1.kind AS unit_event, l2.kind AS category_event, l1.realized AS unit_realized, l2.realized AS category_realized,
+  l1.kind = l2.kind AND l1.realized IS NOT DISTINCT FROM l2.realized AS stable FROM l1 JOIN l2 ON l2.event = l1.event AND l2.idx = l1.idx JOIN gr ON gr.event = l1.event)"""
+
+
+@query("consensus_labels", f"""{BOTH_SQL} SELECT event, grp, idx, stable, CASE WHEN stable THEN unit_event ELSE 'alignment_uncertain' END AS event_type, CASE WHEN stable THEN unit_realized END AS realized,
+ unit_event, category_event, unit_realized, category_realized FROM bo""")
 def consensus_labels(spark, sf_dir):
     tok, _ = al.consensus_labels(pairs(spark, sf_dir), ["event", "grp"], "reference", "observed")
-    return tok
+    return tok.withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("consensus_summary")
+@query("consensus_summary", f"""{BOTH_SQL},
+i1 AS (SELECT event, o FROM t1 WHERE back >= 0 AND r IS NULL), i2 AS (SELECT event, o FROM t2 WHERE back >= 0 AND r IS NULL), ix AS (SELECT event, o FROM i1 INTERSECT SELECT event, o FROM i2)
+SELECT bo.event, grp, count(*) n_positions, count(*) FILTER (WHERE stable) n_stable, round(avg(CAST(stable AS INT)), 8) stable_fraction, (SELECT count(*) FROM i1 WHERE i1.event = bo.event) unit_insertions,
+ (SELECT count(*) FROM i2 WHERE i2.event = bo.event) category_insertions, (SELECT count(*) FROM ix WHERE ix.event = bo.event) agreed_insertions, avg(CAST(stable AS INT)) >= 0.8 AS eligible FROM bo GROUP BY bo.event, grp""")
 def consensus_summary(spark, sf_dir):
-    return al.consensus_labels(pairs(spark, sf_dir), ["event", "grp"], "reference", "observed")[1]
+    out = al.consensus_labels(pairs(spark, sf_dir), ["event", "grp"], "reference", "observed")[1]
+    counts = ("n_positions", "n_stable", "unit_insertions", "category_insertions", "agreed_insertions")
+    return rounded(out.withColumns({c: F.col(c).cast("long") for c in counts}), "stable_fraction")
 
 
 def _cells(spark, sf_dir):
