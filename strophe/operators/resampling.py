@@ -69,7 +69,7 @@ def stratified_bootstrap(groups: DataFrame, group: str, severity: str, a: str, b
     d = groups.select(group, F.col(severity).cast("double").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     d = d.withColumns({"_j": F.row_number().over(Window.partitionBy("y").orderBy(group)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("y"))})
     slots = d.select("y", F.col("_j").alias("slot"), "_n")
-    draws = _replicates(groups, replicates).crossJoin(F.broadcast(slots)).select(
+    draws = _replicates(groups, replicates).crossJoin(slots).select(
         "rep", "y", (hash_long(F.col("rep").cast("string"), F.col("y").cast("int").cast("string"), F.col("slot").cast("string")) % F.col("_n")).alias("_j"))
     rows = draws.join(d.select("y", F.col("_j").cast("long").alias("_j"), "a", "b"), ["y", "_j"])
     packed = rows.groupBy("rep").agg(F.collect_list(F.struct("y", "a", "b")).alias("_r"))
@@ -176,3 +176,24 @@ def success_rules(macro: DataFrame, improved: DataFrame, adapted: str, comparato
     verdict = F.when(diff["ap"].isNull(), "not_evaluable").when(every, "success").otherwise("not_met")
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in passed.items()]))
     return one.select(cells.alias("_c"), verdict.alias("verdict"), diff["ap"].alias("ap_difference")).select("_c.*", "verdict", "ap_difference")
+
+
+def final_assessment(primary: DataFrame, sensitivity: DataFrame, required_improved: int = 5, level: float = 0.05) -> DataFrame:
+    """What may be claimed from both cohorts; the second can never rescue the first.
+
+    ``primary`` has one row with ``verdict``; ``sensitivity`` one row with ``difference,
+    n_improved, ci_low, p_two_sided``. Every condition must hold for a claim of superiority.
+    """
+    one = primary.select((F.col("verdict") == "success").alias("primary_success")).crossJoin(sensitivity)
+    checks = {
+        "direction_positive": F.col("difference") > 0,
+        "enough_groups_improved": F.col("n_improved") >= required_improved,
+        "interval_above_zero": F.col("ci_low") > 0,
+        "exact_test_significant": F.col("p_two_sided") < level,
+    }
+    one = one.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
+    supported = F.col("primary_success")
+    for k in checks:
+        supported = supported & F.col(k)
+    return one.select("primary_success", *checks, supported.alias("supported")).withColumn(
+        "wording", F.when(F.col("supported"), "statistically_supported_superiority").otherwise("point_estimate_or_negative_result"))

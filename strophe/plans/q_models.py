@@ -15,9 +15,9 @@ from strophe.operators import selection as se
 
 from strophe.plans import foldrun as fr
 from strophe.plans.q_detection import CURVE
-from strophe.plans.q_priors import evidence
+from strophe.plans.q_priors import EVIDENCE_SQL, evidence
 from strophe.plans.registry import query, rounded
-from strophe.plans.tables import SCORED_SQL, TOKENS_SQL, scored, table, tokens
+from strophe.plans.tables import PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
 from strophe.session import shared_dir
 
 LABELLED = "quality IS NULL AND diagnostic AND stable_error"
@@ -35,14 +35,19 @@ def standardize(spark, sf_dir):
     return out.select("key", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("value", "k")])
 
 
-@query("rank_normalize")
+@query("rank_normalize", f"""WITH {TOKENS_SQL}, q AS (SELECT quantile_cont(value, list_transform(range(0, 256), lambda i: i / 255.0::DOUBLE)) AS q FROM tokens WHERE cohort = 'case'),
+x AS (SELECT key, value AS v, q, len(list_filter(q, lambda u: u < value)) AS b, len(list_filter(q, lambda u: u <= value)) AS u FROM tokens, q WHERE cohort = 'control')
+SELECT key, round(greatest(1e-7, least(1 - 1e-7, CASE WHEN u = 0 THEN 0 WHEN b >= 256 THEN 1 WHEN u > b THEN (b + u - 1) / 2.0::DOUBLE / 255 ELSE (b - 1 + (v - q[b]) / (q[b + 1] - q[b])) / 255 END)), 7) AS place FROM x""")
 def rank_normalize(spark, sf_dir):
+    """Place of every value in the training quantiles: the normal score mapped back to (0, 1)."""
     t = tokens(spark, sf_dir).select("key", "cohort", "value")
     out = mo.rank_normalize(t.where("cohort = 'control'"), t.where("cohort = 'case'"), "value", "normal")
-    return rounded(out.select("key", "normal"), "normal")
+    return out.select("key", F.round(mo.normal_cdf(F.col("normal")), 7).alias("place"))
 
 
-@query("phone_design")
+@query("phone_design", f"""WITH {PTOK_SQL}, {EVIDENCE_SQL.split("pa AS")[0].rstrip().rstrip(",")},
+x AS (SELECT key, unnest([-gop, -viterbi_gop, ln(sub / ok), ln(del / ok)]) AS v FROM ev), y AS (SELECT key, sign(v) * ln(1 + abs(v)) AS v FROM x)
+SELECT key, CAST(199 AS INT) AS width, round(1 + 2 * sum(v), 6) AS total, CAST(1 + 2 * count(*) FILTER (WHERE v <> 0) AS INT) AS non_zero FROM y GROUP BY key""")
 def phone_design(spark, sf_dir):
     d = mo.phone_design(cues(spark, sf_dir), "source", fr.CUES, interactions=True)
     v = vector_to_array(F.col("features"))

@@ -15,7 +15,7 @@ def score_positions(positions: DataFrame, calibration: DataFrame, threshold: flo
 
     ``calibration`` is a small static table (method, slope, intercept), one row per method.
     """
-    j = positions.join(F.broadcast(calibration), "method")
+    j = positions.join(calibration, "method")
     return j.withColumn("p_error", sigmoid(F.col("slope") * F.col("score") + F.col("intercept"))).withColumn(
         "flagged", F.col("p_error") >= threshold).drop("slope", "intercept")
 

@@ -182,3 +182,12 @@ def test_group_equal_prior_rows_sum_to_one(spark):
     assert all(r["s"] == pytest.approx(1) for t in (ops, subs) for r in t.groupBy("source").agg(F.sum("p").alias("s")).collect())
     weak = {r["source"]: r["fallback"] for r in ops.collect()}
     assert not weak["K"] and weak["S"] and weak["AA"]
+
+
+def test_final_assessment_needs_every_condition(spark):
+    cols = "difference double, n_improved int, ci_low double, p_two_sided double"
+    ok, bad = (0.02, 6, 0.001, 0.03), (0.02, 6, -0.001, 0.03)
+    for verdict, row, want in (("success", ok, True), ("success", bad, False), ("not_met", ok, False)):
+        r = rs.final_assessment(spark.createDataFrame([(verdict,)], "verdict string"), spark.createDataFrame([row], cols)).first()
+        assert r["supported"] is want
+        assert r["wording"].startswith("statistically") == want
