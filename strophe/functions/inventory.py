@@ -134,9 +134,6 @@ def phone_name(index: Column) -> Column:
     return F.element_at(strings(PHONES), index.cast("int"))
 
 
-def phone_id(name: Column) -> Column:
-    return F.array_position(strings(PHONES), name).cast("int")
-
 
 def phone_table(spark: SparkSession) -> DataFrame:
     """One row per phone with its descriptors; 39 rows, safe to broadcast."""

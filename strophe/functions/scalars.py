@@ -27,9 +27,6 @@ def count_if(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def sum_if(condition: Column, value: Column) -> Column:
-    return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
-
 
 def signed_log(x: Column) -> Column:
     """Monotone compression ``sign(x) * log1p(|x|)``."""

@@ -1,6 +1,6 @@
 """Correlations of two short arrays (one entry per group) inside a row.
 
-Group tables hold one row per speaker-like unit, so a replicate or permutation is one small
+Group tables hold one row per group, so a replicate or permutation is one small
 array; Spark spreads replicates. No pairs are ever emitted as rows.
 """
 

@@ -23,7 +23,7 @@ from strophe.functions.inventory import (
     phone_table,
     strings,
 )
-from strophe.functions.scalars import log_ratio, ratio, signed_log
+from strophe.functions.scalars import log_ratio, signed_log
 
 # Operation probabilities and insertion rate of the generic prior.
 GENERIC_OPS = {"OK": 0.90, "SUB": 0.07, "DEL": 0.03}
@@ -337,9 +337,3 @@ def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFr
     }
     j = j.withColumns({k: signed_log(v) for k, v in cues.items()})
     return j.drop("_open", "_prod", "_m", "_mq", "_left", "_u", "_num", "_den")
-
-
-def share(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """``value`` divided by its total inside ``by``."""
-    total = df.groupBy(*by).agg(F.sum(value).alias("_t"))
-    return df.join(total, list(by)).withColumn(out, ratio(F.col(value), F.col("_t"))).drop("_t")

@@ -315,7 +315,7 @@ def paths(spark, sf_dir):
     return j.select("event", "labels", la.viterbi_path(F.col("matrix"), F.col("labels")).alias("v")).where("v IS NOT NULL").select("event", "labels", "v.path", "v.score")
 
 
-@query("viterbi_states", f"""WITH RECURSIVE {TARGETS_SQL},
+VITERBI_SQL = TARGETS_SQL + """,
 st AS (SELECT event, s, CASE WHEN s % 2 = 1 THEN labels[(s + 1) // 2] ELSE 0 END AS sym, 2 * len(labels) + 1 AS ns, s >= 2 AND s % 2 = 1 AND (s < 3 OR labels[(s + 1) // 2] <> labels[(s - 1) // 2]) AS skip
   FROM (SELECT *, unnest(generate_series(0, 2 * len(labels))) AS s FROM tg)),
 vt AS (SELECT st.event, 0 AS t, list(CASE WHEN s <= 1 THEN logp ELSE -1e300::DOUBLE END ORDER BY s) AS v, list(CAST(s AS VARCHAR) ORDER BY s) AS p FROM st JOIN lp ON lp.event = st.event AND lp.frame = 0 AND lp.symbol = sym GROUP BY st.event
@@ -323,8 +323,10 @@ vt AS (SELECT st.event, 0 AS t, list(CASE WHEN s <= 1 THEN logp ELSE -1e300::DOU
    (SELECT *, CASE mv WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS best FROM (SELECT *, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS mv FROM
      (SELECT vt.event, vt.t + 1 AS t, st.s, logp, vt.p, vt.v[s + 1] AS a, CASE WHEN s >= 1 THEN vt.v[s] ELSE -1e300::DOUBLE END AS b, CASE WHEN skip THEN vt.v[s - 1] ELSE -1e300::DOUBLE END AS c
       FROM vt JOIN st ON st.event = vt.event JOIN lp ON lp.event = vt.event AND lp.frame = vt.t + 1 AND lp.symbol = st.sym) y) x) w GROUP BY event, t) z),
-en AS (SELECT vt.event, v, p, CASE WHEN v[len(v) - 1] > v[len(v)] THEN len(v) - 1 ELSE len(v) END AS e FROM vt JOIN nf ON nf.event = vt.event WHERE vt.t = nf.n - 1)
-SELECT event, p[e] AS path, round(v[e], 7) AS score FROM en WHERE v[e] > -1e299""")
+en AS (SELECT vt.event, v, p, CASE WHEN v[len(v) - 1] > v[len(v)] THEN len(v) - 1 ELSE len(v) END AS e FROM vt JOIN nf ON nf.event = vt.event WHERE vt.t = nf.n - 1)"""
+
+
+@query("viterbi_states", f"WITH RECURSIVE {VITERBI_SQL} SELECT event, p[e] AS path, round(v[e], 7) AS score FROM en WHERE v[e] > -1e299")
 def viterbi_states(spark, sf_dir):
     p = paths(spark, sf_dir)
     return p.select("event", F.concat_ws(",", F.transform("path", lambda s: s.cast("string"))).alias("path"), F.round("score", 7).alias("score"))
@@ -349,31 +351,28 @@ def variant_marginal(spark, sf_dir):
     return out.withColumns({"position": F.col("position").cast("long"), "candidate": F.col("candidate").cast("long")})
 
 
-SPANS_SQL = FRAMES_SQL + """,
-fs AS (SELECT event, frame, frame * 2 // 3 AS st FROM fr), sp AS (SELECT event, frame, (st - 1) // 2 AS position FROM fs WHERE st % 2 = 1)"""
+SPANS_SQL = VITERBI_SQL + """,
+sp AS (SELECT event, frame, (s - 1) // 2 AS position FROM (SELECT event, unnest(list_transform(string_split(p[e], ','), lambda x: CAST(x AS INT))) AS s,
+  unnest(generate_series(0, len(string_split(p[e], ',')) - 1)) AS frame FROM en WHERE v[e] > -1e299) WHERE s % 2 = 1)"""
 
 
-def even_states(spark, sf_dir):
-    """A fixed monotone state path (two states per three frames) for the span operators."""
-    f = frames(spark, sf_dir).withColumn("state", F.floor(F.col("frame") * 2 / 3).cast("int"))
-    return f.where("state % 2 = 1").select("event", "frame", ((F.col("state") - 1) / 2).cast("int").alias("position"))
+def label_frames(spark, sf_dir):
+    return la.label_frames(paths(spark, sf_dir), "event")
 
 
-@query("segment_spans", f"WITH {SPANS_SQL} SELECT event, CAST(position AS BIGINT) position, min(frame) start_frame, max(frame) + 1 end_frame, count(*) n_frames FROM sp GROUP BY event, position")
+@query("segment_spans", f"WITH RECURSIVE {SPANS_SQL} SELECT event, CAST(position AS BIGINT) position, CAST(min(frame) AS INT) start_frame, CAST(max(frame) + 1 AS INT) end_frame, count(*) n_frames FROM sp GROUP BY event, position")
 def segment_spans(spark, sf_dir):
-    return la.segment_spans(even_states(spark, sf_dir), "event").withColumn("position", F.col("position").cast("long"))
+    return la.segment_spans(label_frames(spark, sf_dir), "event").withColumn("position", F.col("position").cast("long"))
 
 
-@query("forced_score", f"""WITH {SPANS_SQL}, tt AS (SELECT event, list(label % 9 + 1 ORDER BY frame) labels FROM fr GROUP BY event),
+@query("forced_score", f"""WITH RECURSIVE {SPANS_SQL},
 m AS (SELECT sp.event, position, symbol, ln(avg(exp(logp))) lme, avg(logp) ml FROM sp JOIN lp ON lp.event = sp.event AND lp.frame = sp.frame WHERE symbol > 0 GROUP BY ALL),
-x AS (SELECT m.*, symbol = labels[position + 1] own, row_number() OVER (PARTITION BY m.event, position, symbol = labels[position + 1] ORDER BY lme DESC, symbol) rn FROM m JOIN tt USING (event))
+x AS (SELECT m.*, symbol = labels[position + 1] own, row_number() OVER (PARTITION BY m.event, position, symbol = labels[position + 1] ORDER BY lme DESC, symbol) rn FROM m JOIN tg USING (event))
 SELECT event, CAST(position AS BIGINT) position, round(max(lme) FILTER (WHERE own), 8) score, round(max(ml) FILTER (WHERE own), 8) self_score, CAST(max(symbol) FILTER (WHERE NOT own AND rn = 1) AS BIGINT) competitor,
  round(max(lme) FILTER (WHERE NOT own), 8) competitor_score, round(max(lme) FILTER (WHERE own) - max(lme) FILTER (WHERE NOT own), 8) margin FROM x GROUP BY event, position""")
 def forced_score(spark, sf_dir):
     f = logp_frames(spark, sf_dir)
     long = f.select("event", "frame", F.posexplode("logp").alias("symbol", "logp")).where("symbol > 0")
-    rows = F.array_sort(F.collect_list(F.struct("frame", (F.col("label") % 9 + 1).cast("int").alias("s"))))
-    t = f.groupBy("event").agg(F.transform(rows, lambda r: r["s"]).alias("labels"))
-    out = la.forced_score(even_states(spark, sf_dir), long, t, "event")
+    out = la.forced_score(label_frames(spark, sf_dir), long, targets(spark, sf_dir), "event")
     out = out.withColumns({"position": F.col("position").cast("long"), "competitor": F.col("competitor").cast("long")})
     return rounded(out, "score", "self_score", "competitor_score", "margin")

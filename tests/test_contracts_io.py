@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from strophe.functions import texts as tx
 from strophe.functions.inventory import ALLOPHONES, DROPPED_LABELS, PHONES
+from strophe.operators import association as ac
 from strophe.operators import contracts as ct
 from strophe.operators import linking as lk
 from strophe.plans import foldrun as fr
 from strophe.plans import q_models as qm
 from strophe.session import cut_lineage, shared_dir
 from strophe.sources import records as rc
+from strophe.sources.frames import duplicate_frames
 
 
 def scratch(spark):
@@ -112,3 +114,14 @@ def test_test_gold_cannot_change_predictions(spark, sf_dir):
 def test_checkpoint_is_reliable(spark):
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_structural_checks(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], [True]), (2, ["a"], [True])], "event long, symbols array<string>, mask array<boolean>")
+    assert [r["event"] for r in ct.unequal_lengths(rows, ["event"], ["symbols", "mask"]).collect()] == [1]
+    holes = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 2), (3, 0), (3, 0)], "event long, idx long")
+    assert sorted(r["event"] for r in ct.index_holes(holes, ["event"], "idx").collect()) == [2, 3]
+    meta = spark.createDataFrame([("g", 1, "x"), ("g", 2, "x"), ("h", 1, "y")], "grp string, sev int, site string")
+    assert [tuple(r) for r in ac.inconsistent_metadata(meta, ["grp"], ["sev", "site"]).collect()] == [("g", "sev")]
+    twice = spark.createDataFrame([(1, 0, [0.0]), (1, 0, [1.0]), (1, 1, [0.0])], "event long, frame long, logits array<double>")
+    assert [tuple(r) for r in duplicate_frames(twice).collect()] == [(1, 0, 2)]
