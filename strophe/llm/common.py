@@ -49,3 +49,23 @@ def same(a: DataFrame, b: DataFrame, *cols: str) -> Column:
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; 0 for null."""
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, also where lambdas use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Bits of the membership filter below; it is sent to all tasks as at most FILTER_BITS / 64 rows.
+FILTER_BITS = 1 << 22
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """Rows of ``df`` that may have a partner in ``keys`` on ``cols``: a bitmap of a fixed size thins them
+    out before a shuffle. No partner is lost; the join that follows decides."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    words = keys.select(bit.alias("_bit")).groupBy(F.expr("_bit div 64").cast("int").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    marked = df.withColumn("_bit", bit).withColumn("_word", F.expr("_bit div 64").cast("int"))
+    hit = marked.join(F.broadcast(words), "_word").where(F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1L") == 1)
+    return hit.select(*df.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import BLANKS, lower_az, same, written
+from strophe.llm.common import BLANKS, let, lower_az, same, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -47,11 +47,12 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     drops = drops.groupBy("doc_id", "_v").agg(F.collect_set("_pos").alias("_drop"))
     b, d = base.alias("b"), drops.alias("d")
     joined = b.join(d, same(base, drops, "doc_id", "_v"), "left").select("b.*", "d._drop")
+    def reassembled(ls):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drop"))
+        return F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
+
     lines = F.split("text", "\n", -1)
-    joined = joined.withColumn("_lines", lines).withColumn("_n", F.size("_lines").cast("long"))
-    stay = F.array_except(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    kept = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(let(lines, reassembled))
     return joined.select(
         "doc_id", *[F.col(f"_rest._c{i}").alias(c) for i, c in enumerate(carry)], kept.alias("text"),
-        F.col("_n").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -37,3 +37,52 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = drop_shared_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+WORDS_SQL = "regexp_extract_all(" + AZ_SQL.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x{7F}]+')"
+
+
+@query(f"""
+WITH dw AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+iw AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+iwin AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT *, least(13, len(w)) AS size, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iwin),
+dwin AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM dw, sizes WHERE len(w) >= size)),
+hit AS (SELECT doc_id, item_id, s, d.size FROM dwin d JOIN iwin i ON d.size = i.size AND d.g = i.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encode and decode by the public rank file; digests of ids and bytes."""
+    import public_tokenizers
+
+    from strophe.llm.bpe import decoded, encoded
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = decoded(encoded(docs, path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
