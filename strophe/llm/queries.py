@@ -86,3 +86,21 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query()
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY hex) AS owner,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to FROM d""")
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.common import scratch
+    from strophe.llm.warc import read_bundles, write_bundles
+
+    pages = table(spark, sf_dir, "pages")
+    root = scratch(spark, "bundles")
+    records = read_bundles(spark, write_bundles(pages, root), root, with_payload=False)
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
