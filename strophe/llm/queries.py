@@ -104,3 +104,19 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_bundles(spark, write_bundles(pages, root), root, with_payload=False)
     kind = pages.schema["page_id"].dataType
     return records.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({AZ_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)""")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.part_enum import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
