@@ -120,3 +120,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophe.llm.part_enum import near_duplicate_classes
 
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op10_hpy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.common import crc_mod
+    from strophe.llm.hpy import scored, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = scored(docs, train(docs.where(crc_mod(F.col("doc_id"), 7) != 2)))
+    return out.withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
