@@ -130,3 +130,13 @@ def op10_hpy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, train(docs.where(crc_mod(F.col("doc_id"), 7) != 2)))
     return out.withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+
+
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.common import crc_mod
+    from strophe.llm.language_id import identified, trained
+
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    return identified(docs, trained(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
