@@ -140,3 +140,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 3) == 1
     return identified(docs, trained(docs.where(~held))).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.cotrain import scored, trained
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, table(spark, sf_dir, "labels")))
