@@ -148,3 +148,15 @@ def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return scored(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.personal_data import BASE, personal_data
+
+    out = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
