@@ -1,19 +1,62 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last returns
+one row of token digests per document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strophe.llm import cotrain, decontaminate, line_dedup, part_enum
+from strophe.llm.common import table, written
+from strophe.llm.queries import bpe_digests
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES = []
+#: Some stages learn a model; SQL can't state their rows.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = cotrain.trained(docs, table(spark, sf_dir, "labels"))
+    return cotrain.scored(docs, model, carry=COLUMNS).where("accepted").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them; no document goes."""
+    out = line_dedup.drop_shared_lines(docs, carry=("lang", "source"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays; documents without an id stay."""
+    classes = part_enum.near_duplicate_classes(docs)
+    gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = written(found.where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_v").alias("_dv")), "contaminated")
+    version = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (version == F.col("_dv")), "left_anti").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again by the byte-level BPE."""
+    return bpe_digests(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+          ("benchmark decontamination", benchmark), ("byte-level BPE", tokens)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn; what a stage returns is written to the shared folder and read again."""
-    from strophe.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
