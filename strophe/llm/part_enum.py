@@ -8,11 +8,11 @@ at least one. A signature over no elements says nothing and is left out; small s
 independent cuts, which makes it certain in practice that a shared one remains.
 
 Equal sets are one class, in a task before anything is shuffled, and over the corpus by their
-hash. Classes that share a signature are tried in two rounds: first against one leader per
-distinct member of a group, then, where a group still spans several components, against every
-member of another component. A bound from bucket counts that never rejects a similar pair goes
-before the exact check of whole sets. So groups of similar copies cost one pair a member, and no
-link that could join two components is lost.
+hash. Classes that share a signature are tried in rounds: first against one leader of each part of
+a group, then, where a group still spans several components, against the nearest member of another
+component, and at last against every member of another component. A bound from bucket counts that
+never rejects a similar pair goes before the exact check of whole sets. So groups of similar copies
+cost about one pair a member, and no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from strophe.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-BUCKETS = 64
+BUCKETS = 256
 #: Sets remembered by a task so that equal ones emit their signatures once; words remembered for their hash.
 SEEN_CLASSES, SEEN_WORDS = 200_000, 400_000
 #: Members of a signature group that a task holds at once; the blocks of a larger group meet in pairs.
@@ -59,21 +59,20 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()
-        known, digest = self.words, self.hash
+        known = self.words
         if len(known) > SEEN_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = digest(w)
-        h = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+        for w in set(words).difference(known):
+            known[w] = self.hash(w)
+        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
         k = min(self.width, len(h))
         if not k:
             return h
         with np.errstate(over="ignore"):
-            s = np.full(len(h) - k + 1, k, dtype=np.uint64)
-            for i in range(k):
-                s = mixed(s * U(0x100000001B3) + h[i:len(h) - k + 1 + i])
-        return np.unique(s)
+            s = h[:len(h) - k + 1] + U(k)
+            for i in range(1, k):
+                s = s * U(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i]
+        return np.unique(mixed(s))
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -109,31 +108,43 @@ def parameters(band: int, percent: int) -> tuple[int, int, int, int]:
     return k // (k2 + 1) + 1, n2, k2, 4 if a <= 40 else 2 if a <= 256 else 1
 
 
+@lru_cache(maxsize=4096)
+def cuts_of(band: int, percent: int) -> tuple:
+    """(n1, n2, subsets, edges between partitions, a salt for each (cut, subset, group)) of a band."""
+    n1, n2, k2, cuts = parameters(band, percent)
+    edges = np.array([i * (1 << 64) // (n1 * n2) for i in range(1, n1 * n2)], dtype=np.uint64)
+    subsets = list(itertools.combinations(range(n2), n2 - k2))
+    salts = [np.stack([mixed(np.arange(n1, dtype=np.uint64), ((band * 8 + cut) * 64 + j) * 4 + 5) for j in range(len(subsets))], axis=1) for cut in range(cuts)]
+    member = np.zeros((n2, len(subsets)), dtype=np.uint64)
+    for j, chosen in enumerate(subsets):
+        member[list(chosen), j] = 1
+    return n1, n2, edges, salts, member
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of one set of hashes, sorted ascending."""
-    found = []
-    for band in bands(len(s), percent):
-        n1, n2, k2, cuts = parameters(band, percent)
-        for cut in range(cuts):
-            h = s if cut == 0 else np.sort(mixed(s, 100 + cut))
-            edges = (np.arange(1, n1 * n2, dtype=object) * (1 << 64) // (n1 * n2)).astype(np.uint64) if n1 * n2 > 1 else np.zeros(0, np.uint64)
-            at = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
-            with np.errstate(over="ignore"):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h, 3), dtype=np.uint64)))
-                sums = (total[at[1:]] - total[at[:-1]]).reshape(n1, n2)
-                sizes = np.diff(at).reshape(n1, n2)
-                for j, chosen in enumerate(itertools.combinations(range(n2), n2 - k2)):
-                    chosen = list(chosen)
-                    some = sizes[:, chosen].sum(axis=1) > 0
-                    place = mixed(np.arange(n1, dtype=np.uint64), ((band * 8 + cut) * 64 + j) * 4 + 5)
-                    found.append(mixed(sums[:, chosen].sum(axis=1, dtype=np.uint64) + place)[some])
-    return np.unique(np.concatenate(found)).view(np.int64)
+    found, cut_of = [], {}
+    with np.errstate(over="ignore"):
+        for band in bands(len(s), percent):
+            n1, n2, edges, salts, member = cuts_of(band, percent)
+            for cut, salt in enumerate(salts):
+                if cut not in cut_of:
+                    h = s if cut == 0 else np.sort(mixed(s, 100 + cut))
+                    cut_of[cut] = h, np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h, 3), dtype=np.uint64)))
+                h, total = cut_of[cut]
+                at = np.empty(len(edges) + 2, dtype=np.int64)
+                at[0], at[1:-1], at[-1] = 0, np.searchsorted(h, edges), len(h)
+                part = total[at]
+                sums = (part[1:] - part[:-1]).reshape(n1, n2) @ member
+                some = (at[1:] - at[:-1]).reshape(n1, n2).astype(np.uint64) @ member > 0
+                found.append((sums + salt)[some])
+    return np.unique(mixed(np.concatenate(found))).view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
     """Elements per hash bucket; the sum of absolute differences never exceeds the number of differing elements."""
     counts = np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def may_link(size_a, size_b, gap, percent: int):
@@ -221,26 +232,38 @@ def _shared(rows: DataFrame) -> DataFrame:
     return _dealt(rows, "sig", "k1").mapInArrow(run, "g long, k1 long")
 
 
-def _pairs(members: DataFrame, percent: int, star: bool) -> DataFrame:
-    """(a, b): candidate pairs of groups (g, id, c, n, sketch). With ``star`` one leader for each part of a
-    group that lies within its bound; else all pairs of different components c within the bound.
+def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
+    """(a, b): candidate pairs, within the bound, of groups (g, id, c, n, sketch) with components c.
+
+    ``star``: one leader for each part of a group that lies within its bound. ``nearest``: each member outside the
+    group's largest component with the nearest member of another component. ``all``: every pair of
+    different components.
 
     Groups over BLOCK members are dealt into blocks whose number is counted; each pair of blocks is a
     group of its own, so that a task never holds more than two blocks."""
     def of_group(k: np.ndarray, n: np.ndarray, c: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if how == "nearest":
+            names, size = np.unique(c, return_counts=True)
+            for i in np.flatnonzero(c != names[size.argmax()]):
+                others = np.flatnonzero(c != c[i])
+                gap = np.abs(x[i] - x[others]).sum(axis=1)
+                j = others[gap.argmin()]
+                if may_link(n[i], n[j], gap.min(), percent):
+                    yield np.array([min(k[i], k[j])]), np.array([max(k[i], k[j])])
+            return
         rest = np.arange(len(k))
         while len(rest) > 1:
             i, others = rest[0], rest[1:]
             ok = c[others] != c[i]
             ok[ok] = may_link(n[i], n[others[ok]], np.abs(x[i] - x[others[ok]]).sum(axis=1), percent)
             yield np.full(ok.sum(), k[i]), k[others[ok]]
-            rest = others[~ok] if star else others
+            rest = others[~ok] if how == "star" else others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in itertools.chain(batches, [None]):
             rows = held if batch is None else [c.to_numpy() for c in batch.columns[:6]] + [
-                np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(batch.num_rows, BUCKETS)]
+                np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, BUCKETS)]
             if batch is not None and held is not None:
                 rows = [np.concatenate(z) for z in zip(held, rows, strict=True)]
             if rows is None or not len(rows[0]):
@@ -252,11 +275,11 @@ def _pairs(members: DataFrame, percent: int, star: bool) -> DataFrame:
                 held = [z[start[-1]:] for z in rows]
                 start, end = start[:-1], end[:-1]
             two = start[end - start == 2]
-            gap = np.abs(sk[two].astype(np.int64) - sk[two + 1]).sum(axis=1)
+            gap = np.abs(sk[two].astype(np.int16) - sk[two + 1]).sum(axis=1)
             two = two[(c[two] != c[two + 1]) & may_link(n[two], n[two + 1], gap, percent)]
             found = [(k[two], k[two + 1])]
             for i, j in zip(start[end - start > 2], end[end - start > 2], strict=True):
-                found += of_group(k[i:j], n[i:j], c[i:j], sk[i:j].astype(np.int64))
+                found += of_group(k[i:j], n[i:j], c[i:j], sk[i:j].astype(np.int16))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[h] for f in found])) for h in (0, 1)], ["a", "b"])
 
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
@@ -326,15 +349,19 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int
     shared = written(_shared(sigs).distinct(), "shared")
     members = shared.join(classes.where("rep IS NOT NULL").select("k1", F.col("rep").alias("id"), "n", "sketch"), "k1")
     members = written(members.select("g", "id", "n", "sketch").dropDuplicates(["g", "id"]), "members")
-    pairs = written(_pairs(members.withColumn("c", F.col("id")), percent, star=True), "pairs")
-    edges = written(_verified(pairs, classes, docs, shingle, percent), "links")
-    labels = components(edges)
-    found = members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    still = found.groupBy("g").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("g")
-    left = written(found.join(written(still, "open"), "g", "left_semi"), "left")
-    more = written(_pairs(left, percent, star=False), "pairs").join(pairs, ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(_verified(more, classes, docs, shingle, percent), "links"))
-    labels = components(edges)
+    tried = edges = None
+    found = members.withColumn("c", F.col("id"))
+    for how in ("star", "nearest", "nearest", "all"):
+        pairs = _pairs(found, percent, how)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = written(_verified(pairs, classes, docs, shingle, percent), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = links if edges is None else edges.unionByName(links)
+        labels = components(edges)
+        if how != "all":
+            found = members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            still = found.groupBy("g").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("g")
+            found = written(found.join(written(still, "open"), "g", "left_semi"), "open-members")
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
     named = written(named.select("k1", "k2", "n", F.coalesce("c", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "named")
