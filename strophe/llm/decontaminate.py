@@ -60,7 +60,7 @@ def alignments(index: DataFrame, terms: DataFrame, rows: int, window: int) -> Da
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_at", "_t")).alias("_r")).where("_r._n > 0")
     anchors = rarest.groupBy("_item", F.col("_r._t").alias("_t"), F.col("_r._at").alias("_at")).agg(
         F.min("_start").alias("_lo"), F.max(F.least(F.col("_start") + window, F.col("_len")) - 1).alias("_hi"))
-    at = index.join(_small(anchors, rows), "_t").where(F.col("_pos") >= F.col("_at") - F.col("_lo"))
+    at = index.join(_small(anchors, rows), "_t")
     return at.groupBy("doc_id", "_v", "_item", (F.col("_pos") - F.col("_at")).alias("_shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(F.sequence("_lo", "_hi")))).alias("_need"))
 
@@ -78,7 +78,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     index = written(postings(docs, vocabulary, n), "postings")
     need = alignments(index, terms, n, window).select("doc_id", "_v", "_item", "_shift", F.explode("_need").alias("_at"))
     need = need.join(_small(terms.select("_item", "_at", "_t", "_len"), n), ["_item", "_at"])
-    need = need.withColumn("_pos", F.col("_shift") + F.col("_at"))
+    need = need.withColumn("_pos", F.col("_shift") + F.col("_at")).where("_pos >= 0")
     need = written(need, "need")
     listed = maybe_in(index.where(F.col("_t").isNotNull()), need, "doc_id", "_v").select(
         F.col("doc_id").alias("_d"), F.col("_v").alias("_dv"), F.col("_pos").alias("_dpos"), F.col("_t").alias("_dt"))
