@@ -33,7 +33,7 @@ class Rule:
             ok = ok & (self.ratio >= self.low)
         if self.high is not None:
             ok = ok & (self.ratio <= self.high)
-        return F.coalesce(ok, F.lit(True)) | (F.col("n_words") < self.from_words)
+        return F.when(F.col("n_words") < self.from_words, F.lit(True)).otherwise(F.coalesce(ok, F.lit(True)))
 
 
 def default_rules() -> tuple[Rule, ...]:
