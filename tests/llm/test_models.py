@@ -76,7 +76,7 @@ def test_language_model(spark, odd, empty):
         if r["doc_id"] != 7:
             assert got["n_known"] == sum(counts[x] > 0 for x in w)
             assert math.isclose(got["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-    assert hpy.scored(odd, hpy.train(empty)).where("score < 0 AND n_known = 0").count() == len(out) + 1
+    assert hpy.scored(odd, hpy.train(empty)).where("score = 0 AND base_score = 0 AND n_known = 0").count() == len(out) + 1
     assert hpy.scored(empty, hpy.train(train)).count() == 0
 
 
