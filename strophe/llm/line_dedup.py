@@ -43,7 +43,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     base = base.withColumn("_v", F.xxhash64("text"))
     keys = written(line_keys(base, min_chars), "lines")
     shared = keys.groupBy("_h1", "_h2").agg(F.count_distinct("doc_id").alias("_n"), F.max("doc_id").alias("_owner"))
-    drops = keys.join(shared.where(F.col("_n") >= min_docs), ["_h1", "_h2"]).where(~F.col("doc_id").eqNullSafe(F.col("_owner")))
+    shared = written(shared.where(F.col("_n") >= min_docs), "shared-lines")  # both sides of the join can then be split
+    drops = keys.join(shared, ["_h1", "_h2"]).where(~F.col("doc_id").eqNullSafe(F.col("_owner")))
     drops = drops.groupBy("doc_id", "_v").agg(F.collect_set("_pos").alias("_drop"))
     b, d = base.alias("b"), drops.alias("d")
     joined = b.join(d, same(base, drops, "doc_id", "_v"), "left").select("b.*", "d._drop")
