@@ -26,12 +26,12 @@ def matrices(spark, sf_dir):
 def targets(spark, sf_dir):
     """Reference sequence of an event: 3 to 5 symbols from the labels of its first frames."""
     f = frames(spark, sf_dir).where(F.col("frame") < 3 + F.col("event") % 3)
-    rows = F.array_sort(F.collect_list(F.struct("frame", (F.col("label") % 9 + 1).cast("int").alias("s"))))
+    rows = F.array_sort(F.collect_list(F.struct("frame", (F.col("label") % 63 + 1).cast("int").alias("s"))))
     return f.groupBy("event").agg(F.transform(rows, lambda r: r["s"]).alias("labels"))
 
 
 TARGETS_SQL = FRAMES_SQL + """,
-tg AS (SELECT event, list(CAST(label % 9 + 1 AS INT) ORDER BY frame) AS labels FROM fr WHERE frame < 3 + event % 3 GROUP BY event),
+tg AS (SELECT event, list(CAST(label % 63 + 1 AS INT) ORDER BY frame) AS labels FROM fr WHERE frame < 3 + event % 3 GROUP BY event),
 nf AS (SELECT event, count(*) AS n FROM fr GROUP BY event)"""
 
 
@@ -55,7 +55,7 @@ def log_softmax(spark, sf_dir):
 
 
 @query("affine_logits", f"""WITH {FRAMES_SQL},
-w AS (SELECT i, j, CASE WHEN i = j THEN 0.8::DOUBLE ELSE 0.0 END + ((i * 3 + j * 5) % 7 - 3) / 50.0::DOUBLE AS w FROM (SELECT unnest(generate_series(0, 9)) i), (SELECT unnest(generate_series(0, 9)) j))
+w AS (SELECT i, j, CASE WHEN i = j THEN 0.8::DOUBLE ELSE 0.0 END + ((i * 3 + j * 5) % 7 - 3) / 50.0::DOUBLE AS w FROM (SELECT unnest(generate_series(0, 63)) i), (SELECT unnest(generate_series(0, 63)) j))
 SELECT event, frame, i AS symbol, round(sum(w * v) + i / 10.0::DOUBLE, 8) AS value FROM fl JOIN w ON w.j = fl.symbol GROUP BY event, frame, i""")
 def affine_logits(spark, sf_dir):
     """A fitted linear recalibration (matrix and bias) applied to every frame."""
@@ -120,49 +120,49 @@ def frame_topk(spark, sf_dir):
 
 MASS_SQL = FRAMES_SQL + """, mass AS (SELECT event, symbol, sum(exp(logp)) mass FROM lp WHERE symbol > 0 GROUP BY ALL),
 cov AS (SELECT event, symbol, mass, coalesce(sum(mass) OVER (PARTITION BY event ORDER BY mass DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, sum(mass) OVER (PARTITION BY event) t FROM mass),
-cover AS (SELECT event, symbol, mass FROM cov WHERE b < 0.9::DOUBLE * t)"""
+cover AS (SELECT event, symbol, mass FROM cov WHERE b < 0.99::DOUBLE * t)"""
 
 
 @query("mass_cover", f"WITH {MASS_SQL} SELECT event, symbol, round(mass, 8) mass FROM cover")
 def mass_cover(spark, sf_dir):
     m = ca.symbol_mass(logp_frames(spark, sf_dir), "event", "logp")
-    return rounded(ca.mass_cover(m, "event", 0.9).withColumn("symbol", F.col("symbol").cast("long")), "mass")
+    return rounded(ca.mass_cover(m, "event", 0.99).withColumn("symbol", F.col("symbol").cast("long")), "mass")
 
 
 @query("retained_mass", f"""WITH {MASS_SQL} SELECT m.event, count(c.symbol) n_selected, round(coalesce(sum(c.mass) / sum(m.mass), 1), 8) retained
 FROM mass m LEFT JOIN cover c ON c.event = m.event AND c.symbol = m.symbol GROUP BY m.event""")
 def retained_mass(spark, sf_dir):
     m = ca.symbol_mass(logp_frames(spark, sf_dir), "event", "logp")
-    return rounded(ca.retained_mass(m, ca.mass_cover(m, "event", 0.9), "event"), "retained")
+    return rounded(ca.retained_mass(m, ca.mass_cover(m, "event", 0.99), "event"), "retained")
 
 
-NEIGHBORS_SQL = "nb AS (SELECT s AS source, [CAST(s % 9 + 1 AS INT), CAST((s * 2) % 9 + 1 AS INT)] AS targets FROM (SELECT unnest(generate_series(1, 6)) s))"
+NEIGHBORS_SQL = "nb AS (SELECT s AS source, [CAST(s % 63 + 1 AS INT), CAST((s * 2) % 63 + 1 AS INT)] AS targets FROM (SELECT unnest(generate_series(1, 63)) s))"
 
 
 @query("candidate_sets", f"""WITH {TARGETS_SQL}, {NEIGHBORS_SQL},
 r AS (SELECT event, symbol, logp, row_number() OVER (PARTITION BY event, frame ORDER BY exp(logp) DESC, symbol) rn FROM lp WHERE symbol > 0),
 act AS (SELECT event, list_sort(list_distinct(list(CAST(symbol AS INT)))) active FROM r WHERE rn <= 2 AND exp(logp) >= 0.01 GROUP BY event),
 p AS (SELECT event, unnest(labels) s, unnest(generate_series(0, len(labels) - 1)) position FROM tg),
-q AS (SELECT event, position, CASE WHEN event % 2 = 0 AND position = 0 AND s % 9 + 1 <> s THEN [s, s % 9 + 1] ELSE [s] END accepted FROM p),
+q AS (SELECT event, position, CASE WHEN event % 2 = 0 AND position = 0 AND s % 63 + 1 <> s THEN [s, s % 63 + 1] ELSE [s] END accepted FROM p),
 u AS (SELECT q.event, position, accepted, active, list_concat(coalesce((SELECT targets FROM nb WHERE source = accepted[1]), []), coalesce((SELECT targets FROM nb WHERE source = accepted[2]), [])) extra FROM q JOIN act USING (event))
 SELECT event, position, array_to_string(accepted, ',') accepted, array_to_string(list_sort(list_filter(list_distinct(list_concat(active, extra)), lambda x: NOT list_contains(accepted, x))), ',') substitutions,
  array_to_string(active, ',') insertions FROM u""")
 def candidate_sets(spark, sf_dir):
     act = ca.frame_topk(logp_frames(spark, sf_dir), "event", "logp")
     pos = targets(spark, sf_dir).select("event", F.posexplode("labels").alias("position", "s"))
-    other = F.col("s") % 9 + 1
+    other = F.col("s") % 63 + 1
     pos = pos.select("event", F.col("position").cast("long").alias("position"),
                      F.when((F.col("event") % 2 == 0) & (F.col("position") == 0) & (other != F.col("s")), F.array("s", other)).otherwise(F.array("s")).alias("accepted"))
-    nb = spark.range(1, 7).select(F.col("id").cast("int").alias("source"), F.array((F.col("id") % 9 + 1).cast("int"), ((F.col("id") * 2) % 9 + 1).cast("int")).alias("targets"))
+    nb = spark.range(1, N_CLASSES).select(F.col("id").cast("int").alias("source"), F.array((F.col("id") % 63 + 1).cast("int"), ((F.col("id") * 2) % 63 + 1).cast("int")).alias("targets"))
     out = ca.candidate_sets(pos, act, nb, "event")
     text = lambda c: F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))).alias(c)
     return out.select("event", "position", text("accepted"), text("substitutions"), text("insertions"))
 
 
-@query("content_dedup", f"""WITH {TOKENS_SQL}, j AS (SELECT event, string_agg(target, ' ' ORDER BY idx) AS seq, grp FROM tokens WHERE idx < 3 GROUP BY ALL)
+@query("content_dedup", f"""WITH {TOKENS_SQL}, j AS (SELECT event, string_agg(target, ' ' ORDER BY idx) AS seq, grp FROM tokens GROUP BY ALL)
 SELECT grp, count(*) n_routes, count(DISTINCT seq) n_jobs_used, (SELECT count(DISTINCT seq) FROM j) n_jobs FROM j GROUP BY grp""")
 def content_dedup(spark, sf_dir):
-    t = tokens(spark, sf_dir).where("idx < 3").groupBy("event", "grp").agg(F.array_sort(F.collect_list(F.struct("idx", "target"))).alias("s"))
+    t = tokens(spark, sf_dir).groupBy("event", "grp").agg(F.array_sort(F.collect_list(F.struct("idx", "target"))).alias("s"))
     t = t.withColumn("seq", F.transform("s", lambda x: x["target"])).drop("s")
     jobs, routes = ca.content_dedup(t, ["seq"])
     # Each distinct job is "computed" once (here: its length) and routed back to every event.
@@ -173,14 +173,14 @@ def content_dedup(spark, sf_dir):
 
 
 CANDS_SQL = FRAMES_SQL + """,
-cd AS (SELECT event, frame AS position, CASE WHEN symbol = 0 THEN -1 ELSE symbol END AS candidate, logp AS log_score, label % 9 + 1 AS target FROM lp),
+cd AS (SELECT event, frame AS position, CASE WHEN symbol = 0 THEN -1 ELSE symbol END AS candidate, logp AS log_score, label % 63 + 1 AS target FROM lp),
 cn AS (SELECT event, position, log_score AS canonical FROM cd WHERE candidate = target),
 cands AS (SELECT cd.*, canonical, (candidate + 3) / 60.0::DOUBLE AS prior FROM cd JOIN cn USING (event, position) WHERE candidate <> target)"""
 
 
 def cand_scores(spark, sf_dir):
     """Long candidate table: one position per frame, blank as the deletion, the label as canonical."""
-    f = logp_frames(spark, sf_dir).withColumn("target", F.col("label") % 9 + 1)
+    f = logp_frames(spark, sf_dir).withColumn("target", F.col("label") % 63 + 1)
     f = f.withColumn("canonical", F.element_at("logp", (F.col("target") + 1).cast("int")))
     c = f.select("event", F.col("frame").alias("position"), "target", "canonical", F.posexplode("logp").alias("candidate", "log_score"))
     c = c.where("candidate <> target").withColumn("candidate", F.when(F.col("candidate") == 0, -1).otherwise(F.col("candidate")))
@@ -258,7 +258,7 @@ def path_count_correction(spark, sf_dir):
 
 CF_SQL = TARGETS_SQL + """,
 cs AS (SELECT event, position, candidate, list_concat(labels[1:position], CASE WHEN candidate = -1 THEN [] ELSE [CAST(candidate AS INT)] END, labels[position + 2:]) AS labels FROM
-  (SELECT event, labels, unnest(generate_series(0, len(labels) - 1)) position FROM tg), (SELECT unnest([1,2,3,4,5,6,7,8,9,-1]) candidate) WHERE candidate <> labels[position + 1]
+  (SELECT event, labels, unnest(generate_series(0, len(labels) - 1)) position FROM tg), (SELECT unnest(list_concat(generate_series(1, 63), [-1])) candidate) WHERE candidate <> labels[position + 1]
   UNION ALL SELECT event, -1, -2, labels FROM tg),
 cq AS (SELECT *, array_to_string(labels, ',') AS q FROM cs), sq AS (SELECT DISTINCT event, q, labels FROM cq),""" + _forward_sql("sq", "q") + """,
 cf AS (SELECT cq.event, position, candidate, cq.q, ln(nullif(p, 0)) AS s FROM cq JOIN ll ON ll.event = cq.event AND ll.q = cq.q)"""
@@ -275,12 +275,12 @@ def counterfactual_scores(spark, sf_dir):
                     F.round("log_score", 7).alias("log_score"))
 
 
-@query("max_alternative_score", f"""WITH {CANDS_SQL}, al AS (SELECT s AS target, t AS candidate FROM (SELECT unnest(generate_series(1, 6)) s), (SELECT unnest(generate_series(1, 9)) t) WHERE s <> t AND (s + t) % 3 = 0)
+@query("max_alternative_score", f"""WITH {CANDS_SQL}, al AS (SELECT s AS target, t AS candidate FROM (SELECT unnest(generate_series(1, 63)) s), (SELECT unnest(generate_series(1, 63)) t) WHERE s <> t AND (s + t) % 3 = 0)
 SELECT c.event, c.position, round(max(canonical) - max(log_score) FILTER (WHERE al.target IS NOT NULL), 8) restricted, round(max(canonical) - max(log_score), 8) unrestricted
 FROM cands c LEFT JOIN al ON al.target = c.target AND al.candidate = c.candidate GROUP BY c.event, c.position""")
 def max_alternative_score(spark, sf_dir):
     c = cand_scores(spark, sf_dir)
-    s = spark.range(1, 7).select(F.col("id").alias("target")).crossJoin(spark.range(1, 10).select(F.col("id").alias("candidate")))
+    s = spark.range(1, N_CLASSES).select(F.col("id").alias("target")).crossJoin(spark.range(1, N_CLASSES).select(F.col("id").alias("candidate")))
     allowed = s.where("target <> candidate AND (target + candidate) % 3 = 0")
     a = la.max_alternative(c, ROW, "canonical", "log_score", allowed, ["target", "candidate"]).withColumnRenamed("gop", "restricted")
     b = la.max_alternative(c, ROW, "canonical", "log_score").withColumnRenamed("gop", "unrestricted")
@@ -333,18 +333,18 @@ def viterbi_states(spark, sf_dir):
 
 
 @query("variant_marginal", f"""WITH RECURSIVE {TARGETS_SQL},
-first_ AS (SELECT event, labels, unnest(CASE WHEN event % 2 = 0 AND labels[1] % 9 + 1 <> labels[1] THEN [labels[1], CAST(labels[1] % 9 + 1 AS INT)] ELSE [labels[1]] END) AS c0,
-  CASE WHEN event % 2 = 0 THEN [labels[1], CAST(labels[1] % 9 + 1 AS INT)] ELSE [labels[1]] END AS own FROM tg),
+first_ AS (SELECT event, labels, unnest(CASE WHEN event % 2 = 0 AND labels[1] % 63 + 1 <> labels[1] THEN [labels[1], CAST(labels[1] % 63 + 1 AS INT)] ELSE [labels[1]] END) AS c0,
+  CASE WHEN event % 2 = 0 THEN [labels[1], CAST(labels[1] % 63 + 1 AS INT)] ELSE [labels[1]] END AS own FROM tg),
 cs AS (SELECT event, -1 AS position, -2 AS candidate, list_concat([c0], labels[2:]) AS labels FROM first_
- UNION SELECT event, 0, c, list_concat(CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[2:]) FROM first_, (SELECT unnest([1,2,3,4,5,6,7,8,9,-1]) c) WHERE NOT list_contains(own, c)
- UNION SELECT event, i, c, list_concat([c0], labels[2:i], CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[i + 2:]) FROM (SELECT *, unnest(generate_series(1, len(labels) - 1)) AS i FROM first_), (SELECT unnest([1,2,3,4,5,6,7,8,9,-1]) c) WHERE labels[i + 1] <> c),
+ UNION SELECT event, 0, c, list_concat(CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[2:]) FROM first_, (SELECT unnest(list_concat(generate_series(1, 63), [-1])) c) WHERE NOT list_contains(own, c)
+ UNION SELECT event, i, c, list_concat([c0], labels[2:i], CASE WHEN c = -1 THEN [] ELSE [CAST(c AS INT)] END, labels[i + 2:]) FROM (SELECT *, unnest(generate_series(1, len(labels) - 1)) AS i FROM first_), (SELECT unnest(list_concat(generate_series(1, 63), [-1])) c) WHERE labels[i + 1] <> c),
 cq AS (SELECT *, array_to_string(labels, ',') AS q FROM cs), sq AS (SELECT DISTINCT event, q, labels FROM cq), {_forward_sql("sq", "q")},
 sc AS (SELECT cq.event, position, candidate, ln(sum(p) / count(*)) AS s FROM cq JOIN ll ON ll.event = cq.event AND ll.q = cq.q GROUP BY ALL HAVING sum(p) > 0),
 nm AS (SELECT event, s AS normal FROM sc WHERE position = -1)
 SELECT event, CAST(position AS BIGINT) position, round(normal - s, 7) gop, CAST(candidate AS BIGINT) candidate FROM sc JOIN nm USING (event) WHERE position >= 0
-QUALIFY row_number() OVER (PARTITION BY event, position ORDER BY s DESC, CASE WHEN candidate = -1 THEN 99 ELSE candidate END) = 1""")
+QUALIFY row_number() OVER (PARTITION BY event, position ORDER BY s DESC, CASE WHEN candidate = -1 THEN 9999 ELSE candidate END) = 1""")
 def variant_marginal(spark, sf_dir):
-    other = lambda s: s % 9 + 1
+    other = lambda s: s % 63 + 1
     acc = F.transform("labels", lambda s, i: F.when((i == 0) & (F.col("event") % 2 == 0), F.array(s, other(s))).otherwise(F.array(s)))
     pos = targets(spark, sf_dir).select("event", acc.alias("accepted"))
     out = la.variant_marginal(matrices(spark, sf_dir), pos, "event", IDS).withColumn("gop", F.round("gop", 7))

@@ -129,13 +129,13 @@ def grid_select(spark, sf_dir):
     return rounded(se.grid_select(macro, [], "ap", ["lam"]), "ap")
 
 
-@query("temperature_select", f"""WITH {FRAMES_SQL}, c AS (SELECT event % 3 AS fold, event, frame, symbol, v, label % 9 + 1 AS gold, 1 + event % 4 AS w FROM fl WHERE symbol > 0),
+@query("temperature_select", f"""WITH {FRAMES_SQL}, c AS (SELECT event % 3 AS fold, event, frame, symbol, v, label % 63 + 1 AS gold, 1 + event % 4 AS w FROM fl WHERE symbol > 0),
 s AS (SELECT fold, event, frame, t, max(w) w, ln(sum(exp(v / t))) - max(v / t) FILTER (WHERE symbol = gold) nll FROM c, (VALUES (0.5::DOUBLE), (0.75), (1.0), (1.5), (2.0)) g(t) GROUP BY ALL),
 m AS (SELECT fold, t, sum(w * nll) / sum(w) nll FROM s GROUP BY ALL)
 SELECT fold, t AS temperature, round(nll, 8) nll FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(nll, 12), t <> 1, abs(t - 1), t) = 1""")
 def temperature_select(spark, sf_dir):
-    f = frames(spark, sf_dir).select((F.col("event") % 3).alias("fold"), F.slice("logits", 2, 9).alias("scores"),
-                                     (F.col("label") % 9 + 1).cast("int").alias("gold"), (1 + F.col("event") % 4).cast("double").alias("w"))
+    f = frames(spark, sf_dir).select((F.col("event") % 3).alias("fold"), F.slice("logits", 2, F.size("logits") - 1).alias("scores"),
+                                     (F.col("label") % 63 + 1).cast("int").alias("gold"), (1 + F.col("event") % 4).cast("double").alias("w"))
     return rounded(se.temperature_select(f, ["fold"], "scores", "gold", "w"), "nll")
 
 

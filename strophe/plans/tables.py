@@ -162,18 +162,19 @@ phones AS (SELECT unnest({PHONES_SQL}) AS phone)"""
 
 # --- frames --------------------------------------------------------------------------------
 
-N_CLASSES = 10
+#: All classes of a frame vector; class 0 is the blank.
+N_CLASSES = 64
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame table from the embeddings: ten frames per event, class 0 is the blank."""
     e = table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, N_CLASSES), lambda v: v.cast("double") * 10)
+    logits = F.transform("embedding", lambda v: v.cast("double") * 10)
     return e.select(F.expr("vec_id div 10").alias("event"), (F.col("vec_id") % 10).alias("frame"), "label", logits.alias("logits"))
 
 
 FRAMES_SQL = """
-fr AS (SELECT vec_id // 10 AS event, vec_id % 10 AS frame, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10) AS logits FROM embeddings),
-fl AS (SELECT event, frame, label, unnest(logits) AS v, unnest(generate_series(0, 9)) AS symbol FROM fr),
+fr AS (SELECT vec_id // 10 AS event, vec_id % 10 AS frame, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10) AS logits FROM embeddings),
+fl AS (SELECT event, frame, label, unnest(logits) AS v, unnest(generate_series(0, 63)) AS symbol FROM fr),
 fm AS (SELECT *, max(v) OVER (PARTITION BY event, frame) AS mx FROM fl),
 lp AS (SELECT event, frame, label, symbol, v - mx - ln(sum(exp(v - mx)) OVER (PARTITION BY event, frame)) AS logp FROM fm)"""
