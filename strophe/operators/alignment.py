@@ -64,10 +64,16 @@ def set_edit_distance(ref: Column, obs: Column) -> Column:
 
 def edit_distance(ref: Column, obs: Column, inventory: Sequence[str]) -> Column:
     """Unit-cost distance between symbol arrays: symbols become single characters and the
-    built-in ``levenshtein`` does the rest in generated code."""
-    letters = strings([chr(0x4E00 + i) for i in range(len(inventory) + 1)])
-    code = lambda s: F.element_at(letters, (F.array_position(strings(inventory), s) + 1).cast("int"))
-    return F.levenshtein(F.concat_ws("", F.transform(ref, code)), F.concat_ws("", F.transform(obs, code)))
+    built-in ``levenshtein`` does the rest in generated code. Symbols outside the inventory take
+    codes of their own, so that two of them are equal only if they are the same."""
+    known = strings(inventory)
+
+    def distance(every: Column) -> Column:
+        # one code point per symbol, from the supplementary planes
+        code = lambda s: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(every, s)), 8, "0")), "UTF-32")
+        return F.levenshtein(F.concat_ws("", F.transform(ref, code)), F.concat_ws("", F.transform(obs, code)))
+
+    return let(F.array_union(known, F.array_union(ref, obs)), distance)
 
 
 def align(ref: Column, obs: Column, cost: Cost) -> Column:

@@ -108,7 +108,7 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Row digests are combined with sums and xors, which merge map-side; no list of rows is
     ever gathered. Duplicated rows change the sum and the count.
     """
-    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols])
+    row = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols])
     digest = F.md5(row)
     high = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     low = F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")

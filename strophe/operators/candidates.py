@@ -16,7 +16,7 @@ def frame_topk(frames: DataFrame, event: str, logp: str, k: int = 2, floor: floa
     The ranking is inside one frame's array (ties by symbol id), so there is no shuffle
     before the distinct (event, symbol) pairs.
     """
-    scored = F.transform(F.slice(logp, 2, 1 << 20), lambda v, i: F.struct((-F.exp(v)).alias("p"), (i + 1).alias("symbol")))
+    scored = F.transform(F.slice(logp, F.lit(2), F.size(logp) - 1), lambda v, i: F.struct((-F.exp(v)).alias("p"), (i + 1).alias("symbol")))
     best = F.filter(F.slice(F.array_sort(scored), 1, k), lambda s: -s["p"] >= floor)
     return frames.select(event, F.explode(best).alias("_b")).select(event, F.col("_b.symbol").alias("symbol")).distinct()
 

@@ -57,8 +57,9 @@ def render_count_sentence(df: DataFrame, words: str) -> DataFrame:
         "In this attempt, /%s/ was flagged in %d of %d assessed positions; flagged words: %s.", "target", "flagged", "assessed", listed))
 
 
+# Fixed value: the pattern of the sentence above.
 SENTENCE = (r"(?i)^In this attempt,\s*/([^/\s]+)/\s+was flagged in\s+(\d+)\s+of\s+(\d+)\s+assessed positions;\s*"
-            r"flagged words:\s*([A-Za-z0-9 ,]+)\.?$")
+            r"flagged words:\s*([A-Za-z ,]+)\.?$")
 
 
 def check_count_sentence(df: DataFrame, text: str, words: str) -> DataFrame:

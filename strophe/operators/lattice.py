@@ -310,7 +310,7 @@ def variant_marginal(matrices: DataFrame, positions: DataFrame, event: str, symb
     normal = F.max(F.when(F.col("candidate") == -2, F.col("score"))).over(Window.partitionBy(event))
     best = per.withColumn("normal", normal).where("candidate <> -2").groupBy(event, "position").agg(
         F.max("normal").alias("normal"),
-        F.max(F.struct(F.col("score").alias("v"), (-F.when(F.col("candidate") == -1, 1 << 20).otherwise(F.col("candidate"))).alias("c"))).alias("_b"))
+        F.max(F.struct(F.col("score").alias("v"), (F.col("candidate") != -1).alias("_kept"), (-F.col("candidate")).alias("c"))).alias("_b"))
     cand = -F.col("_b.c")
     return best.select(event, "position", (F.col("normal") - F.col("_b.v")).alias("gop"),
-                                           F.when(cand == 1 << 20, -1).otherwise(cand).alias("candidate"))
+                                           cand.alias("candidate"))

@@ -33,11 +33,11 @@ def lexicon(spark, sf_dir):
 
 
 @query("lexicon_lookup", f"""WITH lex AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark),
-t AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents WHERE lang = 'en')
+t AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents)
 SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE lex.word IS NULL) AS n_oov, CAST(coalesce(sum(length(lex.word)), 0) AS BIGINT) AS n_symbols,
  count(*) FILTER (WHERE lex.word IS NULL) = 0 AS diagnostic FROM t LEFT JOIN lex USING (word) GROUP BY doc_id""")
 def lexicon_lookup(spark, sf_dir):
-    words = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
+    words = documents(spark, sf_dir).select("doc_id", F.explode(tx.words(F.col("text"))).alias("word"))
     found = lk.lexicon_lookup(words, lexicon(spark, sf_dir))
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.count_if("oov").alias("n_oov"),
@@ -52,14 +52,14 @@ def dedupe_then_map(spark, sf_dir):
 
 @query("fallback_source", """WITH e AS (SELECT DISTINCT conv_id FROM conversations),
 p AS (SELECT conv_id, count(*) n, min(length(text)) v FROM conversations WHERE role = 'system' GROUP BY conv_id),
-s AS (SELECT conv_id, count(*) n, min(length(text)) v FROM conversations WHERE role = 'user' AND turn < 2 GROUP BY conv_id),
+s AS (SELECT conv_id, count(*) n, min(length(text)) v FROM conversations WHERE role = 'user'  GROUP BY conv_id),
 j AS (SELECT e.conv_id, p.n pn, p.v pv, s.n sn, s.v sv, p.n IS NULL AND e.conv_id % 3 <> 0 AS second FROM e LEFT JOIN p USING (conv_id) LEFT JOIN s USING (conv_id)),
 k AS (SELECT *, coalesce(CASE WHEN second THEN sn ELSE pn END, 0) n FROM j)
 SELECT conv_id, CASE WHEN n = 1 THEN CASE WHEN second THEN sv ELSE pv END END AS size, CASE WHEN n = 1 THEN CASE WHEN second THEN 'secondary' ELSE 'primary' END END AS origin,
  CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' END AS reason FROM k""")
 def fallback_source(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("size", F.length("text").cast("long"))
-    return lk.fallback_source(c.select("conv_id").distinct(), c.where("role = 'system'"), c.where("role = 'user' AND turn < 2"),
+    return lk.fallback_source(c.select("conv_id").distinct(), c.where("role = 'system'"), c.where("role = 'user'"),
                               ["conv_id"], "size", F.col("conv_id") % 3 != 0)
 
 
@@ -212,20 +212,20 @@ def role_disjoint(spark, sf_dir):
 
 @query("prior_join", f"""WITH {TOKENS_SQL},
 pr AS (SELECT grp AS context, target AS source, avg(gold_error) rate FROM tokens GROUP BY ALL)
-SELECT key, round(rate, 8) rate FROM tokens t JOIN pr ON pr.context = t.grp AND pr.source = t.target WHERE NOT diagnostic""")
+SELECT key, round(rate, 8) rate FROM tokens t JOIN pr ON pr.context = t.grp AND pr.source = t.target""")
 def prior_join(spark, sf_dir):
     t = tokens(spark, sf_dir)
     prior = t.groupBy("grp", "target").agg(F.avg("gold_error").alias("rate"))
-    return rounded(t.where("NOT diagnostic").join(prior, ["grp", "target"]).select("key", "rate"), "rate")
+    return rounded(t.join(prior, ["grp", "target"]).select("key", "rate"), "rate")
 
 
 @query("dense_domain", f"""WITH {TOKENS_SQL}, s AS (SELECT unnest(['click','error','purchase','signup','view']) x),
 d AS (SELECT a.x AS source, b.x AS alternative FROM s a, s b WHERE a.x <> b.x UNION ALL SELECT x, '<DEL>' FROM s),
-c AS (SELECT target AS source, CASE WHEN gold_event = 'deletion' THEN '<DEL>' ELSE realized END AS alternative, count(*) n FROM tokens WHERE gold_error = 1 AND grp = 'g00' GROUP BY ALL)
+c AS (SELECT target AS source, CASE WHEN gold_event = 'deletion' THEN '<DEL>' ELSE realized END AS alternative, count(*) n FROM tokens WHERE gold_error = 1 GROUP BY ALL)
 SELECT source, alternative, coalesce(n, 0) n FROM d LEFT JOIN c USING (source, alternative)""")
 def dense_domain(spark, sf_dir):
     from strophe.operators.priors import dense_counts
-    t = tokens(spark, sf_dir).where("gold_error = 1 AND grp = 'g00'").select(
+    t = tokens(spark, sf_dir).where("gold_error = 1").select(
         F.col("target").alias("source"), F.coalesce("realized", F.lit(inv.DELETE)).alias("alternative"))
     return dense_counts(t.groupBy("source", "alternative").agg(F.count(F.lit(1)).alias("n")), SYMBOLS)
 
@@ -267,11 +267,11 @@ def exclusion_report(spark, sf_dir):
     return rounded(au.exclusion_report(o.where("reason IS NULL"), o.where("reason IS NOT NULL"), "grp", ["pending", "short"]), "coverage")
 
 
-@query("symbol_counts", f"""WITH w AS (SELECT unnest({WORDS}) word FROM documents WHERE lang = 'en'), l AS (SELECT unnest(string_split(word, '')) ch FROM w), c AS (SELECT ch, count(*) n FROM l GROUP BY ALL),
+@query("symbol_counts", f"""WITH w AS (SELECT unnest({WORDS}) word FROM documents), l AS (SELECT unnest(string_split(word, '')) ch FROM w), c AS (SELECT ch, count(*) n FROM l GROUP BY ALL),
 u AS (SELECT upper(ch) sym, sum(n) n FROM c GROUP BY ALL), i AS (SELECT unnest(['AA','AE','AH','AO','AW','AY','B','CH','D','DH','EH','ER','EY','F','G','HH','IH','IY','JH','K','L','M','N','NG','OW','OY','P','R','S','SH','T','TH','UH','UW','V','W','Y','Z','ZH']) phone)
 SELECT phone, CAST(coalesce(n, 0) AS BIGINT) n FROM i LEFT JOIN u ON sym = phone""")
 def symbol_counts(spark, sf_dir):
-    w = documents(spark, sf_dir).where("lang = 'en'").select(F.explode(tx.words(F.col("text"))).alias("word"))
+    w = documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("word"))
     # Distinct words first: letters are exploded once per word, weighted by its count.
     per = w.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
     letters = per.select("c", F.explode(F.split(F.upper("word"), "")).alias("phone")).groupBy("phone").agg(F.sum("c").alias("n"))
@@ -294,12 +294,25 @@ def gap_length_counts(spark, sf_dir):
     return au.gap_length_counts(gap_labels(spark, sf_dir).withColumn("quality", quality), ["grp"])
 
 
-@query("table_fingerprint", """WITH d AS (SELECT md5(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), '∅'), coalesce(CAST(o_custkey AS VARCHAR), '∅'), coalesce(o_orderstatus, '∅'), coalesce(o_orderpriority, '∅'))) m FROM orders),
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _fingerprint_sql(cols):
+    """Every column of the table; a null and any text differ by their first character."""
+    text = {"o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')"}
+    cells = ", ".join(f"coalesce('v' || {text.get(c, f'CAST({c} AS VARCHAR)')}, 'n')" for c in cols)
+    return f"""WITH d AS (SELECT md5(concat_ws(chr(31), {cells})) m FROM orders),
 n AS (SELECT ('0x' || substr(m, 1, 15))::BIGINT h, ('0x' || substr(m, 16, 15))::BIGINT l FROM d),
 s AS (SELECT count(*) n_rows, sum(h) sh, bit_xor(h) xh, sum(l) sl, bit_xor(l) xl FROM n)
-SELECT n_rows, md5(concat_ws('|', CAST(n_rows AS VARCHAR), CAST(sh AS VARCHAR), CAST(xh AS VARCHAR), CAST(sl AS VARCHAR), CAST(xl AS VARCHAR))) fingerprint FROM s""")
+SELECT n_rows, md5(concat_ws('|', CAST(n_rows AS VARCHAR), CAST(sh AS VARCHAR), CAST(xh AS VARCHAR), CAST(sl AS VARCHAR), CAST(xl AS VARCHAR))) fingerprint FROM s"""
+
+
+@query("table_fingerprint", _fingerprint_sql(ORDER_COLUMNS))
 def table_fingerprint(spark, sf_dir):
-    return au.table_fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    o = table(spark, sf_dir, "orders")
+    assert set(o.columns) == set(ORDER_COLUMNS), o.columns
+    o = o.withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd")})
+    return au.table_fingerprint(o, list(ORDER_COLUMNS))
 
 
 @query("group_summary", f"""WITH {TOKENS_SQL},
@@ -350,13 +363,13 @@ def methods_union(spark, sf_dir):
 
 
 @query("backoff_join", f"""WITH {TOKENS_SQL},
-p AS (SELECT target, avg(k) v FROM tokens WHERE grp = 'g00' AND gold_error = 1 GROUP BY target HAVING count(*) >= 20),
-g AS (SELECT avg(k) v FROM tokens WHERE grp = 'g00' AND gold_error = 1)
+p AS (SELECT target, avg(k) v FROM tokens WHERE gold_error = 1 GROUP BY target HAVING count(*) >= 20),
+g AS (SELECT avg(k) v FROM tokens WHERE gold_error = 1)
 SELECT t.target, count(*) n, round(max(coalesce(p.v, g.v)), 8) penalty, bool_or(p.v IS NULL) fallback FROM tokens t LEFT JOIN p USING (target), g GROUP BY t.target""")
 def backoff_join(spark, sf_dir):
     from strophe.operators.selection import with_backoff
     t = tokens(spark, sf_dir)
-    src = t.where("grp = 'g00' AND gold_error = 1")
+    src = t.where("gold_error = 1")
     specific = src.groupBy("target").agg(F.avg("k").alias("v"), F.count(F.lit(1)).alias("c")).where("c >= 20").select("target", "v")
     out = with_backoff(t.select("target"), specific, src.agg(F.avg("k").alias("v")), ["target"], "v", "penalty")
     return rounded(out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.max("penalty").alias("penalty"), F.bool_or("fallback").alias("fallback")), "penalty")

@@ -12,7 +12,7 @@ from strophe.operators.audits import group_summary
 from strophe.plans.q_audits import SEGMENTS_SQL, segments
 from strophe.plans.q_text import WORDS
 from strophe.plans.registry import query, rounded
-from strophe.plans.tables import SCORED_ALL_SQL, TOKENS_SQL, table, tokens, with_methods
+from strophe.plans.tables import METHODS, SCORED_ALL_SQL, TOKENS_SQL, table, tokens, with_methods
 from strophe.functions import texts as tx
 from strophe.sources import labels as lb
 from strophe.sources import records as rc
@@ -126,14 +126,16 @@ def src_section_csv(spark, sf_dir):
 # --- feedback ------------------------------------------------------------------------------------
 
 POSITIONS_SQL = SCORED_ALL_SQL + """,
-pos AS (SELECT event, idx, idx // 2 AS word, target, diagnostic AS assessed, predicted AS flagged, p_error, 'w' || (k % 4) AS text FROM scored_all WHERE method = 'alpha')"""
+pos AS (SELECT event * 3 + mi AS event, idx, idx // 2 AS word, target, diagnostic AS assessed, predicted AS flagged, p_error,
+   ['one', 'two', 'three', 'four'][k % 4 + 1] AS text FROM scored_all)"""
 
 
 def positions_by_word(spark, sf_dir):
-    """Two positions per word, four words per recording, scored by one method."""
-    s = with_methods(tokens(spark, sf_dir)).where("method = 'alpha'")
-    return s.select("event", "idx", F.expr("idx div 2").alias("word"), "target", F.col("diagnostic").alias("assessed"),
-                    F.col("predicted").alias("flagged"), "p_error", F.concat(F.lit("w"), (F.col("k") % 4).cast("string")).alias("text"))
+    """Two positions per word, four words per recording; every method's scores are a recording of their own."""
+    s = with_methods(tokens(spark, sf_dir))
+    mi = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method")) - 1
+    return s.select((F.col("event") * 3 + mi).alias("event"), "idx", F.expr("idx div 2").alias("word"), "target", F.col("diagnostic").alias("assessed"),
+                    F.col("predicted").alias("flagged"), "p_error", F.element_at(F.array(*[F.lit(w) for w in ("one", "two", "three", "four")]), (F.col("k") % 4 + 1).cast("int")).alias("text"))
 
 
 ROLLUP_SQL = """roll AS (SELECT event, word, count(*) n_positions, count(*) FILTER (WHERE assessed) n_assessed, count(*) FILTER (WHERE assessed AND flagged) n_review FROM pos GROUP BY ALL),
@@ -180,14 +182,14 @@ def summary_text_check(spark, sf_dir):
     return out.select("event", "target", "parseable", "symbol_correct", "flagged_correct", "assessed_correct", "words_correct", "success")
 
 
-@query("sentence_check", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, trim(s, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12) || '"“”') AS s FROM l),
+@query("sentence_check", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents), t AS (SELECT doc_id, trim(s, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12) || '"“”') AS s FROM l),
 w AS (SELECT doc_id, s, regexp_extract_all(lower(s), '[a-z]+') w, regexp_matches(s, '^[A-Za-z ]+[.!?]?$') plain FROM t)
 SELECT doc_id, count(*) n, count(*) FILTER (WHERE list_contains(w, 'the')) n_target, count(*) FILTER (WHERE len(w) BETWEEN 5 AND 10) n_length, count(*) FILTER (WHERE plain) n_plain,
  count(*) FILTER (WHERE w <> ['the', 'and']) n_different, CAST(sum(len(list_distinct(list_filter(w, lambda x: x NOT IN ('the', 'and', 'of', 'in', 'to'))))) AS BIGINT) n_outside,
  count(*) FILTER (WHERE list_contains(w, 'the') AND len(w) BETWEEN 5 AND 10 AND plain AND w <> ['the', 'and']) n_success FROM w GROUP BY doc_id""")
 def sentence_check(spark, sf_dir):
-    """Every sentence of every English document checked against one target and a small vocabulary."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.split("text", r"\.")).alias("s"))
+    """Every sentence of every document checked against one target and a small vocabulary."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\.")).alias("s"))
     d = d.withColumns({"targets": F.array(F.lit("the")), "orig": F.lit("The and.")})
     c = fb.sentence_check(d, "s", "targets", "orig", ["the", "and", "of", "in", "to"])
     return c.groupBy("doc_id").agg(
