@@ -51,15 +51,24 @@ def log_loss(label: Column, p: Column, eps: float) -> Column:
     return -F.when(label == 1, F.log(c)).otherwise(F.log1p(-c))
 
 
-def order_code(x: Column) -> Column:
-    """Monotone integer code of a number, used to split an ordering into buckets.
+def order_code(x: Column, integral: bool = False) -> Column:
+    """Monotone 64-bit code of a number: integers as they are, doubles by exponent and mantissa.
 
-    The code is a fixed function of the value (no sampling), so every task and every
-    retry gets the same buckets, and the number of codes of any group is bounded by the
-    range of a double (under 1.5 million either side of zero) however many rows it has.
+    The code is a fixed function of the value (no sampling), so every task and every retry gets
+    the same; numbers that differ have codes that differ down to the last bits of a double.
+    Magnitudes under 1e-300 share the code of zero.
     """
+    if integral:
+        return x.cast("long")
     d = x.cast("double")
-    return F.floor(F.signum(d) * F.log1p(F.abs(d) * 1e6) * 2048).cast("long")
+    size = F.least(F.abs(d), F.lit(1.7e308))
+    guess = F.floor(F.log2(size))
+    scaled = size / F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    shift = F.when(scaled >= 2.0, 1).when(scaled < 1.0, -1).otherwise(0)
+    mantissa = size / F.pow(F.lit(2.0), guess + shift) - 1.0
+    code = (guess + shift + 1000).cast("long") * (1 << 52) + F.floor(mantissa * float(1 << 52)).cast("long")
+    return F.when(size < 1e-300, F.lit(0).cast("long")).otherwise(F.when(d < 0, -code).otherwise(code))
 
 
 def harmonic(n: Column) -> Column:
@@ -77,6 +86,6 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 0, F.lit(0.0)).when(n <= 32, small).otherwise(large)
 
 
-def hash_long(*parts: Column) -> Column:
-    """32-bit non-negative draw from an md5 digest; the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 8), 16, 10).cast("long")
+def hash_long(*parts: Column, digits: int = 8) -> Column:
+    """Non-negative draw of 4 * ``digits`` bits (at most 60) from an md5 digest; the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, digits), 16, 10).cast("long")

@@ -154,8 +154,9 @@ def paired_difference(metrics: DataFrame, pairs: DataFrame, group: str, value: s
 def pair_sample(df: DataFrame, group: str, key: str, label: str, cap: int = 512) -> DataFrame:
     """At most ``cap`` positive x negative pairs per group, each group of equal total weight.
 
-    Pairs are never enumerated: the pair space of a group is cut into ``cap`` equal strips
-    and one pair index is drawn per strip by hash, so draws are distinct and repeatable.
+    Pairs are never enumerated: the pair space of a group is cut into ``cap`` strips whose widths
+    differ by one at most and that leave no pair out, and one pair index is drawn per strip from 60
+    bits of a hash, so draws are distinct and repeatable and every pair can be drawn.
     """
     pos = ranks(df.where(F.col(label) == 1).withColumn("_o", F.lit(0)), [group], "_o", key, out="_r")
     neg = ranks(df.where(F.col(label) == 0).withColumn("_o", F.lit(0)), [group], "_o", key, out="_r")
@@ -164,10 +165,12 @@ def pair_sample(df: DataFrame, group: str, key: str, label: str, cap: int = 512)
     sizes = sizes.where("_p > 0 AND _n > 0").withColumn("_m", F.least(F.lit(cap), F.col("_p") * F.col("_n")))
     total = sizes.agg(F.count(F.lit(1)).alias("_g"))
     draws = sizes.crossJoin(total).select("*", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("draw"))
-    width = F.floor(F.col("_p") * F.col("_n") / F.col("_m")).cast("long")
-    index = F.col("draw") * width + hash_long(F.col(group), F.col("draw").cast("string")) % width
+    pairs, strips = F.col("_p") * F.col("_n"), F.col("_m")
+    width, rest = F.expr("_p * _n div _m"), pairs % strips
+    drawn = hash_long(F.col(group), F.col("draw").cast("string"), digits=15) % (width + (F.col("draw") < rest).cast("long"))
+    index = F.col("draw") * width + F.least(F.col("draw"), rest) + drawn
     draws = draws.withColumn("_i", index).select(
-        group, "draw", (F.floor(F.col("_i") / F.col("_n")) + 1).cast("long").alias("_pr"),
+        group, "draw", (F.expr("_i div _n") + 1).alias("_pr"),
         (F.col("_i") % F.col("_n") + 1).alias("_nr"), (1.0 / F.col("_g") / F.col("_m")).alias("weight"))
     return (draws.join(pos.select(group, F.col("_r").alias("_pr"), F.col(key).alias("positive")), [group, "_pr"])
             .join(neg.select(group, F.col("_r").alias("_nr"), F.col(key).alias("negative")), [group, "_nr"])

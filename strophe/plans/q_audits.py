@@ -184,7 +184,7 @@ n AS (SELECT grp, key, row_number() OVER (PARTITION BY grp ORDER BY key) r FROM
 s AS (SELECT grp, count(*) FILTER (WHERE gold_error = 1) np, count(*) FILTER (WHERE gold_error = 0) nn FROM tokens GROUP BY grp),
 t AS (SELECT *, least(512, np * nn) m, count(*) OVER () g FROM s WHERE np > 0 AND nn > 0),
 d AS (SELECT *, unnest(generate_series(0, m - 1)) draw FROM t),
-e AS (SELECT *, draw * (np * nn // m) + ('0x' || substr(md5(grp || '-' || draw), 1, 8))::BIGINT % (np * nn // m) i FROM d)
+e AS (SELECT *, draw * (np * nn // m) + least(draw, np * nn % m) + ('0x' || substr(md5(grp || '-' || draw), 1, 15))::BIGINT % (np * nn // m + CAST(draw < np * nn % m AS BIGINT)) i FROM d)
 SELECT e.grp, draw, p.key AS positive, n.key AS negative, round(1.0::DOUBLE / g / m, 10) weight FROM e
  JOIN p ON p.grp = e.grp AND p.r = e.i // nn + 1 JOIN n ON n.grp = e.grp AND n.r = e.i % nn + 1""")
 def pair_sample(spark, sf_dir):

@@ -218,28 +218,28 @@ def correlations(spark, sf_dir):
 
 @query("paired_bootstrap", f"""WITH {SCORED_SQL}, {CURVE},
 d AS (SELECT a.grp, a.ap - b.ap d, row_number() OVER (ORDER BY a.grp) - 1 i, count(*) OVER () n FROM rank_metrics a JOIN rank_metrics b USING (grp) WHERE a.method = 'alpha' AND b.method = 'beta'),
-z AS (SELECT rep, ('0x' || substr(md5(rep || '-' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM d) i FROM (SELECT unnest(generate_series(0, 999)) rep), (SELECT i AS slot FROM d)),
+z AS (SELECT rep, ('0x' || substr(md5(rep || '-' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM d) i FROM (SELECT unnest(generate_series(0, 9999)) rep), (SELECT i AS slot FROM d)),
 m AS (SELECT rep, avg(d) m FROM z JOIN d USING (i) GROUP BY rep)
 SELECT round((SELECT avg(d) FROM d), 8) difference, (SELECT count(*) FROM d) n_groups, round(quantile_cont(m, 0.025), 8) ci_low, round(quantile_cont(m, 0.975), 8) ci_high, count(*) replicates FROM m""")
 def paired_bootstrap(spark, sf_dir):
     m = det.ranking_metrics(scored(spark, sf_dir), ["method", "grp"], "score", "gold_error")
     wide = m.groupBy("grp").agg(F.max(F.when(F.col("method") == "alpha", F.col("ap"))).alias("a"), F.max(F.when(F.col("method") == "beta", F.col("ap"))).alias("b"))
-    return rounded(rs.paired_bootstrap(wide, "grp", "a", "b", 1000), "difference", "ci_low", "ci_high")
+    return rounded(rs.paired_bootstrap(wide, "grp", "a", "b", 10_000), "difference", "ci_low", "ci_high")
 
 
 @query("ratio_bootstrap", """WITH c AS (SELECT source, sum(toxic) s, count(*) t FROM labels JOIN documents USING (doc_id) GROUP BY source), d AS (SELECT *, row_number() OVER (ORDER BY source) - 1 i FROM c),
-z AS (SELECT rep, ('0x' || substr(md5(rep || '-' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM d) i FROM (SELECT unnest(generate_series(0, 499)) rep), (SELECT i AS slot FROM d)),
+z AS (SELECT rep, ('0x' || substr(md5(rep || '-' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM d) i FROM (SELECT unnest(generate_series(0, 1999)) rep), (SELECT i AS slot FROM d)),
 m AS (SELECT rep, sum(s)::DOUBLE / sum(t) r FROM z JOIN d USING (i) GROUP BY rep)
 SELECT round((SELECT sum(s)::DOUBLE / sum(t) FROM d), 8) rate, (SELECT count(*) FROM d) n_clusters, round(quantile_cont(r, 0.025), 8) ci_low, round(quantile_cont(r, 0.975), 8) ci_high FROM m""")
 def ratio_bootstrap(spark, sf_dir):
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     c = j.groupBy("source").agg(F.sum(F.col("toxic").cast("long")).alias("s"), F.count(F.lit(1)).alias("t"))
-    return rounded(rs.ratio_bootstrap(c, "source", "s", "t", 500), "rate", "ci_low", "ci_high")
+    return rounded(rs.ratio_bootstrap(c, "source", "s", "t", 2000), "rate", "ci_low", "ci_high")
 
 
 @query("stratified_bootstrap", f"""WITH {HIER_SQL},
 d AS (SELECT nation, sev::DOUBLE y, q a, x b, row_number() OVER (PARTITION BY sev ORDER BY nation) - 1 j, count(*) OVER (PARTITION BY sev) n FROM h3),
-z AS (SELECT rep, y, d.j AS slot, ('0x' || substr(md5(rep || '-' || CAST(y AS INT) || '-' || d.j), 1, 8))::BIGINT % n AS j FROM (SELECT unnest(generate_series(0, 99)) rep), d),
+z AS (SELECT rep, y, d.j AS slot, ('0x' || substr(md5(rep || '-' || CAST(y AS INT) || '-' || d.j), 1, 8))::BIGINT % n AS j FROM (SELECT unnest(generate_series(0, 9999)) rep), d),
 r AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY z.y, slot) id, d.y, a, b FROM z JOIN d ON d.y = z.y AND d.j = z.j
   UNION ALL SELECT -1, row_number() OVER (ORDER BY nation), y, a, b FROM d),
 k AS (SELECT p.rep, sum(sign(p.y - q.y) * sign(p.a - q.a)) / sqrt(count(*) FILTER (WHERE p.y <> q.y)::DOUBLE * count(*) FILTER (WHERE p.a <> q.a)) ta,
@@ -250,7 +250,7 @@ c AS (SELECT rep, corr(y, a) - corr(y, b) pearson, corr(ry, ra) - corr(ry, rb) s
 v AS (SELECT rep, 'tau' AS metric, ta - tb AS v FROM k UNION ALL SELECT rep, 'abs_tau', abs(ta) - abs(tb) FROM k UNION ALL SELECT rep, 'spearman', spearman FROM c UNION ALL SELECT rep, 'pearson', pearson FROM c)
 SELECT metric, round(max(v) FILTER (WHERE rep = -1), 8) difference, round(quantile_cont(v, 0.025) FILTER (WHERE rep >= 0), 8) ci_low, round(quantile_cont(v, 0.975) FILTER (WHERE rep >= 0), 8) ci_high, count(v) FILTER (WHERE rep >= 0) valid_replicates FROM v GROUP BY metric""")
 def stratified_bootstrap(spark, sf_dir):
-    return rounded(rs.stratified_bootstrap(_means(spark, sf_dir), "nation", "sev", "q", "x", 100), "difference", "ci_low", "ci_high")
+    return rounded(rs.stratified_bootstrap(_means(spark, sf_dir), "nation", "sev", "q", "x", 10_000), "difference", "ci_low", "ci_high")
 
 
 @query("sign_flip_test", f"""WITH {SCORED_SQL}, {CURVE},

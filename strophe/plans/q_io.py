@@ -27,13 +27,15 @@ def scratch(spark, name: str) -> str:
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
-@query("src_jsonl", f"""WITH {TOKENS_SQL} SELECT key, target, k, NULL AS reason FROM tokens WHERE key % 97 <> 1 AND key % 89 <> 2 AND key % 83 <> 3
-UNION ALL SELECT NULL, CASE WHEN key % 97 = 1 THEN 'invalid_json' WHEN key % 89 = 2 THEN 'blank_line' ELSE 'not_an_object' END, count(*), 'quarantine' FROM tokens WHERE key % 97 = 1 OR key % 89 = 2 OR key % 83 = 3 GROUP BY ALL""")
+@query("src_jsonl", f"""WITH {TOKENS_SQL} SELECT key, target, k, NULL AS reason FROM tokens WHERE key % 97 <> 1 AND key % 89 <> 2 AND key % 83 <> 3 AND key % 79 <> 4
+UNION ALL SELECT NULL, CASE WHEN key % 97 = 1 THEN 'invalid_json' WHEN key % 89 = 2 THEN 'blank_line' WHEN key % 83 = 3 THEN 'not_an_object' ELSE 'trailing_text' END, count(*), 'quarantine' FROM tokens
+WHERE key % 97 = 1 OR key % 89 = 2 OR key % 83 = 3 OR key % 79 = 4 GROUP BY ALL""")
 def src_jsonl(spark, sf_dir):
-    """Lines with planted broken, blank and non-object records; quarantine is counted by reason."""
+    """Lines with planted broken, blank and non-object records, and text after the object; quarantine is counted by reason."""
     path = scratch(spark, "jsonl")
     line = (F.when(F.col("key") % 97 == 1, F.lit('{"key": 5, "tar')).when(F.col("key") % 89 == 2, " ").when(F.col("key") % 83 == 3, "[1, 2]")
-            .otherwise(F.to_json(F.struct("key", "target", "k"))))
+            .when((F.col("key") % 79 == 4) & (F.col("key") % 2 == 0), F.lit('{"key": 5, "target": "a } \\" {"} {"key": 6}'))
+            .when(F.col("key") % 79 == 4, F.lit('{"key": 5, "k": 1} junk')).otherwise(F.to_json(F.struct("key", "target", "k"))))
     tokens(spark, sf_dir).select(line.alias("value")).write.option("compression", "gzip").text(path)
     good, bad = rc.read_jsonl(spark, path, "key bigint, target string, k bigint")
     per = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("k"))

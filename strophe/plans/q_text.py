@@ -9,7 +9,6 @@ from strophe.functions import texts as tx
 from strophe.operators import contracts as ct
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import SCORED_SQL, SYMBOLS, TOKENS_SQL, scored, table, tokens
-from strophe.session import spread
 
 SQL_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 SQL_CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -18,8 +17,8 @@ WORDS = r"regexp_extract_all(lower(replace(text, '’', '''')), '[a-z0-9]+(?:[''
 
 
 def documents(spark, sf_dir):
-    """Document texts, spread over the cores when they sit in one small file."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    """Document texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
 @query("text_normalize", f"SELECT doc_id, {NORM} AS normalized, length({NORM}) AS n_chars FROM documents")
@@ -168,7 +167,7 @@ def leak_check(spark, sf_dir):
 
 def full_predictions(spark, sf_dir):
     """Prediction rows with a candidate map, and planted breaches of every kind of rule."""
-    t = spread(tokens(spark, sf_dir))
+    t = tokens(spark, sf_dir)
     names = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate([*SYMBOLS, inv.DELETE], 1)])
     t = t.withColumn("_w", F.transform(
         F.filter(names, lambda n: n["s"] != F.col("target")),

@@ -25,10 +25,16 @@ def local_session(cpus: int | str = "*", app: str = "strophe", partitions: int =
     )
 
 
+def is_local(master: str) -> bool:
+    """One JVM that is driver and executor at once."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where no folder is configured (tests) a temporary one is set.
+    Only a local session may do without: it gets a temporary one. Elsewhere a missing folder is an error,
+    as every executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -37,29 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Widen an input with fewer partitions than the session's parallelism before heavy row work.
-
-    A large table has far more splits than cores and passes through untouched; only a small
-    file that would keep one core busy is redistributed. (The partition count is read from
-    the plan; nothing runs.)
-    """
-    spark = df.sparkSession
-    target = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +18,24 @@ def source_order() -> list[Column]:
             F.monotonically_increasing_id().alias("row")]
 
 
+def _one_object(text: Column) -> Column:
+    """Whether a line that begins with a JSON object ends with it: outside of strings, braces and
+    brackets balance at the last character and nowhere before."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]++(?=.)", "")
+    # what is left: brackets, and the last character of the line
+    step = lambda acc, c: F.struct(
+        (acc["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+        (acc["closed"] + ((acc["depth"] == 1) & c.isin("}", "]")).cast("int") + ((acc["depth"] == 0) & ~c.isin("{")).cast("int") * 2).alias("closed"))
+    state = F.aggregate(F.split(marks, ""), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")), step)
+    return (state["depth"] == 0) & (state["closed"] == 1) & text.endswith("}")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of JSON lines, plain or gzip.
 
-    Every line must be one JSON object of the declared schema; blank lines, other JSON values
-    and broken lines go to the quarantine with a reason. Nothing is inferred or dropped.
+    Every line must be one JSON object of the declared schema; blank lines, other JSON values,
+    broken lines, and lines with anything after their object go to the quarantine with a reason.
+    Nothing is inferred or dropped.
     """
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     with_bad = T.StructType([*struct.fields, T.StructField("_corrupt", T.StringType())])
@@ -30,7 +43,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> tu
     text = F.trim("value")
     parsed = lines.withColumn("_r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     reason = (F.when(text == "", "blank_line").when(~text.startswith("{"), "not_an_object")
-              .when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "invalid_json"))
+              .when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "invalid_json")
+              .when(~_one_object(text), "trailing_text"))
     parsed = parsed.withColumn("reason", reason)
     good = parsed.where("reason IS NULL").select(*[F.col(f"_r.{f.name}").alias(f.name) for f in struct.fields])
     return good, parsed.where("reason IS NOT NULL").select("file", "value", "reason")
@@ -43,10 +57,11 @@ def write_jsonl(df: DataFrame, path: str, order: Sequence[str], files: int | Non
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV of a tidy table; refuses an empty one (checked on the first row only)."""
-    if df.isEmpty():
-        raise ValueError("refusing to write a CSV without rows")
-    df.write.option("header", True).csv(path)
+    """Header CSV of a tidy table; an empty one is an error, told once the plan has run."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("header", True).csv(path)
+    if not rows.get["n"]:
+        raise ValueError("a CSV without rows")
 
 
 def file_index(spark: SparkSession, path: str, suffix: str, stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
