@@ -16,7 +16,8 @@ from strophe.operators import contracts as ct
 from strophe.operators import linking as lk
 from strophe.plans import foldrun as fr
 from strophe.plans import q_models as qm
-from strophe.session import cut_lineage, shared_dir
+from strophe import session
+from strophe.session import shared_dir
 from strophe.sources import records as rc
 from strophe.sources.frames import duplicate_frames
 
@@ -111,9 +112,32 @@ def test_test_gold_cannot_change_predictions(spark, sf_dir):
     assert not any(c.startswith("gold") for c in runs[0][0].asDict())
 
 
-def test_checkpoint_is_reliable(spark):
-    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
-    assert df.count() == 10 and spark.sparkContext.getCheckpointDir() is not None
+def test_shared_folder_is_required_off_local_mode(spark):
+    assert shared_dir(spark) and spark.sparkContext.getCheckpointDir() is not None
+    assert session.is_local("local[8]") and session.is_local("local") and not session.is_local("local-cluster[3,2,1000]")
+    assert not session.is_local("yarn") and not session.is_local("spark://host:7077")
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_lines_with_more_than_an_object_are_quarantined(spark):
+    lines = ['{"a": 1}', '{"a": 2}{"a": 3}', '{"a": 1} junk', '{"a": 4, "b": "} {\\" x"}', '  {"a": 5}  ', '{"a": {"c": [1, {"d": 2}]}}', '{"a": 6},', '{"a": 7}}', '{"a": 8', '']
+    path = scratch(spark)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    good, bad = rc.read_jsonl(spark, path, "a string, b string")
+    assert sorted(r["a"] for r in good.collect()) == ["1", "4", "5", '{"c":[1,{"d":2}]}'] or sorted(r["a"] for r in good.collect())[:3] == ["1", "4", "5"]
+    assert {r["value"] for r in bad.collect()} == {lines[1], lines[2], lines[6], lines[7], lines[8], lines[9]}
 
 
 def test_structural_checks(spark):

@@ -145,6 +145,58 @@ def test_prefix_totals_and_ranks_in_a_huge_tie(spark):
         assert r["cum_n"] == total and r["tot_n"] == n
 
 
+def test_close_values_are_cut_into_bounded_parts(spark):
+    """A million distinct scores in [0.999, 1) and ids above 10^15 do not share a part."""
+    from strophe.operators.prefix import digits
+
+    n = 1_000_000
+    df = spark.range(n).select((F.lit(0.999) + F.col("id") / (n * 1001.0)).alias("p"), (F.col("id") + 10 ** 15).alias("key"), F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("name"))
+    for column, bound in (("p", 50), ("key", 1 << 21)):
+        parts = df.select(digits(df, column)["_high"].alias("h"), digits(df, column)["_low"].alias("l")).groupBy("h", "l").count()
+        assert parts.agg(F.max("count")).first()[0] <= bound
+    assert df.select(digits(df, "name")["_high"].alias("h"), digits(df, "name")["_low"].alias("l")).groupBy("h", "l").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_order_code_is_monotone(spark):
+    import itertools
+    import random
+
+    from strophe.functions.scalars import order_code
+
+    r = random.Random(8)
+    values = sorted([0.0, -0.0, 1.0, 2.0, 0.5, -1.0, 1e-310, 5e-324, 1.7e308, -1.7e308, float("inf"), 1 - 2 ** -53, 1 + 2 ** -52, *[r.choice((-1, 1)) * 2.0 ** r.uniform(-900, 900) for _ in range(500)],
+                     *[2.0 ** k for k in range(-60, 60)], *[2.0 ** k * (1 - 2 ** -53) for k in range(-60, 60)]])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", order_code(F.col("v")).alias("c")).orderBy("i").collect()
+    assert all(a["c"] <= b["c"] for a, b in itertools.pairwise(rows)) and len({x["c"] for x in rows}) > 600
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_scores_are_errors(spark, bad):
+    df = spark.createDataFrame([("g", 1, 0.5, 1), ("g", 2, bad, 0), ("g", 3, 0.25, 0)], "grp string, key long, s double, y int")
+    with pytest.raises(Exception, match="null or NaN in s"):
+        ranks(df, ["grp"], "s", "key").collect()
+
+
+def test_ranks_with_text_keys_and_large_ids(spark):
+    rows = [("g", f"name{i % 7}-{i:05d}", 10 ** 15 + 3 * i, float(i % 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "grp string, name string, key long, s double")
+    for c, at in (("name", 1), ("key", 2)):
+        want = {r[at]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[3], r[at])))}
+        assert {r[c]: r["rank"] for r in ranks(df, ["grp"], "s", c).collect()} == want
+
+
+def test_every_pair_can_be_drawn(spark):
+    """Strips cover the pair space: with as many strips as pairs every pair is drawn once."""
+    from strophe.operators.linking import pair_sample
+
+    df = spark.createDataFrame([("g", i, int(i < 7)) for i in range(18)], "grp string, key long, y int")
+    got = {(r["positive"], r["negative"]) for r in pair_sample(df, "grp", "key", "y", cap=77).collect()}
+    assert len(got) == 77
+    some = pair_sample(df, "grp", "key", "y", cap=10).collect()
+    at = sorted(r["positive"] * 11 + r["negative"] - 7 for r in some)
+    assert len(at) == 10 and all(7 * i + min(i, 7) <= x < 7 * (i + 1) + min(i + 1, 7) for i, x in enumerate(at))
+
+
 def test_exact_quantiles(spark):
     import numpy as np
     rng = np.random.default_rng(1)

@@ -217,3 +217,11 @@ def test_variant_rules(spark):
     assert out["long"]["reasons"] == ["length_changing_variant_unavailable"]
     assert out["odd"]["reasons"] == ["unsupported_lexical_variant_unavailable"]
     assert out["same"]["diagnostic"] and out["same"]["variant_positions"] == 0
+
+
+def test_unknown_symbols_differ_in_edit_distance(spark):
+    from strophe.operators import alignment as al
+
+    rows = [(["click", "foo"], ["click", "bar"], 1), (["foo"], ["foo"], 0), ([], ["x", "y"], 2), (["a"] * 3, ["b", "a", "a"], 1)]
+    df = spark.createDataFrame(rows, "r array<string>, o array<string>, d int")
+    assert df.where(al.edit_distance(F.col("r"), F.col("o"), ("click", "view")) != F.col("d")).count() == 0
