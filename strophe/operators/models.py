@@ -135,7 +135,7 @@ def phone_design(df: DataFrame, symbol: str, numeric: Sequence[str], interaction
 
 # --- fits --------------------------------------------------------------------------------------
 
-def logistic_fit(train: DataFrame, features: str, label: str, weight: str, c: float, max_iter: int = 60):
+def logistic_fit(train: DataFrame, features: str, label: str, weight: str, c: float, max_iter: int = 1000):
     """Weighted L2 logistic regression with inverse regularisation ``c`` (penalty 1/(c * sum of weights))."""
     total = train.agg(F.sum(weight)).first()[0]
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, regParam=1.0 / (c * total),

@@ -95,12 +95,14 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def freeze(predictions: DataFrame, path: str, cols: Sequence[str]) -> None:
     """Write predictions, then a completion marker that carries their fingerprint.
 
-    Tables with gold columns are refused. The marker is written last, so a half-written
+    The fingerprint covers every column. Tables with gold columns are refused. The marker is written last, so a half-written
     run has none.
     """
     leaked = [c for c in predictions.columns if c.startswith("gold")]
     if leaked:
         raise ValueError(f"predictions carry gold columns: {leaked}")
+    if set(cols) != set(predictions.columns):
+        raise ValueError("the fingerprint has to cover every column")
     predictions.write.mode("errorifexists").parquet(f"{path}/predictions")
     written = predictions.sparkSession.read.parquet(f"{path}/predictions")
     table_fingerprint(written, cols).write.mode("errorifexists").json(f"{path}/complete")

@@ -17,7 +17,7 @@ from strophe.plans import foldrun as fr
 from strophe.plans.q_detection import CURVE
 from strophe.plans.q_priors import EVIDENCE_SQL, evidence
 from strophe.plans.registry import query, rounded
-from strophe.plans.tables import PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
+from strophe.plans.tables import METHODS, PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
 from strophe.session import shared_dir
 
 LABELLED = "quality IS NULL AND diagnostic AND stable_error"
@@ -77,9 +77,12 @@ def boosted_fit(spark, sf_dir):
 @query("platt_fit")
 def platt_fit(spark, sf_dir):
     """All three calibration variants per scoring method."""
-    s = scored(spark, sf_dir).where("method = 'alpha'").select("grp", "score", "gold_error").persist()
-    rows = [(v, *mo.platt_fit(s, "score", "gold_error", v, "grp").values()) for v in ("ridge", "weighted", "standardized")]
-    return rounded(spark.createDataFrame(rows, "variant string, slope double, intercept double"), "slope", "intercept")
+    rows = []
+    for method in METHODS:
+        s = scored(spark, sf_dir).where(F.col("method") == method).select("grp", "score", "gold_error").persist()
+        rows += [(method, v, *mo.platt_fit(s, "score", "gold_error", v, "grp").values()) for v in ("ridge", "weighted", "standardized")]
+        s.unpersist()
+    return rounded(spark.createDataFrame(rows, "method string, variant string, slope double, intercept double"), "slope", "intercept")
 
 
 @query("apply_calibration", f"""WITH {SCORED_SQL}, c AS (SELECT method, key, cand_event, cand_conf, cand_margin, 1 / (1 + exp(-(0.05::DOUBLE * score - 3))) AS q FROM scored),
@@ -178,7 +181,7 @@ def fold_run(spark, sf_dir):
 def freeze_then_evaluate(spark, sf_dir):
     """Predictions are frozen first; only then gold joins and metrics are computed."""
     path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
-    cols = ["fold", "key", "event", "idx", "grp", "source", "predicted", "status"]
+    cols = ["fold", "key", "event", "idx", "grp", "source", "score", "p_error", "predicted", "status"]
     data = _by_site(spark, sf_dir)
     groups = _groups(data)
     part, _ = fr.run_fold(data, groups[2:], groups[1], groups[0], fr.CANDIDATES[1:])
