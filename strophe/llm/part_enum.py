@@ -356,12 +356,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = written(_verified(pairs, classes, docs, shingle, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        labels = components(edges)
-        if how != "all":
+        if edges is None or links.count():  # else the components are as before
+            edges = links if edges is None else edges.unionByName(links)
+            labels = components(edges)
             found = members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
             still = found.groupBy("g").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("g")
             found = written(found.join(written(still, "open"), "g", "left_semi"), "open-members")
+            if found.isEmpty():
+                break
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
     named = written(named.select("k1", "k2", "n", F.coalesce("c", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")), "named")
