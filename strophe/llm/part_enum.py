@@ -233,7 +233,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
-    """(a, b): candidate pairs, within the bound, of groups (g, id, c, n, sketch) with components c.
+    """(a, ka, b, kb): candidate pairs, within the bound, of groups (g, id, k1, c, n, sketch) with components c.
 
     ``star``: one leader for each part of a group that lies within its bound. ``nearest``: each member outside the
     group's largest component with the nearest member of another component. ``all``: every pair of
@@ -241,7 +241,8 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
 
     Groups over BLOCK members are dealt into blocks whose number is counted; each pair of blocks is a
     group of its own, so that a task never holds more than two blocks."""
-    def of_group(k: np.ndarray, n: np.ndarray, c: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_group(n: np.ndarray, c: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the pairs in a group sorted by id."""
         if how == "nearest":
             names, size = np.unique(c, return_counts=True)
             for i in np.flatnonzero(c != names[size.argmax()]):
@@ -249,26 +250,26 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
                 gap = np.abs(x[i] - x[others]).sum(axis=1)
                 j = others[gap.argmin()]
                 if may_link(n[i], n[j], gap.min(), percent):
-                    yield np.array([min(k[i], k[j])]), np.array([max(k[i], k[j])])
+                    yield np.array([min(i, j)]), np.array([max(i, j)])
             return
-        rest = np.arange(len(k))
+        rest = np.arange(len(n))
         while len(rest) > 1:
             i, others = rest[0], rest[1:]
             ok = c[others] != c[i]
             ok[ok] = may_link(n[i], n[others[ok]], np.abs(x[i] - x[others[ok]]).sum(axis=1), percent)
-            yield np.full(ok.sum(), k[i]), k[others[ok]]
+            yield np.full(ok.sum(), i), others[ok]
             rest = others[~ok] if how == "star" else others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in itertools.chain(batches, [None]):
-            rows = held if batch is None else [c.to_numpy() for c in batch.columns[:6]] + [
-                np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, BUCKETS)]
+            rows = held if batch is None else [c.to_numpy() for c in batch.columns[:7]] + [
+                np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, BUCKETS)]
             if batch is not None and held is not None:
                 rows = [np.concatenate(z) for z in zip(held, rows, strict=True)]
             if rows is None or not len(rows[0]):
                 continue
-            g, x, y, k, c, n, sk = rows
+            g, x, y, k, k1, c, n, sk = rows
             start = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
             end = np.concatenate((start[1:], [len(g)]))
             if batch is not None:  # the last group may go on
@@ -277,10 +278,11 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
             two = start[end - start == 2]
             gap = np.abs(sk[two].astype(np.int16) - sk[two + 1]).sum(axis=1)
             two = two[(c[two] != c[two + 1]) & may_link(n[two], n[two + 1], gap, percent)]
-            found = [(k[two], k[two + 1])]
+            found = [(two, two + 1)]
             for i, j in zip(start[end - start > 2], end[end - start > 2], strict=True):
-                found += of_group(k[i:j], n[i:j], c[i:j], sk[i:j].astype(np.int16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[h] for f in found])) for h in (0, 1)], ["a", "b"])
+                found += [(i + a, i + b) for a, b in of_group(n[i:j], c[i:j], sk[i:j].astype(np.int16))]
+            a, b = (np.concatenate([f[h] for f in found]) for h in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (k[a], k1[a], k[b], k1[b])], ["a", "ka", "b", "kb"])
 
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
     size = written(size, "sizes")
@@ -289,25 +291,29 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
     big = big.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     big = big.withColumn("_x", F.least("_mine", "_other")).withColumn("_y", F.greatest("_mine", "_other"))
     small = members.join(size, "g", "left_anti").withColumn("_x", F.lit(0)).withColumn("_y", F.lit(0))
-    cols = ["g", "_x", "_y", "id", "c", "n", "sketch"]
+    cols = ["g", "_x", "_y", "id", "k1", "c", "n", "sketch"]
     dealt = _dealt(small.select(cols).union(big.select(cols)), "g", "_x", "_y", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, ka long, b long, kb long").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives whose whole sets reach the similarity. Sets are cut anew from the
-    texts, for the documents in question alone."""
+def _elements(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, k1, elements): the sets of the representatives in any group, cut anew from the texts; where
+    ids repeat, with more rows than asked for."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t) for t in part.column(2).to_pylist()]
-                # rows that share the id with another text are passed over
-                own = [i for i, (s, k) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if len(s) and set_key(s)[0] == k]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())],
-                                                 ["id", "elements"])
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x)[0] for x in sets], pa.int64()),
+                                                  pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "k1", "elements"])
 
+    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text"), members.select("id"), "id")
+    return texts.mapInArrow(cut, "id long, k1 long, elements binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose whole sets reach the similarity."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -319,13 +325,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = written(asked.join(classes.select(F.col("rep").alias("id"), "k1"), "id"), "asked")
-    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text"), asked, "id").join(asked, "id").select("id", "k1", "text")
-    sets = written(texts.mapInArrow(cut, "id long, elements binary").dropDuplicates(["id"]), "sets")
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    def side(id_: str, key: str, value: str) -> DataFrame:
+        own = maybe_in(sets, pairs.select(F.col(id_).alias("id")), "id")
+        return own.select(F.col("id").alias(id_), F.col("k1").alias(key), F.col("elements").alias(value))
+
+    both = pairs.join(side("a", "ka", "x"), ["a", "ka"]).join(side("b", "kb", "y"), ["b", "kb"])
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -348,13 +353,14 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int
     classes = written(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     shared = written(_shared(sigs).distinct(), "shared")
     members = shared.join(classes.where("rep IS NOT NULL").select("k1", F.col("rep").alias("id"), "n", "sketch"), "k1")
-    members = written(members.select("g", "id", "n", "sketch").dropDuplicates(["g", "id"]), "members")
+    members = written(members.select("g", "id", "k1", "n", "sketch"), "members")
+    sets = written(_elements(members, docs, shingle), "sets")
     tried = edges = None
     found = members.withColumn("c", F.col("id"))
     for how in ("star", "nearest", "nearest", "all"):
         pairs = _pairs(found, percent, how)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = written(_verified(pairs, classes, docs, shingle, percent), "links")
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "ka", "b", "kb"], "left_anti"), "pairs")
+        links = written(_verified(pairs, sets, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if edges is None or links.count():  # else the components are as before
             edges = links if edges is None else edges.unionByName(links)
