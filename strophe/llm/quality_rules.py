@@ -86,7 +86,7 @@ def measured(docs: DataFrame) -> DataFrame:
     stop = "(?<![^\\x20\\x09-\\x0D])(?i:" + "|".join(dict.fromkeys(STOP_WORDS)) + ")(?![^\\x20\\x09-\\x0D])"
     counts = let(full, lambda ls: F.struct(
         F.size(ls).alias("full"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup"),
-        F.size(F.filter(ls, lambda x: x.rlike("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$"))).alias("ellipsis")))
+        F.size(F.filter(ls, lambda x: x.rlike("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z"))).alias("ellipsis")))
     m = d.select(
         "doc_id", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), counts.alias("_lines"),

@@ -39,7 +39,34 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query()
+def _rules_sql() -> str:
+    from strophe.llm.quality_rules import STOP_WORDS
+
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    rule = lambda name, broken, words: f"CASE WHEN n_words >= {words} AND ({broken}) THEN '{name}' END"
+    failed = ", ".join((
+        rule("mean_word_chars", "word_chars / n_words < 2 OR word_chars / n_words > 14", 20), rule("symbols_per_word", "n_symbols / n_words > 0.25::DOUBLE", 20),
+        rule("stop_word_share", "n_stop / n_words < 0.01::DOUBLE", 50), rule("duplicate_line_share", "n_dup_lines / n_full_lines > 0.5", 20),
+        rule("words_with_letter_share", "n_letter_words / n_words < 0.6::DOUBLE", 20), rule("ellipsis_line_share", "n_ellipsis_lines / n_full_lines > 0.5", 20)))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, (SELECT unnest(generate_series(0, 4)) AS o) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+f AS (SELECT doc_id, count(*) AS n_full_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+  count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*\z')) AS n_ellipsis_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  CAST(len(list_filter(w, lambda x: {AZ_SQL.format("x")} IN ({stop}))) AS BIGINT) AS n_stop,
+  CAST(len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS BIGINT) AS n_letter_words,
+  coalesce(n_full_lines, 0) AS n_full_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines FROM w LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {failed}) AS failed_rules FROM m)
+SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM b"""
+
+
+@query(_rules_sql())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strophe.llm.quality_rules import judged
 
