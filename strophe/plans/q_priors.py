@@ -10,10 +10,12 @@ from strophe.operators import priors as pr
 from strophe.plans.q_detection import GAPS_SQL, gap_labels
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import PTOK_SQL, SYMBOLS, phone_tokens
+from strophe.session import stored
 
 
 def conf(spark, sf_dir):
-    return au.confusion_counts(phone_tokens(spark, sf_dir), ["grp", "cohort"])
+    """Confusion counts (groups times inventory squared rows at most), counted once however often a plan uses them."""
+    return stored(au.confusion_counts(phone_tokens(spark, sf_dir), ["grp", "cohort"]), "confusion-counts")
 
 
 RATES_SQL = PTOK_SQL + """,
@@ -233,7 +235,7 @@ x AS (SELECT key, ok * op_ok / 0.9::DOUBLE o, del * op_del / 0.03::DOUBLE d, 0.6
   0.4::DOUBLE * sub * op_sub * (p2 / (1 - p3)) / (0.07::DOUBLE / (39 - len(accepted))) m2 FROM evp)
 SELECT key, round(o / (o + d + m1 + m2), 8) cf_ok, round(d / (o + d + m1 + m2), 8) cf_del, round(m1 / (o + d + m1 + m2), 8) cf_s1, round(m2 / (o + d + m1 + m2), 8) cf_s2 FROM x""")
 def prior_replacement(spark, sf_dir):
-    arrays = pr.prior_arrays(*pr.group_equal_prior(conf(spark, sf_dir)))
+    arrays = stored(pr.prior_arrays(*pr.group_equal_prior(conf(spark, sf_dir))), "prior-arrays")  # one row per symbol
     out = pr.prior_replacement(evidence(spark, sf_dir), arrays)
     out = out.select("key", "cf_ok", "cf_del", F.element_at("cf_sub", F.col("s1").cast("int")).alias("cf_s1"), F.element_at("cf_sub", F.col("s2").cast("int")).alias("cf_s2"))
     return rounded(out, "cf_ok", "cf_del", "cf_s1", "cf_s2")
@@ -247,6 +249,7 @@ x AS (SELECT key, -gop c1, -viterbi_gop c2, ln(sub / ok) c3, ln(del / ok) c4, ln
 SELECT key, {', '.join(f"round(sign({c}) * ln(1 + abs({c})), 7) + 0.0 AS {n}" for c, n in zip(('c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9'), ('x_score', 'x_best', 'x_sub', 'x_del', 'x_occurrence', 'x_identity', 'x_b1', 'x_b2', 'x_b3')))} FROM x""")
 def compact_features(spark, sf_dir):
     c = conf(spark, sf_dir)
-    out = pr.compact_features(evidence(spark, sf_dir), pr.prior_arrays(*pr.group_equal_prior(c)), pr.identity_reliability(c, "grp"), ["b1", "b2", "b3"])
+    out = pr.compact_features(evidence(spark, sf_dir), stored(pr.prior_arrays(*pr.group_equal_prior(c)), "prior-arrays"),
+                              stored(pr.identity_reliability(c, "grp"), "reliability"), ["b1", "b2", "b3"])
     names = ["x_score", "x_best", "x_sub", "x_del", "x_occurrence", "x_identity", "x_b1", "x_b2", "x_b3"]
     return out.select("key", *[(F.round(n, 7) + F.lit(0.0)).alias(n) for n in names])

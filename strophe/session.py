@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` as a table in the shared folder: for results of a bounded size that a plan uses many times.
+
+    Computed once, and lost executors don't matter.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
