@@ -12,7 +12,7 @@ from strophe.operators import linking as lk
 from strophe.plans.q_detection import CURVE, GAPS_SQL, gap_labels
 from strophe.plans.q_text import WORDS, documents
 from strophe.plans.registry import query, rounded
-from strophe.plans.tables import METHODS, SCORED_ALL_SQL, SCORED_SQL, SYMBOLS, TOKENS_SQL, scored, table, tokens, with_methods
+from strophe.plans.tables import METHODS, SCORED_ALL_SQL, SCORED_SQL, SYMBOLS, TOKENS_SQL, frames, scored, table, tokens, with_methods
 
 
 @query("join_gold", f"""WITH {SCORED_SQL} SELECT method, grp, gold_event, count(*) n, round(avg(p_error), 8) mean_p,
@@ -373,3 +373,31 @@ def backoff_join(spark, sf_dir):
     specific = src.groupBy("target").agg(F.avg("k").alias("v"), F.count(F.lit(1)).alias("c")).where("c >= 20").select("target", "v")
     out = with_backoff(t.select("target"), specific, src.agg(F.avg("k").alias("v")), ["target"], "v", "penalty")
     return rounded(out.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.max("penalty").alias("penalty"), F.bool_or("fallback").alias("fallback")), "penalty")
+
+
+# --- structural checks of the inputs --------------------------------------------------------------
+
+@query("unequal_lengths", f"""WITH {TOKENS_SQL}, s AS (SELECT event, count(*) n FROM tokens GROUP BY event)
+SELECT event, CAST(n AS INT) n_symbols, CAST(n - 1 AS INT) n_mask FROM s WHERE event % 11 = 0""")
+def unequal_lengths(spark, sf_dir):
+    """Recordings whose arrays differ in length; every eleventh one lost the last mark."""
+    from strophe.operators.contracts import unequal_lengths as check
+    rows = F.array_sort(F.collect_list(F.struct("idx", "target", "diagnostic")))
+    e = tokens(spark, sf_dir).groupBy("event").agg(F.transform(rows, lambda r: r["target"]).alias("symbols"), F.transform(rows, lambda r: r["diagnostic"]).alias("mask"))
+    return check(e.withColumn("mask", F.when(F.col("event") % 11 == 0, F.slice("mask", F.lit(1), F.size("mask") - 1)).otherwise(F.col("mask"))), ["event"], ["symbols", "mask"])
+
+
+@query("inconsistent_metadata", """SELECT o_custkey, field FROM (SELECT o_custkey, min(o_orderstatus) <> max(o_orderstatus) a, min(o_orderpriority) <> max(o_orderpriority) b FROM orders GROUP BY o_custkey),
+ (VALUES ('o_orderstatus'), ('o_orderpriority')) f(field) WHERE CASE field WHEN 'o_orderstatus' THEN a ELSE b END""")
+def inconsistent_metadata(spark, sf_dir):
+    from strophe.operators.association import inconsistent_metadata as check
+    return check(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("duplicate_frames", "SELECT vec_id // 10 AS event, vec_id % 10 AS frame, CAST(2 AS BIGINT) n FROM embeddings WHERE (vec_id // 10) % 5 = 0 AND vec_id % 3 = 0")
+def duplicate_frames(spark, sf_dir):
+    """Frames stored twice; some frames of every fifth recording are."""
+    from strophe.sources.frames import duplicate_frames as check
+    f = frames(spark, sf_dir)
+    again = f.where((F.col("event") % 5 == 0) & ((F.col("event") * 10 + F.col("frame")) % 3 == 0))
+    return check(f.select("event", "frame").unionByName(again.select("event", "frame")))
