@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strophe.llm.common import bounded_batches
+
 #: Distinct pieces that a worker remembers before it starts anew, and characters encoded at a time.
-CACHE_PIECES = 300_000
-CHUNK_CHARS = 2_000_000
+CACHE_PIECES = 200_000
+CHUNK_CHARS = 1_000_000
 #: Tree leaves worked on side by side.
 LEAVES = 1 << 21
 NONE = np.int64(1) << 62
@@ -204,23 +206,33 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit), n_tokens; one row per row of ``docs``.
+def encoded(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit), n_tokens, and with ``decode`` the column bytes: the
+    ids turned back in the same worker. One row per row of ``docs``.
 
     Null and empty texts have no tokens; repeated rows and null ids come out as they came in;
     other columns of ``docs`` are ignored. ``path`` is a rank file that every worker can open,
     ``pattern`` the split pattern; special tokens are ordinary text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, pattern)
+        enc, token = Encoder(path, pattern), vocabulary(path).tokens.__getitem__
         for batch in batches:
             ids, at = batch.column(0), 0
             for part in _chunks([t or "" for t in batch.column(1).to_pylist()]):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(enc.encode(part), pa.binary())], ["doc_id", "ids"])
+                found = enc.encode(part)
+                out = [ids.slice(at, len(part)), pa.array(found, pa.binary())]
+                if decode:
+                    out.append(pa.array([turned_back(x, token) for x in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names)
                 at += len(part)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary" + ", bytes binary" * decode
+    names = ["doc_id", "ids", "bytes"][:2 + decode]
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, schema).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+
+
+def turned_back(ids: bytes, token) -> bytes:
+    return b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -229,10 +241,10 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
         token = vocabulary(path).tokens.__getitem__
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            back = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
+            back = [None if x is None else turned_back(x, token) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*batch.schema.names, "bytes"])
 
     from pyspark.sql.types import BinaryType
 
     schema = type(tokens.schema)(list(tokens.schema.fields)).add("bytes", BinaryType())
-    return tokens.mapInArrow(run, schema)
+    return bounded_batches(tokens).mapInArrow(run, schema)

@@ -38,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of texts handed to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches for Python workers bounded by bytes: ten thousand long texts at once would not fit."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) == "67108864b":  # Spark's own default
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def same(a: DataFrame, b: DataFrame, *cols: str) -> Column:
     """Join condition on equal columns, nulls being equal."""
     cond = F.lit(True)

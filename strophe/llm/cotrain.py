@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import written
+from strophe.llm.common import bounded_batches, written
 from strophe.llm.ftrl import Ftrl, average
 from strophe.llm.quality_views import DIMS, META_DIMS, MetaView, TextView
 
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ("doc_
                 yield pa.RecordBatch.from_arrays([*part.columns[:many], pa.array(each[0]), pa.array(each[1]), pa.array(q), pa.array(q >= threshold)], names)
 
     names = [*carry, "text_score", "meta_score", "quality_score", "accepted"]
-    fields = _fields(docs)
+    fields = _fields(bounded_batches(docs))
     own = [docs[c].alias(f"_c{i}") for i, c in enumerate(carry)]
     rest = [c for c in fields.columns if c != "doc_id"]
     has = lambda c, kind: (F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)).alias(c)

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strophe.llm.common import written
+from strophe.llm.common import bounded_batches, written
 
 #: At most so many words, contexts and context dishes are sent to tasks: those with 1 / bound of the tokens.
 HEAVY_WORDS, CONTEXTS, DISHES = 100_000, 2_000, 200_000
 #: Words a task remembers at once.
-SEEN_WORDS = 400_000
+SEEN_WORDS = 200_000
 SMALL = 1 << 20
 END = b""
 
@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return bounded_batches(docs).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def pair_counts(docs: DataFrame, heavy: np.ndarray, contexts: int) -> DataFrame:
@@ -277,7 +277,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                                                       pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[2] for x in held]))], names)
                     held, rows, size = [], [], 0
 
-    base = docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("v"))
+    base = bounded_batches(docs).select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("v"))
     rows = base.mapInArrow(run, f"h long, doc_id {kind.simpleString()}, v int, kind int, val double")
     joined = rows.join(model.table, "h", "left")
     rare = F.col("kind") == 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.char_ngrams import DIMS, counted
-from strophe.llm.common import written
+from strophe.llm.common import bounded_batches, written
 from strophe.llm.ftrl import Ftrl, average, probabilities, temperature
 
 SAMPLE = 16_000
@@ -44,7 +44,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         b = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(df[b])], ["b", "df"])
 
-    return docs.select("text").mapInArrow(run, "b long, df long").groupBy("b").agg(F.sum("df").alias("df"))
+    return bounded_batches(docs).select("text").mapInArrow(run, "b long, df long").groupBy("b").agg(F.sum("df").alias("df"))
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import maybe_in, written
+from strophe.llm.common import bounded_batches, maybe_in, written
 from strophe.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
 BUCKETS = 256
 #: Sets remembered by a task so that equal ones emit their signatures once; words remembered for their hash.
-SEEN_CLASSES, SEEN_WORDS = 200_000, 400_000
+SEEN_CLASSES, SEEN_WORDS = 100_000, 150_000
 #: Members of a signature group that a task holds at once; the blocks of a larger group meet in pairs.
 BLOCK = 2048
 
@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataF
                     sigs.append(signatures(s, percent))
                     keys.append(np.full(len(sigs[-1]), key[0], dtype=np.int64))
                     held += len(sigs[-1])
-                    if held > 500_000:
+                    if held > 200_000:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "k1"])
                         keys, sigs, held = [], [], 0
             if sigs:
@@ -346,7 +346,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int
     alone with a null component_id. Repeated rows come out as often as they came in; rows that
     share an id are linked through their texts alone. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     slim, sigs = _sets(docs, shingle, percent)
     slim = written(slim, "slim")
     full = slim.where("n > 0")

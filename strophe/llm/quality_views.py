@@ -9,7 +9,7 @@ import numpy as np
 BITS = 18
 DIMS = 1 << BITS
 META_DIMS = 1 << 12
-SEEN_WORDS = 300_000
+SEEN_WORDS = 150_000
 SYMBOLS = re.compile(r"[#*$%&|<>{}\\=+~^@_]")
 LETTERS = re.compile(r"[^\W\d_]+")
 

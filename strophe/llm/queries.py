@@ -103,10 +103,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode by the public rank file; digests of ids and bytes."""
     import public_tokenizers
 
-    from strophe.llm.bpe import decoded, encoded
+    from strophe.llm.bpe import encoded
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decoded(encoded(docs, path, public_tokenizers.PATTERN), path)
+    out = encoded(docs, path, public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
