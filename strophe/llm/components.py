@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import written
@@ -22,9 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         over = both.join(labels.select(F.col("v").alias("b"), "c"), "b").select(F.col("a").alias("v"), "c", F.lit(None).cast("long").alias("was"))
         least = over.union(labels.select("v", "c", F.col("c").cast("long").alias("was"))).groupBy("v").agg(F.min("c").alias("c"), F.max("was").alias("was"))
         jump = least.join(labels.select(F.col("v").alias("w"), F.col("c").alias("d")), F.col("c") == F.col("w"), "left")
-        moved = Observation()
-        new = jump.select("v", F.least("c", F.coalesce("d", "c")).alias("c"), "was").observe(moved, F.count_if(F.col("c") != F.col("was")).alias("n"))
-        labels = written(new.select("v", "c"), "labels")
-        if not moved.get.get("n"):
+        new = written(jump.select("v", F.least("c", F.coalesce("d", "c")).alias("c"), "was"), "labels")
+        labels = new.select("v", "c")
+        if new.where("c <> was").isEmpty():
             return labels
     raise RuntimeError("components did not settle")

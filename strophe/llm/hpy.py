@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import bounded_batches, written
@@ -159,16 +159,15 @@ def train(docs: DataFrame, heavy_words: int = HEAVY_WORDS, contexts: int = CONTE
     known = counts.where(F.col("c") * heavy_words >= n).orderBy(F.desc("c"), "h").toPandas() if n else counts.limit(0).toPandas()
     heavy, c = known["h"].to_numpy(np.int64), known["c"].to_numpy(np.int64)
     many = int((c * contexts >= n).sum()) if n else 0
-    seen = Observation()
-    pairs = pair_counts(docs, heavy, many).observe(
-        seen, F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos"))
-    kept = written(pairs.where(F.col("c") * dishes >= n), "dishes").orderBy("code").toPandas()
+    pairs = written(pair_counts(docs, heavy, many), "dishes")
+    pair_ones, pair_twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    kept = pairs.where(F.col("c") * dishes >= n).orderBy("code").toPandas()
     code, cu = kept["code"].to_numpy(np.int64), kept["c"].to_numpy(np.int64)
     width = max(len(heavy), 1)
     u, w = code // width, code % width
     c_u = c[:many].astype(float)  # each token of a context word is followed by one, the end by the next text's first
     passed = c_u - np.bincount(u, cu, minlength=many)
-    d0, d1 = discount_of(ones, twos), discount_of(seen.get["ones"], seen.get["twos"])
+    d0, d1 = discount_of(ones, twos), discount_of(pair_ones, pair_twos)
     s0, s1 = strengths
     h = 1.0 / (v + 1)
     direct = c - np.bincount(w, cu, minlength=len(heavy)).astype(np.int64)  # customers that sit in the parent at once
