@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +57,9 @@ def write_jsonl(df: DataFrame, path: str, order: Sequence[str], files: int | Non
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV of a tidy table; an empty one is an error, told once the plan has run."""
-    rows = Observation()
-    df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("header", True).csv(path)
-    if not rows.get["n"]:
+    """Header CSV of a tidy table; an empty one is an error, told from the written rows, so that the plan runs once."""
+    df.write.option("header", True).csv(path)
+    if df.sparkSession.read.schema(df.schema).option("header", True).csv(path).isEmpty():
         raise ValueError("a CSV without rows")
 
 
