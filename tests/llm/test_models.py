@@ -95,6 +95,33 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark):
         assert sums[0] > sums[1]
 
 
+def test_language_model_keeps_every_context(spark):
+    """Rare previous words have restaurants too, and the bounds of the cache do not change a score."""
+    text = lambda i: " ".join(f"rare{i % 50} next{i % 50} w{j % 7}" for j in range(3))
+    docs = spark.createDataFrame([(i, text(i) if i % 2 else "filler word " * 40) for i in range(400)], "doc_id long, text string").repartition(3)
+    small = hpy.train(docs, heavy_words=20, contexts=5, dishes=10)
+    assert len(small.heavy) <= 20 and small.contexts <= 5 and len(small.codes) <= 10
+    pairs = Counter()
+    for r in docs.collect():
+        w = [b"", *r["text"].encode().split(), b""]
+        pairs.update(zip(w, w[1:]))
+    shares = {(r["u"], r["w"]): r for r in small.shares.collect()}
+    words = {r["h"]: r for r in small.table.collect()}
+    digest = hpy.Codes(np.zeros(0, np.int64))
+    assert {k: r["c"] for k, r in shares.items()} == {tuple(digest(list(k)).tolist()): c for k, c in pairs.items()}
+    left = dict.fromkeys(words, 0.0)
+    for (u, _), r in shares.items():
+        left[u] += r["own"]
+    assert all(math.isclose(left[u] + r["b"], 1.0, rel_tol=1e-9) for u, r in words.items())
+    u, w = digest([b"rare1", b"next1"]).tolist()
+    assert shares[u, w]["own"] + words[u]["b"] * words[w]["p"] > 0.9
+    out = {r["doc_id"]: r["score"] for r in hpy.scored(docs, small).collect()}
+    for r in docs.where("doc_id < 20").collect():
+        w = digest([b"", *r["text"].encode().split(), b""]).tolist()
+        p = [shares[x]["own"] + words[x[0]]["b"] * words[x[1]]["p"] for x in zip(w, w[1:])]
+        assert math.isclose(out[r["doc_id"]], sum(map(math.log10, p)), rel_tol=1e-9)
+
+
 def test_seating():
     rng = np.random.default_rng(4)
     t = hpy.seat(np.array([0, 1, 2, 10, 100_000]), 1e-9, 0.5, rng)
