@@ -6,15 +6,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix, Matrices
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,33 +210,66 @@ def event_type_fit(train: DataFrame, numeric: Sequence[str], group: str):
     return apply
 
 
+def mixture_fit(x: np.ndarray, components: int, seed: int = 0, max_iter: int = 100, tol: float = 1e-3, ridge: float = 1e-5):
+    """Weights, means and full covariances of a Gaussian mixture by EM; ``ridge`` is added to each covariance in every step,
+    so that components of fewer vectors than dimensions stay proper. Starts from nearest of spread-out centres, a few rounds of means."""
+    rng, (n, d) = np.random.default_rng(seed), x.shape
+    k = min(components, n)
+    centres = x[[int(rng.integers(n))]]
+    near = ((x - centres[0]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        i = int(rng.choice(n, p=near / near.sum())) if near.sum() > 0 else int(rng.integers(n))
+        centres = np.vstack((centres, x[i]))
+        near = np.minimum(near, ((x - x[i]) ** 2).sum(axis=1))
+    for _ in range(20):
+        own = ((x ** 2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres ** 2).sum(axis=1)).argmin(axis=1)
+        centres = np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+    resp, before = np.eye(k)[own], -np.inf
+    for _ in range(max_iter):
+        size = resp.sum(axis=0) + 10 * np.finfo(float).eps
+        means = resp.T @ x / size[:, None]
+        covs = np.stack([((x - m).T * r) @ (x - m) / z + ridge * np.eye(d) for m, r, z in zip(means, resp.T, size, strict=True)])
+        log_p = np.empty((n, k))
+        for j in range(k):
+            root = np.linalg.cholesky(covs[j])
+            y = np.linalg.solve(root, (x - means[j]).T)
+            log_p[:, j] = math.log(size[j] / n) - 0.5 * (d * math.log(2 * math.pi) + (y ** 2).sum(axis=0)) - np.log(np.diag(root)).sum()
+        top = log_p.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log_p - top).sum(axis=1))
+        resp = np.exp(log_p - total[:, None])
+        if abs(total.mean() - before) < tol:
+            break
+        before = total.mean()
+    return size / n, means, covs
+
+
 def gmm_density(train: DataFrame, test: DataFrame, symbol: str, vector: str, key: str, symbols: Sequence, components: int = 32,
-                cap: int = 512, seed: int = 0, parallelism: int = 4) -> DataFrame:
+                cap: int = 512, seed: int = 0) -> DataFrame:
     """Log density of each vector under the mixture of its own symbol.
 
     Per symbol at most ``cap`` training vectors, drawn by hash, are used for the fit (that is the
-    sampling rule, not a limit on what is scored). Only mixture parameters reach the driver.
+    sampling rule, not a limit on what is scored), so that a task fits a symbol. A symbol of fewer vectors than
+    ``components`` has one component for each. Only mixture parameters reach the driver.
     """
     from pyspark.sql import Window
 
     draw = hash_long(F.col(symbol).cast("string"), F.col(key).cast("string"))
     w = Window.partitionBy(symbol).orderBy(draw, key)
-    sample = train.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    sample = sample.withColumn("features", array_to_vector(F.col(vector))).persist()
+    sample = train.where(F.col(symbol).isin(list(symbols))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select(symbol, "_r", vector)
+
+    def fit(rows):
+        rows = rows.sort_values("_r")
+        weights, means, covs = mixture_fit(np.stack(rows[vector].to_numpy()).astype(float), components, seed)
+        return pd.DataFrame([(rows[symbol].iloc[0], float(z), m.tolist(), c.ravel().tolist()) for z, m, c in zip(weights, means, covs, strict=True)],
+                            columns=[symbol, "w", "mu", "cov"])
+
+    fitted = sample.groupBy(symbol).applyInPandas(fit, f"{symbol} {dict(train.dtypes)[symbol]}, w double, mu array<double>, cov array<double>")
     rows = []
-    mixture = GaussianMixture(k=components, maxIter=100, tol=1e-3, seed=seed)
-    # Independent small fits: run a few at a time so that the cluster is not idle between them.
-    with ThreadPool(parallelism) as pool:
-        fits = pool.map(inheritable_thread_target(sample.sparkSession)(lambda s: mixture.fit(sample.where(F.col(symbol) == s))), list(symbols))
-    for s, gm in zip(symbols, fits):
-        for weight, g in zip(gm.weights, gm.gaussians):
-            cov = g.cov.toArray() if isinstance(g.cov, DenseMatrix) else np.asarray(g.cov.toArray())
-            cov = cov + 1e-5 * np.eye(len(cov))
-            _, logdet = np.linalg.slogdet(cov)
-            prec = np.linalg.inv(cov)
-            const = math.log(max(weight, 1e-300)) - 0.5 * (len(cov) * math.log(2 * math.pi) + logdet)
-            rows.append((s, float(const), [float(v) for v in g.mean], [[float(v) for v in r] for r in prec]))
-    sample.unpersist()
+    for s, weight, mu, cov in fitted.toLocalIterator():
+        cov = np.reshape(cov, (len(mu), len(mu)))
+        _, logdet = np.linalg.slogdet(cov)
+        const = math.log(max(weight, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + logdet)
+        rows.append((s, float(const), list(mu), np.linalg.inv(cov).tolist()))
     kind = dict(train.dtypes)[symbol]
     params = train.sparkSession.createDataFrame(rows, f"{symbol} {kind}, c double, mu array<double>, prec array<array<double>>")
     packed = params.groupBy(symbol).agg(F.collect_list(F.struct("c", "mu", "prec")).alias("_g"))

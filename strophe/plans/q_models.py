@@ -106,9 +106,9 @@ def event_type_model(spark, sf_dir):
 
 @query("gmm_density")
 def gmm_density(spark, sf_dir):
-    f = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("vec"))
+    f = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("vec"))
     symbols = [r[0] for r in f.select("label").distinct().orderBy("label").collect()]
-    out = mo.gmm_density(f, f, "label", "vec", "vec_id", symbols, components=2)
+    out = mo.gmm_density(f, f, "label", "vec", "vec_id", symbols)
     return out.select("vec_id", "label", F.round("density", 6).alias("density"))
 
 

@@ -161,6 +161,23 @@ def test_pairwise_fit_matches_newton(spark):
     assert [*coef, icpt] == pytest.approx(list(b), abs=5e-3)
 
 
+def test_gmm_density_query_takes_whole_vectors(spark, sf_dir, monkeypatch):
+    """All values of an embedding and the operator's own number of components, also where a component has few vectors."""
+    import __spark_entry__ as entry
+
+    seen, real = {}, mo.gmm_density
+
+    def noted(train, *a, **k):
+        seen.update(k, size=train.selectExpr("min(size(vec))").first()[0])
+        return real(train, *a, **k)
+
+    monkeypatch.setattr(mo, "gmm_density", noted)
+    out = entry.queries()["gmm_density"](spark, sf_dir)
+    full = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert seen["size"] == full.selectExpr("max(size(embedding))").first()[0] > 4 and seen.get("components", 32) == 32
+    assert out.where("density IS NOT NULL AND NOT isnan(density)").count() == full.count()
+
+
 def test_gmm_density_of_two_clusters(spark):
     rng = np.random.default_rng(5)
     parts = [rng.normal(size=(100, 2)) - 20, rng.normal(size=(100, 2)) + 20]
