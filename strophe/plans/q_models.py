@@ -70,7 +70,7 @@ def logistic_fit(spark, sf_dir):
 @query("boosted_fit")
 def boosted_fit(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    scored_ = fr.fit_predictor(train, {"family": "histogram", "iterations": 5, "leaves": 8})(test)
+    scored_ = fr.fit_predictor(train, {"family": "histogram", "iterations": 60, "leaves": 8})(test)
     return scored_.select("key", "grp", "gold_error", F.round("score", 6).alias("score"))
 
 

@@ -178,6 +178,20 @@ def test_gmm_density_query_takes_whole_vectors(spark, sf_dir, monkeypatch):
     assert out.where("density IS NOT NULL AND NOT isnan(density)").count() == full.count()
 
 
+def test_boosted_fit_query_runs_all_iterations(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen, real = [], mo.boosted_fit
+
+    def noted(*a):
+        seen.append(real(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(mo, "boosted_fit", noted)
+    assert entry.queries()["boosted_fit"](spark, sf_dir).count() > 0
+    assert [m.getNumTrees for m in seen] == [60]
+
+
 def test_gmm_density_of_two_clusters(spark):
     rng = np.random.default_rng(5)
     parts = [rng.normal(size=(100, 2)) - 20, rng.normal(size=(100, 2)) + 20]
