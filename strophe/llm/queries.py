@@ -187,3 +187,75 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
     return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def _resampling_sql() -> str:
+    """Bucket counts, gains and scores; crc32 goes by a table of 256 steps of its polynomial."""
+    words = lambda t: f"SELECT unnest({WORDS_SQL}) AS w FROM {t}"
+    return f"""
+WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+dw AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents), iw AS ({words("benchmark")}),
+one AS (SELECT doc_id, unnest(ws) AS w FROM dw),
+vocabulary AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM one UNION SELECT w FROM iw)),
+bytes AS (SELECT w, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS b FROM vocabulary),
+bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) % 10000 AS k FROM bytes, poly),
+s AS (SELECT k, count(*) AS n FROM one JOIN bucket USING (w) GROUP BY k), t AS (SELECT k, count(*) AS n FROM iw JOIN bucket USING (w) GROUP BY k),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s_all, (SELECT coalesce(sum(n), 0) FROM t) AS t_all),
+gain AS (SELECT s.k, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (k), a),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM one JOIN bucket USING (w) JOIN gain USING (k) GROUP BY doc_id),
+h AS (SELECT doc_id, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents),
+r AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(CAST(floor(g::DOUBLE / n) AS BIGINT), 0) AS weight, h FROM dw LEFT JOIN f USING (doc_id) JOIN h USING (doc_id)),
+c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM r),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 10 * count(*) OVER () // 100 AS k FROM c WHERE n_features >= 20)
+SELECT c.*, CASE WHEN rank <= k THEN rank END AS rank FROM c LEFT JOIN o USING (doc_id)"""
+
+
+@query(_resampling_sql())
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.resampling import resampled
+
+    out = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _license_sql() -> str:
+    """Every rule of the table by keyword, places by running word counts, then suppression by the furthest end so far."""
+    from strophe.llm.license_rules import CONFIDENCE, RULES, compiled
+
+    table_ = ", ".join(f"({i}, '{r.label}', {r.tier}, '{r.keyword}', '{compiled(r.pattern)}', {r.base})" for i, r in enumerate(RULES))
+    reach = " ".join(f"WHEN {t} THEN max(CASE WHEN tier <= {t} THEN e ELSE -1 END) OVER w" for t in range(len(CONFIDENCE)))
+    sure = " ".join(f"WHEN {t} THEN {c}::DOUBLE" for t, c in enumerate(CONFIDENCE))
+    return f"""
+WITH rules(at, label, tier, keyword, pattern, base) AS (VALUES {table_}),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+n AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS n FROM d WHERE list_has_any(w, (SELECT list(DISTINCT keyword) FROM rules))),
+m AS (SELECT doc_id, at, label, tier, base, regexp_extract_all(n, pattern) AS hits, string_split_regex(n, pattern) AS pieces FROM n JOIN rules ON list_contains(w, keyword)),
+u AS (SELECT doc_id, at, label, tier, base, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0),
+z AS (SELECT *, (length(hit) - length(replace(hit, ' ', ''))) // 2 AS k, (length(piece) - length(replace(piece, ' ', ''))) // 2 AS p FROM u),
+x AS (SELECT *, sum(p + k) OVER (PARTITION BY doc_id, at ORDER BY i) - k AS s FROM z),
+y AS (SELECT doc_id, at, label, tier, base, CAST(s AS BIGINT) AS s, CAST(s + k AS BIGINT) AS e FROM x),
+q AS (SELECT *, coalesce(CASE tier {reach} END, -1) AS far FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY s, e DESC, tier, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (base OR far < e)), ',') AS labels,
+  CASE min(tier) FILTER (far < e) {sure} END AS score FROM q GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query(_license_sql())
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.licenses import licensed
+
+    out = licensed(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda m: m["start"].cast("long"))
+    names = F.array_sort(F.array_distinct(F.transform("base", lambda m: m["label"])))
+    return out.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                      F.array_join(names, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strophe.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
