@@ -227,15 +227,15 @@ def _license_sql() -> str:
     reach = " ".join(f"WHEN {t} THEN max(CASE WHEN tier <= {t} THEN e ELSE -1 END) OVER w" for t in range(len(CONFIDENCE)))
     sure = " ".join(f"WHEN {t} THEN {c}::DOUBLE" for t, c in enumerate(CONFIDENCE))
     return f"""
-WITH rules(at, label, tier, keyword, pattern, base) AS (VALUES {table_}),
+WITH rules(num, label, tier, keyword, pattern, base) AS (VALUES {table_}),
 d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 n AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS n FROM d WHERE list_has_any(w, (SELECT list(DISTINCT keyword) FROM rules))),
-m AS (SELECT doc_id, at, label, tier, base, regexp_extract_all(n, pattern) AS hits, string_split_regex(n, pattern) AS pieces FROM n JOIN rules ON list_contains(w, keyword)),
-u AS (SELECT doc_id, at, label, tier, base, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0),
+m AS (SELECT doc_id, num, label, tier, base, regexp_extract_all(n, pattern) AS hits, string_split_regex(n, pattern) AS pieces FROM n JOIN rules ON list_contains(w, keyword)),
+u AS (SELECT doc_id, num, label, tier, base, unnest(hits) AS hit, unnest(pieces[1:len(hits)]) AS piece, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0),
 z AS (SELECT *, (length(hit) - length(replace(hit, ' ', ''))) // 2 AS k, (length(piece) - length(replace(piece, ' ', ''))) // 2 AS p FROM u),
-x AS (SELECT *, sum(p + k) OVER (PARTITION BY doc_id, at ORDER BY i) - k AS s FROM z),
-y AS (SELECT doc_id, at, label, tier, base, CAST(s AS BIGINT) AS s, CAST(s + k AS BIGINT) AS e FROM x),
-q AS (SELECT *, coalesce(CASE tier {reach} END, -1) AS far FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY s, e DESC, tier, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, sum(p + k) OVER (PARTITION BY doc_id, num ORDER BY i) - k AS s FROM z),
+y AS (SELECT doc_id, num, label, tier, base, CAST(s AS BIGINT) AS s, CAST(s + k AS BIGINT) AS e FROM x),
+q AS (SELECT *, coalesce(CASE tier {reach} END, -1) AS far FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY s, e DESC, tier, num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (base OR far < e)), ',') AS labels,
   CASE min(tier) FILTER (far < e) {sure} END AS score FROM q GROUP BY doc_id)
