@@ -81,12 +81,50 @@ def group_equal_prior(conf: DataFrame, group: str = "grp", inventory: Sequence[s
     size = size.join(groups, by) if by else size.crossJoin(groups)
     scaled = conf.join(size.withColumn("_scale", effective / F.col("_n") / F.col("_g")).drop("_n", "_g"), [*by, group])
     mass = F.col("n") * F.col("_scale")
-    ops = list(GENERIC_OPS)
     per_source = scaled.groupBy(*by, "source").agg(
         F.sum("n").alias("raw_count"), F.count_distinct(group).alias("n_groups"),
-        *[F.sum(F.when(F.col("op") == o, mass).otherwise(0.0)).alias(o) for o in ops])
+        *[F.sum(F.when(F.col("op") == o, mass).otherwise(0.0)).alias(o) for o in GENERIC_OPS])
+    subs = scaled.where("op = 'SUB'").groupBy(*by, "source", F.col("alternative").alias("target")).agg(F.sum(mass).alias("m"))
+    return smoothed_prior(per_source, subs, inventory, alpha, min_tokens, min_groups, by)
+
+
+def leave_out_prior(conf: DataFrame, contexts: DataFrame, group: str = "grp", inventory: Sequence[str] = PHONES, alpha: float = 20.0,
+                    effective: float = 1000.0, min_tokens: int = 20, min_groups: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``group_equal_prior`` of many training sets at once, each given by the groups it leaves out, as total minus own.
+
+    ``contexts`` (ctx, ``group``) lists left-out groups; a null group states a context that leaves nothing out. One aggregate makes masses
+    per group, their total is shared by all contexts, and only left-out groups are joined per context,
+    so the work is one total plus contexts x groups left out, not contexts x groups. Tables carry ``ctx``.
+    """
+    ops = list(GENERIC_OPS)
+    size = conf.groupBy(group).agg(F.sum("n").alias("_n"))
+    unit = conf.join(size, group).withColumn("_u", F.col("n") * effective / F.col("_n"))
+    own = unit.groupBy(group, "source").agg(
+        F.sum("n").alias("raw_count"), F.lit(1).cast("long").alias("n_groups"), *[F.sum(F.when(F.col("op") == o, F.col("_u")).otherwise(0.0)).alias(o) for o in ops])
+    own_subs = unit.where("op = 'SUB'").groupBy(group, "source", F.col("alternative").alias("target")).agg(F.sum("_u").alias("m"))
+
+    def remaining(per_group: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+        """Totals of every context: those of all groups and, negative, those of the groups left out."""
+        total = per_group.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+        every = contexts.select("ctx").distinct().crossJoin(total)
+        left = contexts.join(per_group, group).select("ctx", *keys, *[(-F.col(v)).alias(v) for v in values])
+        return every.unionByName(left).groupBy("ctx", *keys).agg(*[F.sum(v).alias(v) for v in values])
+
+    count = remaining(size.select(group, F.lit("all").alias("_k"), F.lit(1).alias("_g")), ["_k"], ["_g"]).select("ctx", "_g")
+    clear = lambda v: F.when(F.abs(v) < 1e-9, 0.0).otherwise(v) / F.col("_g")  # noqa: E731  (what is left of a difference of equal sums)
+    per_source = remaining(own, ["source"], ["raw_count", "n_groups", *ops]).where("n_groups > 0").join(count, "ctx").select(
+        "ctx", "source", "raw_count", "n_groups", *[clear(F.col(o)).alias(o) for o in ops])
+    subs = remaining(own_subs, ["source", "target"], ["m"]).join(count, "ctx").select("ctx", "source", "target", clear(F.col("m")).alias("m")).where("m > 0")
+    return smoothed_prior(per_source, subs, inventory, alpha, min_tokens, min_groups, ["ctx"])
+
+
+def smoothed_prior(per_source: DataFrame, subs: DataFrame, inventory: Sequence[str], alpha: float, min_tokens: int, min_groups: int,
+                   by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Operation and substitution tables from masses: ``per_source`` (source, raw_count, n_groups, a column per operation) and
+    ``subs`` (source, target, m)."""
+    by, ops = list(by), list(GENERIC_OPS)
     overall = per_source.groupBy(*by).agg(*[(F.sum(o) + alpha * GENERIC_OPS[o]).alias(f"g_{o}") for o in ops])
-    contexts = overall.crossJoin(symbols_table(conf, inventory, "source"))
+    contexts = overall.crossJoin(symbols_table(per_source, inventory, "source"))
     table = contexts.join(per_source, [*by, "source"], "left").withColumns({
         "raw_count": F.coalesce("raw_count", F.lit(0)), "n_groups": F.coalesce("n_groups", F.lit(0)),
         **{o: F.coalesce(o, F.lit(0.0)) + alpha * GENERIC_OPS[o] for o in ops}})
@@ -99,9 +137,8 @@ def group_equal_prior(conf: DataFrame, group: str = "grp", inventory: Sequence[s
         F.struct(F.lit(o).alias("op"), (F.col(f"w_{o}") / total).alias("p")) for o in ops])).alias("_o"))
     op_table = flat.select(*by, "source", "_o.op", "_o.p", "raw_count", "n_groups", "fallback")
 
-    subs = scaled.where("op = 'SUB'").groupBy(*by, "source", F.col("alternative").alias("target")).agg(F.sum(mass).alias("m"))
     everywhere = subs.groupBy(*by, "target").agg(F.sum("m").alias("gm"))
-    domain = table.select(*by, "source", "fallback").crossJoin(symbols_table(conf, inventory, "target")).where("source <> target")
+    domain = table.select(*by, "source", "fallback").crossJoin(symbols_table(per_source, inventory, "target")).where("source <> target")
     dense = domain.join(subs, [*by, "source", "target"], "left").join(everywhere, [*by, "target"], "left")
     w = F.coalesce(F.when(F.col("fallback"), F.col("gm")).otherwise(F.col("m")), F.lit(0.0)) + alpha / (len(inventory) - 1)
     dense = dense.withColumn("w", w)
