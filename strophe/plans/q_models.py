@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from strophe.functions.inventory import PHONES
+from strophe.operators import calibration as ca
 from strophe.operators import detection as det
 from strophe.operators import linking as lk
 from strophe.operators import models as mo
@@ -17,7 +18,7 @@ from strophe.plans import foldrun as fr
 from strophe.plans.q_detection import CURVE
 from strophe.plans.q_priors import EVIDENCE_SQL, evidence
 from strophe.plans.registry import query, rounded
-from strophe.plans.tables import METHODS, PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
+from strophe.plans.tables import PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
 from strophe.session import shared_dir
 
 LABELLED = "quality IS NULL AND diagnostic AND stable_error"
@@ -74,15 +75,27 @@ def boosted_fit(spark, sf_dir):
     return scored_.select("key", "grp", "gold_error", F.round("score", 6).alias("score"))
 
 
-@query("platt_fit")
+PLATT_SQL = f"""WITH RECURSIVE {SCORED_SQL},
+v AS (SELECT method, score, gold_error, grp, unnest(['ridge', 'weighted', 'standardized']) AS variant FROM scored),
+gw AS (SELECT method, grp, sum(count(*)) OVER m / count(*) OVER m / count(*)::DOUBLE AS w FROM scored GROUP BY method, grp WINDOW m AS (PARTITION BY method)),
+st AS (SELECT method, avg(score) m, stddev_pop(score) s, count(*) c FROM scored GROUP BY method),
+cell AS (SELECT v.method, variant, (score - m) / s AS z, sum(CASE WHEN variant = 'ridge' THEN 1 ELSE w END) n, sum(CASE WHEN variant = 'ridge' THEN 1 ELSE w END * gold_error) pos,
+  any_value(CASE variant WHEN 'ridge' THEN 2e-4::DOUBLE * c / s ** 2 WHEN 'weighted' THEN 1 / s ** 2 ELSE 1 END) pen FROM v JOIN gw USING (method, grp) JOIN st USING (method) GROUP BY ALL),
+it(step, method, variant, a, b) AS (
+  SELECT 0, method, variant, ln((sum(pos) / sum(n)) / (1 - sum(pos) / sum(n))), 0.0::DOUBLE FROM cell GROUP BY method, variant
+  UNION ALL SELECT step + 1, method, variant, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT step, method, variant, a, b, sum(n * p - pos) ga, sum((n * p - pos) * z) + max(pen) * b gb, sum(n * p * (1 - p)) haa, sum(n * p * (1 - p) * z) hab, sum(n * p * (1 - p) * z * z) + max(pen) hbb
+    FROM (SELECT it.*, z, n, pos, pen, 1 / (1 + exp(-(a + b * z))) p FROM it JOIN cell USING (method, variant) WHERE step < 25) GROUP BY step, method, variant, a, b)),
+o AS (SELECT * FROM it JOIN st USING (method) WHERE step = 25)
+SELECT method, variant, round(CASE WHEN variant = 'ridge' AND b < 0 THEN 0 ELSE b / s END, 8) + 0.0 AS slope,
+  round(CASE WHEN variant = 'ridge' AND b < 0 THEN (SELECT a FROM it i WHERE i.step = 0 AND i.method = o.method AND i.variant = o.variant) ELSE a - b * m / s END, 8) + 0.0 AS intercept FROM o"""
+
+
+@query("platt_fit", PLATT_SQL)
 def platt_fit(spark, sf_dir):
     """All three calibration variants per scoring method."""
-    rows = []
-    for method in METHODS:
-        s = scored(spark, sf_dir).where(F.col("method") == method).select("grp", "score", "gold_error").persist()
-        rows += [(method, v, *mo.platt_fit(s, "score", "gold_error", v, "grp").values()) for v in ("ridge", "weighted", "standardized")]
-        s.unpersist()
-    return rounded(spark.createDataFrame(rows, "method string, variant string, slope double, intercept double"), "slope", "intercept")
+    out = ca.platt_many(scored(spark, sf_dir).select("method", "grp", "score", "gold_error"), ["method"], "score", "gold_error", ca.VARIANTS, "grp")
+    return out.select("method", "variant", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in ("slope", "intercept")])
 
 
 @query("apply_calibration", f"""WITH {SCORED_SQL}, c AS (SELECT method, key, cand_event, cand_conf, cand_margin, 1 / (1 + exp(-(0.05::DOUBLE * score - 3))) AS q FROM scored),
