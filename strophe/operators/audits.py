@@ -102,8 +102,8 @@ def gap_length_counts(gaps: DataFrame, by: Sequence[str], cap: int = 2) -> DataF
         F.sum(F.when(counted, F.greatest(n - cap, F.lit(0))).otherwise(0)).alias("over_cap_extra"))
 
 
-def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Row count and order-independent content digest.
+def table_fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Row count and order-independent content digest, of the whole table or of every part ``by`` some columns.
 
     Row digests are combined with sums and xors, which merge map-side; no list of rows is
     ever gathered. Duplicated rows change the sum and the count.
@@ -112,12 +112,12 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     digest = F.md5(row)
     high = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     low = F.conv(F.substring(digest, 16, 15), 16, 10).cast("long")
-    out = df.select(high.alias("h"), low.alias("l")).agg(
+    out = df.select(*by, high.alias("h"), low.alias("l")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.col("h").cast("decimal(38,0)")).alias("sh"), F.bit_xor("h").alias("xh"),
         F.sum(F.col("l").cast("decimal(38,0)")).alias("sl"), F.bit_xor("l").alias("xl"))
     parts = [F.col(c).cast("string") for c in ("n_rows", "sh", "xh", "sl", "xl")]
-    return out.select("n_rows", F.md5(F.concat_ws("|", *parts)).alias("fingerprint"))
+    return out.select(*by, "n_rows", F.md5(F.concat_ws("|", *parts)).alias("fingerprint"))
 
 
 def group_summary(positions: DataFrame, by: Sequence[str], order: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """Gradient-boosted trees grown best leaf first over histograms, many models by the same passes.
 
 Cues are cut into fixed cells; every view of the rows (see ``manyfit``) gets bins of about equal count, made once from cell counts by leaving its
-groups out. A pass sums gradient, curvature and rows per (fit, node, feature, bin); windows over those
-sums find the best split of every node, and only splits reach the driver. A pass looks one level ahead in all leaves, so a
-tree takes about as many passes as it is deep. Symbols are features of their own (this symbol or not).
+groups out. A pass sums gradient, curvature and rows per (fit, node, feature, bin); the driver finds best splits in those sums, whose
+number does not grow with the rows. A pass looks one level ahead in all leaves, so a tree takes about as many passes as it is deep. Symbols are features of their own (this symbol or not).
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.operators.manyfit import SHARED, GroupSums
@@ -21,6 +20,8 @@ from strophe.session import stored
 
 #: Cells a unit of a cue, and cells on either side of zero; values beyond fall into the last ones.
 CELLS, REACH = 128, 1 << 13
+#: Bins of a cue at most, and histograms that may reach the driver unsummed in one pass.
+SIZE, DIRECT = 256, 1500
 
 
 @dataclass(frozen=True)
@@ -159,36 +160,34 @@ class _Grower:
         return Tree([(n, self.best[n][1], self.best[n][2], *self.children[n]) for n in split], {n: value(n) for n in leaves})
 
 
-def best_splits(sums: DataFrame, fits: Sequence[Boost], cues: int) -> DataFrame:
-    """Best split (gain, feature, bin, G, H, left G, left H) of every (fit, node) from sums per (fit, node, feature, bin).
+def best_split(found: np.ndarray, cues: int, l2: float, min_rows: int) -> tuple | None:
+    """(gain, feature, bin, G, H, left G, left H) of one node from its (cues * 256 + symbols, 3) sums of gradient, curvature and rows.
 
-    Bins of a cue are cut between any two, a symbol is cut off. Both sides keep ``min_rows`` rows.
+    Bins of a cue are cut between any two, a symbol is cut off; both sides keep ``min_rows`` rows. Ties go to the lower feature and bin.
     """
-    rules = sums.sparkSession.createDataFrame([(i, float(f.l2), f.min_rows) for i, f in enumerate(fits)], "fit int, l2 double, least int")
-    part = Window.partitionBy("fit", "node", "feature")
-    upto = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = {v: F.sum(v).over(part) for v in "ghn"}
-    is_cue = F.col("feature") < cues
-    d = sums.select("*", *[F.when(is_cue, F.sum(v).over(upto)).alias(f"l{v}") for v in "ghn"], *[total[v].alias(f"t{v}") for v in "ghn"])
-    # totals of a node: those of its first cue, as every row has a bin in it
-    node = Window.partitionBy("fit", "node")
-    d = d.select("*", *[F.max(F.when(F.col("feature") == 0, F.col(f"t{v}"))).over(node).alias(f"a{v}") for v in "ghn"]).join(F.broadcast(rules), "fit")
-    left = {v: F.when(is_cue, F.col(f"l{v}")).otherwise(F.col(f"a{v}") - F.col(v)) for v in "ghn"}
-    d = d.select("fit", "node", "feature", "bin", "l2", "least", "ag", "ah", "an", *[left[v].alias(f"l{v}") for v in "ghn"])
-    score = lambda g, h: g * g / (h + F.col("l2"))
-    gain = score(F.col("lg"), F.col("lh")) + score(F.col("ag") - F.col("lg"), F.col("ah") - F.col("lh")) - score(F.col("ag"), F.col("ah"))
-    allowed = (F.col("ln") >= F.col("least")) & (F.col("an") - F.col("ln") >= F.col("least")) & (F.col("lh") >= 1e-3) & (F.col("ah") - F.col("lh") >= 1e-3)
-    d = d.withColumn("gain", gain).where(allowed & (gain > 1e-12))
-    return d.groupBy("fit", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "ag", "ah", "lg", "lh")).alias("best"))
-
-
-def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, jobs: Sequence[tuple]) -> DataFrame:
-    """(fit, node, feature, bin, g, h, n): a task returns its non-empty bins. ``jobs``: model so far, first tree not yet in
-    the stored scores, weight by group, splits to follow, wanted nodes."""
+    by_cue, by_symbol = found[:cues * SIZE].reshape(cues, SIZE, 3), found[cues * SIZE:]
+    total = by_symbol.sum(axis=0)
+    left = np.concatenate([np.cumsum(by_cue, axis=1).reshape(-1, 3), total - by_symbol])
+    right = total - left
+    ok = (left[:, 2] >= min_rows) & (right[:, 2] >= min_rows) & (left[:, 1] >= 1e-3) & (right[:, 1] >= 1e-3)
+    score = lambda v: v[..., 0] ** 2 / (v[..., 1] + l2)
+    gain = np.where(ok, score(left) + score(right) - score(total), 0.0)
+    # equal cuts differ by rounding only
+    at = int(np.argmax(gain >= gain.max() - 1e-10 * abs(gain.max())))
+    if gain[at] <= 1e-12:
+        return None
+    feature, cut = (at // SIZE, at % SIZE) if at < cues * SIZE else (cues + at - cues * SIZE, 0)
+    return float(gain[at]), feature, cut, float(total[0]), float(total[1]), float(left[at, 0]), float(left[at, 1])
+
+
+def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, jobs: Sequence[tuple], tasks: int) -> dict[tuple[int, int], np.ndarray]:
+    """(fit, node) -> sums of gradient, curvature and rows per bin. A task returns its non-empty bins; with many tasks they are summed
+    by a shuffle first, so the driver sees fits x nodes x bins at most ``DIRECT`` times over. ``jobs``: model so far, first tree not
+    yet in the stored scores, weight by group, splits to follow, wanted nodes."""
     k = len(cues)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 256
+        size = SIZE
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -220,8 +219,19 @@ def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, jobs: Sequen
                  *(pa.array(found[used, j]) for j in range(3))], ["fit", "node", "feature", "bin", "g", "h", "n"])
 
     parts = rows.select("ctx", "g", "s", "y", *cues, "known").mapInArrow(run, "fit int, node int, feature int, bin int, g double, h double, n double")
-    # tasks have summed already; one exchange by node serves the sums and both windows
-    return parts.repartition("fit", "node").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    if tasks * sum(len(j[4]) for j in jobs) > DIRECT:
+        parts = parts.groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    t = parts.toArrow()
+    col = {c: t.column(c).to_numpy() for c in t.column_names}
+    at = np.where(col["feature"] < k, col["feature"] * SIZE + col["bin"], k * SIZE + col["feature"] - k)
+    out = {(i, target): np.zeros((k * SIZE + symbols, 3)) for i, j in enumerate(jobs) for target in j[4]}
+    order = np.lexsort((col["node"], col["fit"]))
+    which = col["fit"][order].astype(np.int64) * (1 << 32) + col["node"][order]
+    keys, starts = np.unique(which, return_index=True)
+    for code, rows_ in zip(keys.tolist(), np.split(order, starts[1:])):
+        for j, v in enumerate("ghn"):
+            out[code >> 32, code & 0xFFFFFFFF][:, j] += np.bincount(at[rows_], weights=col[v][rows_], minlength=k * SIZE + symbols)
+    return out
 
 
 def _with_scores(rows: DataFrame, cues: Sequence[str], models: Sequence[Boosted], start: int) -> DataFrame:
@@ -242,7 +252,7 @@ def _with_scores(rows: DataFrame, cues: Sequence[str], models: Sequence[Boosted]
     return stored(rows.select(*cols, *(["known"] if start else [])).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", known array<double>"), "boosting")
 
 
-def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sums: GroupSums, symbols: int, refresh: int = 20) -> list[Boosted]:
+def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sums: GroupSums, symbols: int, refresh: int = 8) -> list[Boosted]:
     """Boosted logistic trees for all fits at once: ``rounds`` trees of at most ``leaves`` leaves each, grown best gain first, leaf values
     shrunk by ``l2`` and ``rate``, groups weighted equally. Scores by earlier trees are stored every ``refresh`` rounds.
 
@@ -259,6 +269,7 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
         models.append(Boosted(f, float(np.log(rate / (1 - rate))), binned(counts, f.view, len(cues)), []))
         weights.append(w)
     table, at = _with_scores(rows, cues, models, 0), 0
+    tasks = table.rdd.getNumPartitions()
     for t in range(max((f.rounds for f in fits), default=0)):
         if t - at == refresh:
             table, at = _with_scores(table, cues, models, at), t
@@ -269,9 +280,9 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
         while any(g.wanted for g in growers):
             jobs = [(m, at, w, g.look_ahead(), g.wanted) for m, w, g in zip(models, weights, growers)]
             found: dict[int, dict[int, tuple]] = {i: {} for i in range(len(fits))}
-            for r in best_splits(_histograms(table, cues, symbols, jobs), fits, len(cues)).collect():
-                b = r["best"]
-                found[r["fit"]][r["node"]] = (b["gain"], -b["feature"], -b["bin"], b["ag"], b["ah"], b["lg"], b["lh"])
+            for (i, node), sums_ in _histograms(table, cues, symbols, jobs, tasks).items():
+                if split := best_split(sums_, len(cues), fits[i].l2, fits[i].min_rows):
+                    found[i][node] = split
             for i, g in enumerate(growers):
                 if g.wanted:
                     g.learn(found[i])

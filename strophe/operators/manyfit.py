@@ -98,7 +98,11 @@ def _design(batch: pa.RecordBatch, cues: int) -> tuple[np.ndarray, ...]:
     return ctx[order], g[order], s[order], y[order].astype(np.float64), z[order]
 
 
-def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> dict[tuple[int, int], np.ndarray]:
+#: Fits x symbols x tasks that may reach the driver unsummed in one pass; beyond, sums are shuffled first.
+DIRECT = 100_000
+
+
+def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int, np.ndarray, np.ndarray]], tasks: int) -> dict[tuple[int, int], np.ndarray]:
     """(fit, symbol) -> gradient, curvature and loss of all rows, for fits given as (context, weight by group, table by symbol)."""
     k = len(cues) + 1
     up = np.triu_indices(k)
@@ -132,8 +136,14 @@ def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int,
 
     cols = [f"v{j}" for j in range(width)]
     parts = rows.select("ctx", "g", "s", "y", *cues).mapInArrow(run, "fit int, symbol int, " + ", ".join(f"{c} double" for c in cols))
-    found = parts.groupBy("fit", "symbol").agg(*[F.sum(c).alias(c) for c in cols]).collect()
-    return {(r["fit"], r["symbol"]): np.array(r[2:], dtype=float) for r in found}
+    if tasks * len(fits) * len(fits[0][2]) > DIRECT:
+        parts = parts.groupBy("fit", "symbol").agg(*[F.sum(c).alias(c) for c in cols])
+    t = parts.toArrow()
+    values = np.column_stack([t.column(c).to_numpy() for c in cols])
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for i, symbol, row in zip(t.column("fit").to_pylist(), t.column("symbol").to_pylist(), values):
+        out[i, symbol] = out[i, symbol] + row if (i, symbol) in out else row
+    return out
 
 
 class _Newton:
@@ -192,12 +202,12 @@ def fit_logistic(rows: DataFrame, cues: Sequence[str], fits: Sequence[Fit], sums
 
     A fit that sees no rows stays at zero; one label only drives the constant until the passes end.
     """
-    states = [_Newton(f, sums, symbols, len(cues)) for f in fits]
+    states, tasks = [_Newton(f, sums, symbols, len(cues)) for f in fits], rows.rdd.getNumPartitions()
     for _ in range(max_passes):
         open_ = [s for s in states if not s.done]
         if not open_:
             break
-        found = newton_sums(rows, cues, [(s.fit.ctx, s.weight, s.table()) for s in open_])
+        found = newton_sums(rows, cues, [(s.fit.ctx, s.weight, s.table()) for s in open_], tasks)
         per: dict[int, dict[int, np.ndarray]] = {i: {} for i in range(len(open_))}
         for (i, symbol), row in found.items():
             per[i][symbol] = row

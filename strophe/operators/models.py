@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Matrices
@@ -140,21 +140,6 @@ def logistic_fit(train: DataFrame, features: str, label: str, weight: str, c: fl
                               standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
 
 
-def boosted_fit(train: DataFrame, features: str, label: str, weight: str, iterations: int = 60, leaves: int = 8):
-    """Gradient-boosted trees; the leaf limit becomes a depth limit."""
-    return GBTClassifier(featuresCol=features, labelCol=label, weightCol=weight, maxIter=iterations,
-                         maxDepth=max(1, int(math.log2(leaves))), stepSize=0.05, minInstancesPerNode=40, seed=20260905).fit(train)
-
-
-def margin(model, df: DataFrame, out: str = "score") -> DataFrame:
-    """Decision value (log odds) of a fitted binary model."""
-    raw = vector_to_array(F.col(model.getRawPredictionCol()))
-    scale = 2.0 if model.__class__.__name__.startswith("GBT") else 1.0
-    scored = model.transform(df)
-    return scored.withColumn(out, scale * F.get(raw, F.lit(1))).drop(
-        model.getRawPredictionCol(), model.getProbabilityCol(), model.getPredictionCol())
-
-
 def platt_fit(dev: DataFrame, score: str, label: str, variant: str = "ridge", group: str | None = None) -> dict[str, float]:
     """Slope and intercept of the score-to-probability map.
 

@@ -88,6 +88,14 @@ def group_equal_prior(conf: DataFrame, group: str = "grp", inventory: Sequence[s
     return smoothed_prior(per_source, subs, inventory, alpha, min_tokens, min_groups, by)
 
 
+def left_over(per_group: DataFrame, contexts: DataFrame, group: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(ctx, keys, values): totals of every context, as those of all groups minus those of the groups it leaves out."""
+    total = per_group.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    every = contexts.select("ctx").distinct().crossJoin(total)
+    left = contexts.join(per_group, group).select("ctx", *keys, *[(-F.col(v)).alias(v) for v in values])
+    return every.unionByName(left).groupBy("ctx", *keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
 def leave_out_prior(conf: DataFrame, contexts: DataFrame, group: str = "grp", inventory: Sequence[str] = PHONES, alpha: float = 20.0,
                     effective: float = 1000.0, min_tokens: int = 20, min_groups: int = 2) -> tuple[DataFrame, DataFrame]:
     """``group_equal_prior`` of many training sets at once, each given by the groups it leaves out, as total minus own.
@@ -103,18 +111,11 @@ def leave_out_prior(conf: DataFrame, contexts: DataFrame, group: str = "grp", in
         F.sum("n").alias("raw_count"), F.lit(1).cast("long").alias("n_groups"), *[F.sum(F.when(F.col("op") == o, F.col("_u")).otherwise(0.0)).alias(o) for o in ops])
     own_subs = unit.where("op = 'SUB'").groupBy(group, "source", F.col("alternative").alias("target")).agg(F.sum("_u").alias("m"))
 
-    def remaining(per_group: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-        """Totals of every context: those of all groups and, negative, those of the groups left out."""
-        total = per_group.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        every = contexts.select("ctx").distinct().crossJoin(total)
-        left = contexts.join(per_group, group).select("ctx", *keys, *[(-F.col(v)).alias(v) for v in values])
-        return every.unionByName(left).groupBy("ctx", *keys).agg(*[F.sum(v).alias(v) for v in values])
-
-    count = remaining(size.select(group, F.lit("all").alias("_k"), F.lit(1).alias("_g")), ["_k"], ["_g"]).select("ctx", "_g")
+    count = left_over(size.select(group, F.lit("all").alias("_k"), F.lit(1).alias("_g")), contexts, group, ["_k"], ["_g"]).select("ctx", "_g")
     clear = lambda v: F.when(F.abs(v) < 1e-9, 0.0).otherwise(v) / F.col("_g")  # noqa: E731  (what is left of a difference of equal sums)
-    per_source = remaining(own, ["source"], ["raw_count", "n_groups", *ops]).where("n_groups > 0").join(count, "ctx").select(
+    per_source = left_over(own, contexts, group, ["source"], ["raw_count", "n_groups", *ops]).where("n_groups > 0").join(count, "ctx").select(
         "ctx", "source", "raw_count", "n_groups", *[clear(F.col(o)).alias(o) for o in ops])
-    subs = remaining(own_subs, ["source", "target"], ["m"]).join(count, "ctx").select("ctx", "source", "target", clear(F.col("m")).alias("m")).where("m > 0")
+    subs = left_over(own_subs, contexts, group, ["source", "target"], ["m"]).join(count, "ctx").select("ctx", "source", "target", clear(F.col("m")).alias("m")).where("m > 0")
     return smoothed_prior(per_source, subs, inventory, alpha, min_tokens, min_groups, ["ctx"])
 
 
@@ -289,6 +290,14 @@ def identity_reliability(conf: DataFrame, group: str, inventory: Sequence[str] =
     return dense.withColumn("reliability", F.col("n") / (F.col("n") + 10.0) * F.least(F.lit(1.0), F.col("n_groups") / 2.0))
 
 
+def leave_out_reliability(conf: DataFrame, contexts: DataFrame, group: str = "grp", inventory: Sequence[str] = PHONES) -> DataFrame:
+    """``identity_reliability`` of many training sets at once, as total minus own; ``contexts`` as for ``leave_out_prior``."""
+    own = conf.where("op = 'SUB'").groupBy(group, "source").agg(F.sum("n").alias("n"), F.lit(1).cast("long").alias("n_groups"))
+    subs = left_over(own, contexts, group, ["source"], ["n", "n_groups"])
+    dense = contexts.select("ctx").distinct().crossJoin(symbols_table(conf, inventory, "source")).join(subs, ["ctx", "source"], "left").na.fill(0, ["n", "n_groups"])
+    return dense.withColumn("reliability", F.col("n") / (F.col("n") + 10.0) * F.least(F.lit(1.0), F.col("n_groups") / 2.0))
+
+
 def prior_edges(op_table: DataFrame, sub_table: DataFrame, conf: DataFrame) -> DataFrame:
     """Every edge with operation, conditional and joint probability, raw count and fallback flag."""
     raw = conf.groupBy("source", "op", "alternative").agg(F.sum("n").alias("raw_train_count"))
@@ -360,7 +369,8 @@ def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFr
     the learned distribution.
     """
     n = len(PHONES)
-    j = evidence.join(priors, list(on)).join(reliability.select("source", "reliability"), "source")
+    keys = [c for c in on if c in reliability.columns]
+    j = evidence.join(priors, list(on)).join(reliability.select(*keys, "reliability"), keys)
     j = j.withColumns({"_open": _where_open(lambda m, i: m), "_prod": _where_open(lambda m, i: m * F.get("sub_p", i))})
     j = j.withColumns({"_m": _total("_open"), "_mq": _total("_prod"), "_left": 1.0 - _over_accepted("sub_p"), "_u": 1.0 / (n - F.size("accepted"))})
     r = F.col("reliability")

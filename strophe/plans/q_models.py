@@ -16,10 +16,10 @@ from strophe.operators import selection as se
 
 from strophe.plans import foldrun as fr
 from strophe.plans.q_detection import CURVE
-from strophe.plans.q_priors import EVIDENCE_SQL, evidence
+from strophe.plans.q_priors import EVIDENCE_SQL, conf, evidence
 from strophe.plans.registry import query, rounded
 from strophe.plans.tables import PTOK_SQL, SCORED_SQL, TOKENS_SQL, scored, table, tokens
-from strophe.session import shared_dir
+from strophe.session import shared_dir, stored
 
 LABELLED = "quality IS NULL AND diagnostic AND stable_error"
 
@@ -61,18 +61,24 @@ def _split(spark, sf_dir):
     return d.where("grp < 'g08'").persist(), d.where("grp >= 'g08'")
 
 
+def _held_out(spark, sf_dir, candidate):
+    """Scores of the groups from g08 on by one candidate fitted on the others."""
+    data = cues(spark, sf_dir).where(LABELLED).withColumn("g", F.substring("grp", 2, 2).cast("int"))
+    rows = stored(data.select(F.lit(0).alias("ctx"), "g", fr.symbol_code(F.col("source")).alias("s"), F.col("gold_error").cast("int").alias("y"), *fr.CUES, "key", "grp"), "fit-rows")
+    linear, trees = fr.fit_all(rows, [("fit|one", 0, frozenset(range(8, 12)))], [candidate], 12)
+    test = rows.where("g >= 8").withColumn("name", F.lit("fit|one"))
+    out = fr.scored_by(test, linear, trees).join(test.select("key", "grp", F.col("y").alias("gold_error")), "key")
+    return out.select("key", "grp", "gold_error", F.round("score", 6).alias("score"))
+
+
 @query("logistic_fit")
 def logistic_fit(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    scored_ = fr.fit_predictor(train, {"family": "logistic", "C": 1.0})(test)
-    return scored_.select("key", "grp", "gold_error", F.round("score", 6).alias("score"))
+    return _held_out(spark, sf_dir, {"family": "logistic", "C": 1.0})
 
 
 @query("boosted_fit")
 def boosted_fit(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    scored_ = fr.fit_predictor(train, {"family": "histogram", "iterations": 60, "leaves": 8})(test)
-    return scored_.select("key", "grp", "gold_error", F.round("score", 6).alias("score"))
+    return _held_out(spark, sf_dir, {"family": "histogram", "iterations": 60, "leaves": 8})
 
 
 PLATT_SQL = f"""WITH RECURSIVE {SCORED_SQL},
@@ -159,50 +165,44 @@ def pairwise_rank_fit(spark, sf_dir):
     return test.select("key", "grp", "gold_error", F.round(mo.linear_score(coef, intercept, fr.CUES), 5).alias("score"))
 
 
-def _groups(data):
-    return sorted(r[0] for r in data.select("grp").distinct().collect())
-
-
-def _by_site(spark, sf_dir):
-    """Case recordings grouped into four sites (two groups each); sites are the units left out."""
-    site = F.concat(F.lit("site"), (F.substring("grp", 2, 2).cast("int") % 4).cast("string"))
-    return cues(spark, sf_dir).where("cohort = 'case'").withColumn("grp", site).persist()
+def _folds(data):
+    return fr.cyclic([tuple(r) for r in data.select("cohort", "grp").distinct().collect()])
 
 
 @query("oof_predictions")
 def oof_predictions(spark, sf_dir):
-    data = _by_site(spark, sf_dir).where(LABELLED)
-    out = fr.oof_scores(data, _groups(data), {"family": "logistic", "C": 1.0})
-    return out.withColumn("score", F.round("score", 5))
+    """Out-of-fold scores of the inner candidates over all groups, each row under the chosen candidate."""
+    data = cues(spark, sf_dir).where(LABELLED)
+    groups = [r[0] for r in data.select("grp").distinct().collect()]
+    out, chosen = fr.oof_scores(data, conf(spark, sf_dir), groups)
+    return out.where(F.col("candidate") == chosen["candidate"]).withColumn("score", F.round("score", 5))
+
+
+@query("fold_pipeline")
+def fold_pipeline(spark, sf_dir):
+    """Every group of both cohorts is tested once, under every strategy."""
+    data = cues(spark, sf_dir)
+    out, _ = fr.run_folds(data, conf(spark, sf_dir), _folds(data))
+    return out.withColumns({"score": F.round("score", 5), "p_error": F.round("p_error", 5)})
 
 
 @query("fold_run")
 def fold_run(spark, sf_dir):
-    """Every site is tested once; the next one (cyclic) is the development site."""
-    data = _by_site(spark, sf_dir)
-    groups = _groups(data)
-
-    def one(i: int):
-        test, dev = groups[i], groups[(i + 1) % len(groups)]
-        return fr.run_fold(data, [g for g in groups if g not in (test, dev)], dev, test)[0]
-
-    out = fr.union_all(fr.in_parallel(spark, one, range(len(groups))))
-    return out.withColumns({"score": F.round("score", 5), "p_error": F.round("p_error", 5)})
+    """What every fold and strategy chose among the logistic candidates, with its calibration."""
+    data = cues(spark, sf_dir)
+    _, chosen = fr.run_folds(data, conf(spark, sf_dir), _folds(data), fr.CANDIDATES[:4])
+    return chosen.select("cohort", "fold", "strategy", "candidate", "threshold", *[F.round(c, 5).alias(c) for c in ("dev_ap", "slope", "intercept", "f1")])
 
 
 @query("freeze_then_evaluate")
 def freeze_then_evaluate(spark, sf_dir):
-    """Predictions are frozen first; only then gold joins and metrics are computed."""
+    """Predictions of all folds and strategies are frozen first; only then gold joins and metrics are computed."""
     path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
-    cols = ["fold", "key", "event", "idx", "grp", "source", "score", "p_error", "predicted", "status"]
-    data = _by_site(spark, sf_dir)
-    groups = _groups(data)
-    part, _ = fr.run_fold(data, groups[2:], groups[1], groups[0], fr.CANDIDATES[1:])
-    fr.freeze(part, path, cols)
-    frozen = fr.load_frozen(spark, path, cols)
+    data = cues(spark, sf_dir)
+    out, _ = fr.run_folds(data, conf(spark, sf_dir), _folds(data), fr.CANDIDATES[:4])
+    fr.freeze(out, path, out.columns, fr.PARTS)
+    frozen = fr.load_frozen(spark, path, out.columns, fr.PARTS)
     # Gold comes from the label table, not from the frozen predictions.
-    gold = lk.join_gold(frozen.withColumn("method", F.lit("detector")), evidence(spark, sf_dir), ["event", "idx"])
-    return det.token_metrics(gold, ["method", "fold"], label="gold_error").select(
-        "method", "fold", "n", "n_error", *[F.round(c, 5).alias(c) for c in ("ap", "auroc", "brier", "f1")])
-
-
+    gold = lk.join_gold(frozen.withColumnRenamed("cohort", "part"), evidence(spark, sf_dir).where(LABELLED), ["event", "idx"])
+    return det.token_metrics(gold, ["strategy", "part", "fold"], label="gold_error").select(
+        "strategy", F.col("part").alias("cohort"), "fold", "n", "n_error", *[F.round(c, 5).alias(c) for c in ("ap", "auroc", "brier", "f1")])

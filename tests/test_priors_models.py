@@ -178,18 +178,19 @@ def test_gmm_density_query_takes_whole_vectors(spark, sf_dir, monkeypatch):
     assert out.where("density IS NOT NULL AND NOT isnan(density)").count() == full.count()
 
 
-def test_boosted_fit_query_runs_all_iterations(spark, sf_dir, monkeypatch):
+def test_boosted_fit_query_grows_all_trees(spark, sf_dir, monkeypatch):
     import __spark_entry__ as entry
+    from strophe.operators import boosting as bo
 
-    seen, real = [], mo.boosted_fit
+    seen, real = [], bo.boosted_fit
 
-    def noted(*a):
-        seen.append(real(*a))
-        return seen[-1]
+    def noted(*a, **k):
+        seen.extend(real(*a, **k))
+        return seen
 
-    monkeypatch.setattr(mo, "boosted_fit", noted)
+    monkeypatch.setattr(bo, "boosted_fit", noted)
     assert entry.queries()["boosted_fit"](spark, sf_dir).count() > 0
-    assert [m.getNumTrees for m in seen] == [60]
+    assert [len(m.trees) for m in seen] == [60] and max(len(t.values) for t in seen[0].trees) == 8
 
 
 def test_gmm_density_of_two_clusters(spark):
