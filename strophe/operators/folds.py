@@ -67,13 +67,16 @@ def round_robin_sample(df: DataFrame, group: str, key: str, cap: int) -> DataFra
     return turns.orderBy("turn", group).limit(cap)
 
 
-def stratified_median_pick(df: DataFrame, group: str, key: str, length: str, bins: dict[str, tuple[int, int]]) -> DataFrame:
-    """Median item (by length, then key) per group and length bin, plus one more per bin over all groups."""
+def stratified_median_pick(df: DataFrame, group: str, key: str, length: str, bins: dict[str, tuple[int, int | None]], outside: str = "outside") -> DataFrame:
+    """Median item (by length, then key) per group and length bin, plus one more per bin over all groups.
+
+    A bin without an upper end is open. Lengths in no bin, null ones (as 0) included, form the stratum ``outside`` and are reported like the others.
+    """
     label = None
     for name, (lo, hi) in bins.items():
-        hit = F.col(length).between(lo, hi)
+        hit = F.col(length) >= lo if hi is None else F.col(length).between(lo, hi)
         label = F.when(hit, name) if label is None else label.when(hit, name)
-    rows = df.select(group, key, length, label.alias("stratum")).where("stratum IS NOT NULL")
+    rows = df.select(group, key, F.coalesce(F.col(length), F.lit(0)).alias(length)).withColumn("stratum", label.otherwise(outside))
     middle = F.floor(F.col("tot_n") / 2) + 1
     own = ranks(rows, [group, "stratum"], length, key, descending=False).where(F.col("rank") == middle).drop("rank", "tot_n")
     rest = rows.join(own.select(key), key, "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.vectors import NEG, let, log_add, logsumexp
+from strophe.operators.edits import edit_scores
 
 
 def frame_matrix(frames: DataFrame, event: str, frame: str, vector: str) -> DataFrame:
@@ -144,38 +145,15 @@ def greedy_symbols(matrix: Column) -> Column:
     return let(F.transform(matrix, best), collapse)
 
 
-def counterfactual_sequences(targets: DataFrame, event: str, labels: str, symbols: Sequence[int]) -> DataFrame:
-    """Long table of the reference and every one-position substitution and deletion.
-
-    ``position`` is null for the reference itself; ``candidate`` -1 is the deletion.
-    """
-    lab = F.col(labels)
-    pos = targets.select(event, labels, F.explode(F.sequence(F.lit(0), F.size(lab) - 1)).alias("position"))
-    ids = F.array(*[F.lit(int(s)) for s in [*symbols, -1]])
-    pos = pos.select("*", F.explode(ids).alias("candidate")).where(F.col("candidate") != F.get(F.col(labels), F.col("position")))
-    head = F.slice(F.col(labels), F.lit(1), F.col("position"))
-    rest = F.slice(F.col(labels), F.col("position") + 2, F.size(labels))
-    mid = F.when(F.col("candidate") == -1, F.array().cast("array<int>")).otherwise(F.array("candidate"))
-    cand = pos.select(event, "position", "candidate", F.concat(head, mid, rest).alias("sequence"))
-    base = targets.select(event, F.lit(None).cast("int").alias("position"), F.lit(None).cast("int").alias("candidate"),
-                          F.col(labels).alias("sequence"))
-    return base.unionByName(cand)
-
-
 def counterfactual_scores(matrices: DataFrame, targets: DataFrame, event: str, labels: str, symbols: Sequence[int],
                           partitions: int | None = None) -> DataFrame:
-    """(event, position, candidate, sequence, log_score) for every counterfactual sequence.
+    """(event, position, candidate, log_score) of the reference (position null) and every one-position substitution and deletion (-1).
 
-    Equal sequences of an event (a deletion inside a run, say) are scored once. The rows
-    are spread by (event, sequence) before the recursion, so long events do not pile up.
+    All edits of an event share one forward and one backward table (see ``edits``).
     """
-    seqs = counterfactual_sequences(targets, event, labels, symbols)
-    todo = seqs.select(event, "sequence").distinct()
-    if partitions:
-        todo = todo.repartition(partitions, event, "sequence")
-    scored = todo.join(matrices.select(event, "matrix"), event).select(
-        event, "sequence", forward_log_likelihood(F.col("matrix"), F.col("sequence")).alias("log_score"))
-    return seqs.join(scored, [event, "sequence"])
+    single = targets.withColumn("_accepted", F.transform(labels, lambda s: F.array(s)))
+    out = edit_scores(matrices, single, event, "_accepted", symbols, partitions)
+    return out.withColumn("candidate", F.when(F.col("position").isNotNull(), F.col("candidate")))
 
 
 def max_alternative(cands: DataFrame, row: Sequence[str], canonical: str, score: str, allowed: DataFrame | None = None,
@@ -196,14 +174,12 @@ def logsumexp_by(df: DataFrame, by: Sequence[str], value: str, out: str = "lse")
 
 
 def segmentation_free(scores: DataFrame, event: str) -> DataFrame:
-    """Canonical minus logsumexp over the distinct {other symbol at i, i deleted} sequences.
+    """Canonical minus logsumexp over the {other symbol at i, i deleted} sequences, which are distinct at one position.
 
     The scores are read once: a position holds at most one inventory of sequences, and the
     canonical value reaches the positions of its event through a window.
     """
-    seqs = F.collect_set(F.when(F.col("log_score").isNotNull(), F.struct("sequence", "log_score")))
-    per = scores.groupBy(event, "position").agg(seqs.alias("_s"))
-    per = per.withColumn("_lse", logsumexp(F.transform("_s", lambda x: x["log_score"])))
+    per = scores.groupBy(event, "position").agg(logsumexp(F.collect_list("log_score")).alias("_lse"))
     canonical = F.max(F.when(F.col("position").isNull(), F.col("_lse"))).over(Window.partitionBy(event))
     per = per.withColumn("canonical", canonical).where("position IS NOT NULL")
     return per.select(event, "position", "canonical", (F.col("canonical") - F.col("_lse")).alias("gop"))
@@ -282,35 +258,16 @@ def forced_score(states: DataFrame, frame_logp: DataFrame, targets: DataFrame, e
                       (F.col("score") - F.col("_c.v")).alias("margin"))
 
 
-def variant_marginal(matrices: DataFrame, positions: DataFrame, event: str, symbols: Sequence[int]) -> DataFrame:
+def variant_marginal(matrices: DataFrame, positions: DataFrame, event: str, symbols: Sequence[int], partitions: int | None = None) -> DataFrame:
     """Score against the uniform mixture of all accepted pronunciations.
 
-    ``positions`` is one row per event with ``accepted`` (array of arrays). Every perturbation
-    keeps the other positions free over their accepted symbols; equal sequences count once.
+    ``positions`` is one row per event with ``accepted`` (array of arrays). Every perturbation keeps the other positions
+    free over their accepted symbols. The mixture is summed inside the recursion, over parallel arcs, so
+    work is linear in the positions however many pronunciations there are.
     """
-    empty = F.array(F.array().cast("array<int>"))
-
-    def product(choices: Column) -> Column:
-        return F.aggregate(choices, empty, lambda acc, c: F.flatten(F.transform(acc, lambda p: F.transform(c, lambda s: F.concat(p, F.array(s))))))
-
-    acc = F.col("accepted")
-    base = positions.select(event, F.lit(-1).alias("position"), F.lit(-2).alias("candidate"), product(acc).alias("seqs"))
-    ids = F.array(*[F.lit(int(s)) for s in [*symbols, -1]])
-    pert = positions.select(event, "accepted", F.posexplode("accepted").alias("position", "own")).select("*", F.explode(ids).alias("candidate"))
-    pert = pert.where(~F.array_contains("own", F.col("candidate")))
-    repl = F.when(F.col("candidate") == -1, F.array().cast("array<array<int>>")).otherwise(F.array(F.array("candidate")))
-    choices = F.concat(F.slice(acc, F.lit(1), F.col("position")), repl, F.slice(acc, F.col("position") + 2, F.size(acc)))
-    pert = pert.select(event, "position", "candidate", F.array_distinct(product(choices)).alias("seqs"))
-    rows = base.unionByName(pert).select(event, "position", "candidate", F.explode("seqs").alias("sequence"))
-    todo = rows.select(event, "sequence").distinct().join(matrices.select(event, "matrix"), event)
-    scored = todo.select(event, "sequence", forward_log_likelihood(F.col("matrix"), F.col("sequence")).alias("ll"))
-    per = rows.join(scored, [event, "sequence"]).groupBy(event, "position", "candidate").agg(
-        F.collect_list("ll").alias("_ll"), F.count(F.lit(1)).alias("_n"))
-    per = per.where(F.size("_ll") > 0).withColumn("score", logsumexp(F.col("_ll")) - F.log(F.col("_n").cast("double")))
-    normal = F.max(F.when(F.col("candidate") == -2, F.col("score"))).over(Window.partitionBy(event))
-    best = per.withColumn("normal", normal).where("candidate <> -2").groupBy(event, "position").agg(
+    per = edit_scores(matrices, positions, event, "accepted", symbols, partitions).where("log_score IS NOT NULL")
+    normal = F.max(F.when(F.col("position").isNull(), F.col("log_score"))).over(Window.partitionBy(event))
+    best = per.withColumn("normal", normal).where("position IS NOT NULL").groupBy(event, "position").agg(
         F.max("normal").alias("normal"),
-        F.max(F.struct(F.col("score").alias("v"), (F.col("candidate") != -1).alias("_kept"), (-F.col("candidate")).alias("c"))).alias("_b"))
-    cand = -F.col("_b.c")
-    return best.select(event, "position", (F.col("normal") - F.col("_b.v")).alias("gop"),
-                                           cand.alias("candidate"))
+        F.max(F.struct(F.col("log_score").alias("v"), (F.col("candidate") != -1).alias("_kept"), (-F.col("candidate")).alias("c"))).alias("_b"))
+    return best.select(event, "position", (F.col("normal") - F.col("_b.v")).alias("gop"), (-F.col("_b.c")).alias("candidate"))

@@ -145,7 +145,7 @@ RES_CURVE = CURVE.replace("FROM scored", "FROM res_scored")
 
 
 @query("residual_mix", f"""WITH {TOKENS_SQL}, b AS (SELECT grp, gold_error, ((key * 37 + k * 11) % 97 + gold_error * 30) / 10.0::DOUBLE g, ((key * 53 + k * 7) % 97 + gold_error * 18) / 10.0::DOUBLE i, (k % 10) / 5.0::DOUBLE d FROM tokens),
-res_scored AS (SELECT w1 || '|' || w2 AS method, grp, gold_error, g + w1 * d + w2 * (i - g) AS score FROM b, (VALUES (0.0::DOUBLE), (0.5), (1.0)) x(w1), (VALUES (0.0::DOUBLE), (0.5), (1.0)) y(w2)),
+res_scored AS (SELECT w1 || '|' || w2 AS method, grp, gold_error, g + w1 * d + w2 * (i - g) AS score FROM b, (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) x(w1), (VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0)) y(w2)),
 {RES_CURVE}, m AS (SELECT CAST(split_part(method, '|', 1) AS DOUBLE) w1, CAST(split_part(method, '|', 2) AS DOUBLE) w2, avg(ap) ap FROM rank_metrics GROUP BY method)
 SELECT w1, w2, round(ap, 8) macro_ap FROM m ORDER BY -round(ap, 12), w1 + w2, w1, w2 LIMIT 1""")
 def residual_mix(spark, sf_dir):
@@ -153,7 +153,7 @@ def residual_mix(spark, sf_dir):
     t = tokens(spark, sf_dir)
     t = t.select("grp", "gold_error", (((F.col("key") * 37 + F.col("k") * 11) % 97 + F.col("gold_error") * 30) / 10.0).alias("g"),
                  (((F.col("key") * 53 + F.col("k") * 7) % 97 + F.col("gold_error") * 18) / 10.0).alias("i"), (F.col("k") % 10 / 5.0).alias("d"))
-    grid = mo.residual_grid(t, "g", "i", "d", "grp", "gold_error", (0.0, 0.5, 1.0)).withColumn("total", F.col("w1") + F.col("w2"))
+    grid = mo.residual_grid(t, "g", "i", "d", "grp", "gold_error").withColumn("total", F.col("w1") + F.col("w2"))
     return rounded(se.grid_select(grid, [], "macro_ap", ["total", "w1", "w2"]).select("w1", "w2", "macro_ap"), "macro_ap")
 
 
