@@ -229,3 +229,37 @@ def linear_table(spark: SparkSession, models: Sequence[Linear]) -> DataFrame:
 def linear_score(cues: Sequence[str]) -> Column:
     """Decision value from the columns of ``linear_table``."""
     return sum((F.col(f"b{i + 1}") * F.col(c) for i, c in enumerate(cues)), F.col("b0"))
+
+
+def newton_fit(rows: DataFrame, columns: Sequence[str], label: str, weight: str, penalty: Sequence[float], steps: int = 60) -> np.ndarray:
+    """Coefficients of one logistic model of few columns: sum of weighted losses + sum(penalty * coefficient^2) / 2.
+
+    Each Newton step is one aggregate of gradient, second moments and loss; a step that makes the loss worse is halved. No column may be null.
+    """
+    k, pen = len(columns), np.array(penalty, dtype=float)
+    x, y, w = [F.col(c) for c in columns], F.col(label), F.col(weight)
+    up = [(i, j) for i in range(k) for j in range(i, k)]
+    beta, move, before = np.zeros(k), np.zeros(k), np.inf
+    for _ in range(steps):
+        t = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
+        # one projection for the linear predictor, one aggregate for all sums
+        d = rows.withColumn("_t", t).withColumn("_p", 1 / (1 + F.exp(-F.col("_t"))))
+        r, h = w * (F.col("_p") - y), w * F.col("_p") * (1 - F.col("_p"))
+        loss = w * (F.greatest("_t", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_t"))) - y * F.col("_t"))
+        found = d.agg(F.sum(loss), *[F.sum(r * c) for c in x], *[F.sum(h * x[i] * x[j]) for i, j in up]).first()
+        if found[0] is None:
+            break
+        now = float(found[0]) + 0.5 * float((pen * beta ** 2).sum())
+        if now > before + 1e-12 * (1 + abs(before)):
+            move = move / 2
+            beta = beta + move
+            continue
+        before = now
+        grad, hess = np.array(found[1:k + 1], dtype=float) + pen * beta, np.zeros((k, k))
+        for (i, j), v in zip(up, found[k + 1:]):
+            hess[i, j] = hess[j, i] = v
+        move = np.linalg.solve(hess + np.diag(pen + 1e-12), grad)
+        beta = beta - move
+        if float(grad @ move) < 1e-15 * (1 + abs(now)):
+            break
+    return beta

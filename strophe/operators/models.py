@@ -1,5 +1,4 @@
-"""Detectors, calibrators and fusion on Spark ML. Driver loops run over folds and candidates
-only; every fit reads its rows on the cluster."""
+"""Features, event types, densities and fusion. Every fit reads its rows on the cluster."""
 
 from __future__ import annotations
 
@@ -9,10 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +18,8 @@ from strophe.functions.vectors import dot, let, logsumexp
 from strophe.operators.audits import exact_quantiles
 from strophe.operators.detection import ranking_metrics
 from strophe.operators.folds import group_weights
+from strophe.operators.manyfit import newton_fit
+from strophe.session import stored
 
 
 # --- features ----------------------------------------------------------------------------------
@@ -133,39 +131,6 @@ def phone_design(df: DataFrame, symbol: str, numeric: Sequence[str], interaction
 
 # --- fits --------------------------------------------------------------------------------------
 
-def logistic_fit(train: DataFrame, features: str, label: str, weight: str, c: float, max_iter: int = 1000):
-    """Weighted L2 logistic regression with inverse regularisation ``c`` (penalty 1/(c * sum of weights))."""
-    total = train.agg(F.sum(weight)).first()[0]
-    return LogisticRegression(featuresCol=features, labelCol=label, weightCol=weight, regParam=1.0 / (c * total),
-                              standardization=False, maxIter=max_iter, tol=1e-6).fit(train)
-
-
-def platt_fit(dev: DataFrame, score: str, label: str, variant: str = "ridge", group: str | None = None) -> dict[str, float]:
-    """Slope and intercept of the score-to-probability map.
-
-    ``ridge``: slope >= 0 with penalty 1e-4 * slope^2. ``weighted``: C = 1, groups equal.
-    ``standardized``: as weighted, on standardised scores, mapped back to the raw scale.
-    """
-    work = dev.select(F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"), *([group] if group else []))
-    centre, scale = 0.0, 1.0
-    if variant == "standardized":
-        centre, scale = work.agg(F.avg("_s"), F.stddev_pop("_s")).first()
-        scale = scale or 1.0
-    if variant != "ridge" and group:
-        work = group_weights(work, group, out="_w")
-    else:
-        work = work.withColumn("_w", F.lit(1.0))
-    work = work.withColumn("_x", array_to_vector(F.array((F.col("_s") - centre) / scale)))
-    if variant == "ridge":
-        lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=2e-4, standardization=False, tol=1e-9,
-                                lowerBoundsOnCoefficients=Matrices.dense(1, 1, [0.0]))
-        fit = lr.fit(work)
-    else:
-        fit = logistic_fit(work, "_x", "_y", "_w", 1.0)
-    slope = float(fit.coefficients[0])
-    return {"slope": slope / scale, "intercept": float(fit.intercept) - slope * centre / scale}
-
-
 def apply_calibration(df: DataFrame, score: str, slope: float | Column, intercept: float | Column, threshold: float | Column,
                       gate: float | None = None, margin_floor: float = 0.1) -> DataFrame:
     """p_error, decision, authorisation of a specific statement, and status text."""
@@ -179,20 +144,24 @@ def apply_calibration(df: DataFrame, score: str, slope: float | Column, intercep
     return out.withColumn("status", F.when(F.col("authorized"), F.col("cand_event")).when(F.col("predicted"), "suspected_error").otherwise("acceptable"))
 
 
-def event_type_fit(train: DataFrame, numeric: Sequence[str], group: str):
-    """Substitution-versus-deletion model on the stable errors; returns (apply function, rows used)."""
+def event_type_fit(train: DataFrame, numeric: Sequence[str], group: str, c: float = 0.1):
+    """Substitution-versus-deletion model on the stable errors, groups equal: (apply function, coefficients as rows).
+
+    Coefficients are (term, value) on unscaled cues, the constant first. No errors: all zero, so every probability is one half.
+    """
     errors = train.where(F.col("stable_event") & (F.col("gold_error") == 1)).withColumn("_y", (F.col("gold_event") == "substitution").cast("double"))
-    scaler = fit_scaler(errors, numeric)
-    asm = VectorAssembler(inputCols=[f"_z_{c}" for c in numeric], outputCol="_x")
-    zs = {f"_z_{c}": (F.col(c) - m) / d for c, (m, d) in scaler.items()}
-    scaled = lambda d: asm.transform(d.withColumns(zs))
-    model = logistic_fit(group_weights(scaled(errors), group), "_x", "_y", "weight", 0.1)
+    scaler = fit_scaler(errors, numeric) if errors.limit(1).count() else {n: (0.0, 1.0) for n in numeric}
+    rows = group_weights(errors.select(group, "_y", *[((F.col(n) - m) / d).alias(n) for n, (m, d) in scaler.items()]), group).withColumn("_one", F.lit(1.0))
+    rows = stored(rows, "event-types")  # read by every step
+    beta = newton_fit(rows, ["_one", *numeric], "_y", "weight", [0.0] + [1 / c] * len(numeric))
+    slopes = {n: float(b) / scaler[n][1] for n, b in zip(numeric, beta[1:])}
+    constant = float(beta[0]) - sum(slopes[n] * scaler[n][0] for n in numeric)
+    table = train.sparkSession.createDataFrame([("constant", constant), *slopes.items()], "term string, value double")
 
     def apply(df: DataFrame) -> DataFrame:
-        out = model.transform(scaled(df)).withColumn("p_sub", F.get(vector_to_array(F.col("probability")), F.lit(1)))
-        return out.drop("_x", "rawPrediction", "probability", "prediction", *[f"_z_{c}" for c in numeric])
+        return df.withColumn("p_sub", sigmoid(linear_score(list(slopes.values()), constant, numeric)))
 
-    return apply
+    return apply, table
 
 
 def mixture_fit(x: np.ndarray, components: int, seed: int = 0, max_iter: int = 100, tol: float = 1e-3, ridge: float = 1e-5):
@@ -288,24 +257,19 @@ def residual_grid(df: DataFrame, graph: str, isolated: str, delta: str, group: s
 def pairwise_rank_fit(points: DataFrame, pairs: DataFrame, cols: Sequence[str], group: str, label: str, ridge: float):
     """Group-equal logistic loss plus half the pairwise logistic loss plus ridge, in one fit.
 
-    Point rows and difference rows (label 1) are stacked. The intercept belongs to point rows
-    only: it is a constant feature of 1000 (0 on difference rows), so its penalty vanishes.
-    ``pairs`` holds ``positive, negative`` keys and a ``weight``.
+    Point rows and difference rows (label 1) are stacked; the constant belongs to point rows only and has no penalty.
+    Newton steps need one aggregate of second moments each. ``pairs`` holds ``positive, negative`` keys and a ``weight``.
     """
     total = points.count()
-    pts = group_weights(points, group, out="_w").withColumn("_w", F.col("_w") / total)
-    point_rows = pts.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in cols], F.lit(1000.0))).alias("features"),
-                            F.col(label).cast("double").alias("label"), F.col("_w").alias("weight"))
-    side = lambda k, t: points.select(F.col("key").alias(k), F.array(*[F.col(c).cast("double") for c in cols]).alias(t))
-    d = pairs.join(side("positive", "_a"), "positive").join(side("negative", "_b"), "negative")
-    diff = F.concat(F.zip_with("_a", "_b", lambda x, y: x - y), F.array(F.lit(0.0)))
-    pair_rows = d.select(array_to_vector(diff).alias("features"), F.lit(1.0).alias("label"), (0.5 * F.col("weight")).alias("weight"))
-    rows = point_rows.unionByName(pair_rows).persist()
-    weight = rows.agg(F.sum("weight")).first()[0]
-    fit = LogisticRegression(weightCol="weight", regParam=ridge / weight, standardization=False, fitIntercept=False, tol=1e-9).fit(rows)
-    rows.unpersist()
-    coef = [float(v) for v in fit.coefficients]
-    return coef[:-1], coef[-1] * 1000.0
+    names = [f"_f{i}" for i in range(len(cols))]
+    pts = group_weights(points, group, out="_w")
+    point_rows = pts.select(*[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)], F.lit(1.0).alias("_one"), F.col(label).cast("double").alias("_y"), (F.col("_w") / total).alias("_w"))
+    side = lambda k, t: points.select(F.col("key").alias(k), *[F.col(c).cast("double").alias(f"{t}{n}") for c, n in zip(cols, names)])
+    d = pairs.join(side("positive", "a"), "positive").join(side("negative", "b"), "negative")
+    pair_rows = d.select(*[(F.col(f"a{n}") - F.col(f"b{n}")).alias(n) for n in names], F.lit(0.0).alias("_one"), F.lit(1.0).alias("_y"), (0.5 * F.col("weight")).alias("_w"))
+    rows = stored(point_rows.unionByName(pair_rows), "rank-rows")
+    beta = newton_fit(rows, [*names, "_one"], "_y", "_w", [ridge] * len(cols) + [0.0])
+    return [float(v) for v in beta[:-1]], float(beta[-1])
 
 
 def linear_score(coefficients: Sequence[float], intercept: float, cols: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, canonical
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW_FITS = {"boosted_fit", "gmm_density", "oof_predictions", "pairwise_rank_fit", "logistic_fit", "event_type_model", "fold_pipeline"}
+SLOW_FITS = {"boosted_fit", "gmm_density", "oof_predictions", "logistic_fit", "fold_pipeline"}
 
 
 @pytest.fixture(scope="module")
