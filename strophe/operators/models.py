@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.inventory import PHONES
@@ -197,42 +197,53 @@ def mixture_fit(x: np.ndarray, components: int, seed: int = 0, max_iter: int = 1
     return size / n, means, covs
 
 
+#: Vectors that one task scores at a time, in expectation.
+BLOCK = 20_000
+
+
 def gmm_density(train: DataFrame, test: DataFrame, symbol: str, vector: str, key: str, symbols: Sequence, components: int = 32,
                 cap: int = 512, seed: int = 0) -> DataFrame:
-    """Log density of each vector under the mixture of its own symbol.
+    """(key, symbol, density): log density of each vector under the mixture of its own symbol.
 
     Per symbol at most ``cap`` training vectors, drawn by hash, are used for the fit (that is the
     sampling rule, not a limit on what is scored), so that a task fits a symbol. A symbol of fewer vectors than
-    ``components`` has one component for each. Only mixture parameters reach the driver.
+    ``components`` has one component for each. Fitted parts are a table, one row per component with the lower triangle of its inverse root;
+    vectors of a symbol are dealt into blocks of about ``BLOCK`` and meet the parts of their symbol there, so a common symbol is many tasks and
+    nothing is broadcast. Symbols without a mixture give no rows.
     """
-    from pyspark.sql import Window
-
     draw = hash_long(F.col(symbol).cast("string"), F.col(key).cast("string"))
     w = Window.partitionBy(symbol).orderBy(draw, key)
     sample = train.where(F.col(symbol).isin(list(symbols))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).select(symbol, "_r", vector)
+    kinds = dict(test.dtypes)
 
     def fit(rows):
         rows = rows.sort_values("_r")
         weights, means, covs = mixture_fit(np.stack(rows[vector].to_numpy()).astype(float), components, seed)
-        return pd.DataFrame([(rows[symbol].iloc[0], float(z), m.tolist(), c.ravel().tolist()) for z, m, c in zip(weights, means, covs, strict=True)],
-                            columns=[symbol, "w", "mu", "cov"])
-
-    fitted = sample.groupBy(symbol).applyInPandas(fit, f"{symbol} {dict(train.dtypes)[symbol]}, w double, mu array<double>, cov array<double>")
-    rows = []
-    for s, weight, mu, cov in fitted.toLocalIterator():
-        cov = np.reshape(cov, (len(mu), len(mu)))
-        _, logdet = np.linalg.slogdet(cov)
-        const = math.log(max(weight, 1e-300)) - 0.5 * (len(mu) * math.log(2 * math.pi) + logdet)
-        rows.append((s, float(const), list(mu), np.linalg.inv(cov).tolist()))
-    kind = dict(train.dtypes)[symbol]
-    params = train.sparkSession.createDataFrame(rows, f"{symbol} {kind}, c double, mu array<double>, prec array<array<double>>")
-    packed = params.groupBy(symbol).agg(F.collect_list(F.struct("c", "mu", "prec")).alias("_g"))
-
-    def one(g: Column) -> Column:
-        return let(F.zip_with(F.col(vector), g["mu"], lambda a, b: a - b),
-                   lambda d: g["c"] - 0.5 * dot(F.transform(g["prec"], lambda r: dot(r, d)), d))
-
-    return test.join(F.broadcast(packed), symbol).withColumn("density", logsumexp(F.transform("_g", one))).drop("_g")
+        out = []
+        for z, m, c in zip(weights, means, covs, strict=True):
+            root = np.linalg.cholesky(c)
+            const = math.log(max(z, 1e-300)) - 0.5 * len(m) * math.log(2 * math.pi) - np.log(np.diag(root)).sum()
+            out.append((rows[symbol].iloc[0], float(const), m.tolist(), np.linalg.inv(root)[np.tril_indices(len(m))].tolist()))
+        return pd.DataFrame(out, columns=[symbol, "c", "mu", "lower"])
+
+    parts = stored(sample.groupBy(symbol).applyInPandas(fit, f"{symbol} {dict(train.dtypes)[symbol]}, c double, mu array<double>, lower array<double>"), "mixtures")
+    blocks = stored(test.groupBy(symbol).agg(F.ceil(F.count(F.lit(1)) / float(BLOCK)).cast("int").alias("_blocks")), "mixture-blocks")
+    dealt = test.join(blocks, symbol).select(symbol, key, vector, F.pmod(F.xxhash64(key, vector), F.col("_blocks")).cast("int").alias("_block"))
+    spread = parts.join(blocks, symbol).select(symbol, "c", "mu", "lower", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+
+    def score(rows, mixture):
+        if rows.empty or mixture.empty:
+            return pd.DataFrame({key: [], symbol: [], "density": []})
+        x, logs = np.stack(rows[vector].to_numpy()).astype(float), []
+        for const, mu, lower in zip(mixture["c"], mixture["mu"], mixture["lower"]):
+            inverse = np.zeros((len(mu), len(mu)))
+            inverse[np.tril_indices(len(mu))] = lower
+            logs.append(const - 0.5 * (((x - np.asarray(mu)) @ inverse.T) ** 2).sum(axis=1))
+        logs = np.stack(logs)
+        top = logs.max(axis=0)
+        return pd.DataFrame({key: rows[key], symbol: rows[symbol], "density": top + np.log(np.exp(logs - top).sum(axis=0))})
+
+    return dealt.groupBy(symbol, "_block").cogroup(spread.groupBy(symbol, "_block")).applyInPandas(score, f"{key} {kinds[key]}, {symbol} {kinds[symbol]}, density double")
 
 
 # --- fusion ------------------------------------------------------------------------------------
