@@ -33,10 +33,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(_item, _at, term, _len): the words of each item with their positions."""
-    w = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").alias("_item"), _words(lower_az(F.col("text"))).alias("_w"))
-    w = w.groupBy("_item").agg(F.max("_w").alias("_w"))
-    return w.select("_item", F.size("_w").alias("_len"), F.posexplode("_w").alias("_at", "term"))
+    """(_item, item_id, _len, _at, term): the words of each item with their positions; an item is an (item_id, text), null ids included."""
+    w = items.select(F.xxhash64("item_id", "text").alias("_item"), "item_id", _words(lower_az(F.col("text"))).alias("_w"))
+    w = w.groupBy("_item").agg(F.first("item_id").alias("item_id"), F.max("_w").alias("_w"))
+    return w.select("_item", "item_id", F.size("_w").alias("_len"), F.posexplode("_w").alias("_at", "term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +66,7 @@ def alignments(index: DataFrame, terms: DataFrame, rows: int, window: int) -> Da
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The index, and (doc_id, _v, _item, _shift, _from, _to): maximal stretches of item words, by
+    """The index, and (doc_id, _v, _item, _shift, _from, _to, item_id): maximal stretches of item words, by
     positions in the item, that stand in a document and hold at least one whole window.
 
     A window is ``window`` consecutive words of an item, or a shorter item as a whole.
@@ -88,7 +88,8 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     rank = F.row_number().over(Window.partitionBy("doc_id", "_v", "_item", "_shift").orderBy("_at"))
     runs = found.withColumn("_run", F.col("_at") - rank).groupBy("doc_id", "_v", "_item", "_shift", "_run").agg(
         F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.min("_len").alias("_len"))
-    return index, runs.where(F.col("_to") - F.col("_from") + 1 >= F.least(F.lit(window), F.col("_len"))).drop("_run", "_len")
+    runs = runs.where(F.col("_to") - F.col("_from") + 1 >= F.least(F.lit(window), F.col("_len"))).drop("_run", "_len")
+    return index, runs.join(_small(words.where("_at = 0").select("_item", "item_id"), n), "_item")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_percent: int = 5) -> DataFrame:
@@ -98,15 +99,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_p
     contaminated means n_hit > 0 and 100 * n_hit >= ``min_percent`` * n_words.
 
     One row per distinct (doc_id, text), null ids included; rows repeated whole come out once.
-    Null and empty texts have no words. Items without words or with a null id match nothing;
-    of items that share an id the one with the largest word list counts. Other columns are ignored.
+    Null and empty texts have no words. Items without words match nothing. Every text of a repeated
+    item id counts, and the id is listed once; items with a null id count for n_hit and are not listed. Other columns are ignored.
     """
     index, runs = phrase_hits(docs, items, window)
     runs = written(runs, "runs")
     lengths = index.where(F.col("_t").isNull()).select("doc_id", "_v", F.col("_pos").alias("_n"))
     words = runs.select("doc_id", "_v", F.explode(F.sequence(F.col("_shift") + F.col("_from"), F.col("_shift") + F.col("_to"))).alias("_pos"))
     marks = words.distinct().groupBy("doc_id", "_v").agg(F.count(F.lit(1)).alias("_hit"))
-    which = runs.groupBy("doc_id", "_v").agg(F.collect_set(F.col("_item").cast("string")).alias("_items"))
+    which = runs.groupBy("doc_id", "_v").agg(F.collect_set(F.col("item_id").cast("string")).alias("_items"))
     none = F.lit(None)
     rows = (lengths.select("doc_id", "_v", "_n", none.cast("long").alias("_hit"), none.cast("array<string>").alias("_items"))
             .unionByName(marks.select("doc_id", "_v", none.cast("int").alias("_n"), "_hit", none.cast("array<string>").alias("_items")))
@@ -123,7 +124,7 @@ def proximity_hits(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
 
     Lists are joined on the document only at places of the rarest word. Nulls and repeats as in ``contamination``.
     """
-    words = written(item_terms(items).select("_item", "term").distinct(), "items")
+    words = written(item_terms(items).select("_item", "item_id", "term").distinct(), "items")
     vocabulary = written(words.groupBy("term").agg(F.min(F.xxhash64("term")).alias("_t")), "terms")
     n = words.count()
     terms = words.join(_small(vocabulary, n), "term")
@@ -141,5 +142,6 @@ def proximity_hits(docs: DataFrame, items: DataFrame, within: int) -> DataFrame:
                        & (wanted["_b"] == lists["_b"])).where(F.abs(F.col("_pos") - F.col("_p")) < within)
     best = near.groupBy("_d", "_dv", "_item", "_p", "_all", "_w").agg(F.min(F.abs(F.col("_pos") - F.col("_p"))).alias("_gap"))
     whole = best.groupBy("_d", "_dv", "_item", "_p", "_all").agg(F.count(F.lit(1)).alias("_k"), F.max("_gap").alias("_span")).where("_k = _all")
-    return whole.groupBy(F.col("_d").alias("doc_id"), "_dv", F.col("_item").alias("item_id")).agg(
+    whole = whole.join(_small(words.select("_item", "item_id").distinct(), n), "_item")
+    return whole.groupBy(F.col("_d").alias("doc_id"), "_dv", "item_id").agg(
         F.min(F.struct("_span", "_p")).alias("_m")).select("doc_id", "item_id", F.col("_m._p").alias("position"), F.col("_m._span").alias("span"))

@@ -50,6 +50,11 @@ def test_contamination(spark, odd, empty):
             want.add((r["doc_id"], a, b, tuple(c), d))
         assert got == want
     assert decontaminate.contamination(empty, bench).count() == 0
+    # texts that share an item id all count, as do items without an id; ids are listed once
+    shared = spark.createDataFrame([(2, short), (2, "q q q"), (2, "q q q"), (None, "alone words here"), (None, None)], "item_id long, text string")
+    some = spark.createDataFrame([(1, "x " + short + " q q q q"), (2, "so alone words here"), (3, "none of it")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(some, shared).collect()}
+    assert got == {1: (8, ["2"], True), 2: (3, [], True), 3: (0, [], False)}
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
@@ -147,7 +152,7 @@ def test_components(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in range(5, 30)) and got[300] == 300
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     big = "<p>" + "x" * 400_000
     pages = [(3, "http://a", "same"), (1, "http://b\n", "same"), (2, None, big), (4, "http://c", None), (5, "http://d", ""), (6, "http://é", "é\r\n\r\nWARC/1.1\r\n"),
              (None, "http://e", "same"), (None, "http://e", "alone"), (1, "http://b\n", "same"), (9, "u", big)]
@@ -171,6 +176,17 @@ def test_warc(spark):
     with where.open_input_file(f"{base}/{row['bundle']}") as f:
         whole = zstandard.ZstdDecompressor().stream_reader(f.read(), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\nWARC-Type") == index.where(f"bundle = '{row['bundle']}'").count()
+    for width in (str(index.select("bundle").distinct().count()), "7"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            assert warc.read_bundles(spark, index, root).rdd.getNumPartitions() == 1
+            many = monkeypatch.setattr(warc, "READ_BYTES", 100) or warc.read_bundles(spark, index, root)
+            total = index.select("bundle", "frame", "frame_bytes").distinct().agg({"frame_bytes": "sum"}).first()[0]
+            assert many.rdd.getNumPartitions() == -(-total // 100) > 3 and many.count() == len(pages)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            monkeypatch.undo()
     small = warc.read_bundles(spark, warc.write_bundles(df, root, min_bytes=5), root)
     assert small.where("page_id = '3'").first()["record_type"] == "response"
     assert warc.read_bundles(spark, warc.write_bundles(df.where("false"), root), root).count() == 0
