@@ -18,6 +18,7 @@ import struct
 import urllib.parse
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from strophe.llm.common import same, written
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 128 << 20
+#: Packed bytes a task reads, about.
+READ_BYTES = 4 << 20
 # Fixed values of the Zstandard frame formats and of WARC 1.1.
 SEEK_MAGIC, SEEK_FOOTER, MAP_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -193,7 +196,7 @@ def write_bundles(pages: DataFrame, root: str, min_bytes: int = 0, frame_bytes:
 
 
 def read_bundles(spark: SparkSession, index: DataFrame, root: str, with_payload: bool = True) -> DataFrame:
-    """All records of the bundles that ``index`` lists, frame by frame. A revisit has a null payload."""
+    """All records that ``index`` lists, frame by frame; frames, not bundles, are dealt to tasks. A revisit has a null payload."""
     keep = [x.split()[0] for x in RECORD_SCHEMA.split(", ") if with_payload or not x.startswith("payload binary")]
     types = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n == "payload_bytes" else pa.string()) for n in keep])
 
@@ -204,13 +207,17 @@ def read_bundles(spark: SparkSession, index: DataFrame, root: str, with_payload:
         where, base = fs.FileSystem.from_uri(root)
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, own in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[0]):
                 with where.open_input_file(f"{base}/{name}") as f:
-                    for start, packed, plain in seek_table(f)[:-1]:
-                        rows = list(parsed(unpack.decompress(f.read_at(packed, start), max_output_size=max(plain, 1))))
+                    plain = {start: size for start, _, size in seek_table(f)}
+                    for _, start, packed in own:
+                        rows = list(parsed(unpack.decompress(f.read_at(packed, start), max_output_size=max(plain[start], 1))))
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.field(n).type) for n in keep], names=keep)
 
-    bundles = index.select("bundle").distinct()
-    many = max(1, min(bundles.count(), 100_000))
+    # a table of its own, so that no earlier shuffle stands in for this one: tasks follow the bytes to read
+    frames = written(index.select("bundle", "frame", "frame_start", "frame_bytes").distinct(), "frames")
+    size = frames.agg(F.sum("frame_bytes")).first()[0] or 0
+    many = max(1, min(-(-size // READ_BYTES), 100_000))
     schema = ", ".join(x for x in RECORD_SCHEMA.split(", ") if x.split()[0] in keep)
-    return bundles.repartition(many, "bundle").mapInArrow(run, schema)
+    dealt = frames.repartition(many, "bundle", "frame").sortWithinPartitions("bundle", "frame_start")
+    return dealt.select("bundle", "frame_start", "frame_bytes").mapInArrow(run, schema)
