@@ -21,7 +21,7 @@ from strophe.llm.common import bounded_batches, written
 from strophe.llm.ftrl import Ftrl, average
 from strophe.llm.quality_views import DIMS, META_DIMS, MetaView, TextView
 
-#: Bounds of the samples, in expectation: labelled rows, rows of the unlabelled pool.
+#: Bounds of the samples, in expectation: labelled rows, rows of the unlabelled pool of a round.
 LABELLED, POOL = 16_000, 8_000
 SHARDS, ROUNDS = 2, 4
 CONFIDENT = 0.97
@@ -64,8 +64,9 @@ def _fields(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), has("source", "string"), has("lang", "string"), has("n_chars", "long"))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """(turn, y, t, m): the samples as vectors; y is null for the pool, whose labels are not looked at."""
+def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, rounds: int) -> DataFrame:
+    """(turn, y, pools, t, m): the samples as vectors. Rows of a pool have a null y, as their labels are not looked at, and list the rounds
+    that use them: every round has a pool of its own, all documents where they are few."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         (F.min("quality") == 1).cast("int").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     y = ((F.col("q") == 1) & (F.col("toxic") == 0)).cast("int")
@@ -74,18 +75,21 @@ def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> Dat
     picked = known.where(draw(21) < labelled / n_labels).select("doc_id", y.alias("y"))
     d = _fields(docs)
     fit = d.join(F.broadcast(picked), "doc_id")  # at most about ``labelled`` rows of two numbers
-    free = d.where(draw(22) < pool / n_docs).join(F.broadcast(picked), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    turned = lambda k: (draw(22) + k / rounds) % 1.0 < pool / n_docs  # noqa: E731  (disjoint while the pools fit in)
+    pools = F.filter(F.array(*[F.when(turned(k), F.lit(k)) for k in range(1, rounds)]), lambda k: k.isNotNull()) if rounds > 1 else F.array().cast("array<int>")
+    free = d.withColumn("pools", pools).where(F.size("pools") > 0).join(F.broadcast(picked), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    fit = fit.withColumn("pools", F.array().cast("array<int>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, meta = TextView(), MetaView()
         for batch in batches:
-            turn, y, texts, *rest = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text(x).tobytes() for x in texts], pa.binary()),
-                                              pa.array([meta(*x).tobytes() for x in zip(*rest, strict=True)], pa.binary())], ["turn", "y", "t", "m"])
+            texts, *rest = (c.to_pylist() for c in batch.columns[3:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([text(x).tobytes() for x in texts], pa.binary()),
+                                              pa.array([meta(*x).tobytes() for x in zip(*rest, strict=True)], pa.binary())], ["turn", "y", "pools", "t", "m"])
 
-    rows = fit.select(d.columns + ["y"]).unionByName(free.select(d.columns + ["y"]))
-    rows = rows.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("turn"), "y", "text", "source", "lang", "n_chars")
-    return written(rows.mapInArrow(run, "turn long, y int, t binary, m binary"), "views")
+    rows = fit.select(d.columns + ["y", "pools"]).unionByName(free.select(d.columns + ["y", "pools"]))
+    rows = rows.select(F.xxhash64(F.lit(23), "doc_id", "text").alias("turn"), "y", "pools", "text", "source", "lang", "n_chars")
+    return written(rows.mapInArrow(run, "turn long, y int, pools array<int>, t binary, m binary"), "views")
 
 
 def _round(rows: DataFrame, states: dict, exchange: bool, shards: int) -> dict:
@@ -121,10 +125,11 @@ def _round(rows: DataFrame, states: dict, exchange: bool, shards: int) -> dict:
 
 def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, shards: int = SHARDS) -> QualityModel:
     """Learns from ``labels`` (doc_id, quality, toxic) of documents. Without labels every document scores 0.5."""
-    rows = sampled(docs, labels, labelled, pool).withColumn("back", F.col("y").isNotNull() & (F.pmod(F.xxhash64("turn"), F.lit(10)) == 0))
+    rows = sampled(docs, labels, labelled, pool, rounds).withColumn("back", F.col("y").isNotNull() & (F.pmod(F.xxhash64("turn"), F.lit(10)) == 0))
     states = None
     for k in range(rounds):
-        states = _round(rows.where(~F.col("back")).drop("back"), states, k > 0, shards)
+        used = rows.where(~F.col("back") & (F.col("y").isNotNull() | F.array_contains("pools", k)))
+        states = _round(used.drop("back", "pools"), states, k > 0, shards)
     weights = {v: Ftrl(n, 1, state=states[v], **SETTINGS).weights()[:, 0] for v, n in VIEWS.items()}
     back = rows.where("back").toPandas()
     y = back["y"].to_numpy(np.float64)
