@@ -31,9 +31,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; documents without an id stay."""
+    """Of each group of near duplicates the smallest doc_id stays; documents without an id stay. Of documents that share an id
+    none goes while one of them is nobody's copy, as the id alone can't tell them apart."""
     classes = part_enum.near_duplicate_classes(docs)
-    gone = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    own = F.max((F.coalesce("component_id", "doc_id") == F.col("doc_id")).cast("int"))
+    gone = written(classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(own.alias("own")).where("own = 0").select("doc_id"), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
