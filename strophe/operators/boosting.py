@@ -196,6 +196,8 @@ def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, jobs: Sequen
             x = np.column_stack([batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(k)])
             known = batch.column(4 + k).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
             for i, (model, first, weight, splits, wanted) in enumerate(jobs):
+                if not wanted:
+                    continue
                 at = np.flatnonzero(((ctx == SHARED) | (ctx == model.fit.ctx)) & (weight[g] > 0))
                 if len(at) == 0:
                     continue

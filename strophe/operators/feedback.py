@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.scalars import count_if
@@ -31,23 +31,62 @@ def review_topk(positions: DataFrame, event: str, word: str, k: int = 3) -> Data
     return words.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# The sentences of the feedback text.
+FLAGGED = ("The model flagged %d of %d assessed target sounds across %d word(s) for review. A flag suggests a place to "
+           "listen again; it does not establish a specific pronunciation error.")
+CLEAR = ("No positions were flagged among %d assessed target sounds. This does not establish that every sound was correct. "
+         "You can replay the full recording and try the practice text again.")
+NOTHING = ("There were no assessed target sounds. No pronunciation judgment is available. "
+           "You can replay the full recording or choose another practice text.")
+COVERAGE = "%d target sound(s) were not assessed."
+UNASSESSED = " Unassessed words: %s."
+FOCUS = " This message focuses on %d of the flagged words."
+ITEM = "Review word %d, %s, paying attention to the target sound(s) %s. Replay the full recording, then try the practice text again if you wish."
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+
+
 def render_summary(events: DataFrame) -> DataFrame:
-    """Fixed sentences from the counts of an event; nothing is invented.
+    """Adds ``intro_id`` and ``text``: fixed sentences from the counts of an event; nothing is invented.
 
-    Needs ``n_assessed, n_review, n_unassessed, review_words``.
+    Needs ``n_assessed, n_review, n_unassessed, review_words``; ``unassessed`` (texts as 'word n "text"') and ``n_items`` (review items shown) are used if present.
     """
-    review = F.format_string(
-        "The model flagged %d of %d assessed target sounds across %d word(s) for review. A flag suggests a place to "
-        "listen again; it does not establish a specific pronunciation error.", "n_review", "n_assessed", "review_words")
-    clear = F.format_string(
-        "No positions were flagged among %d assessed target sounds. This does not establish that every sound was correct. "
-        "You can replay the full recording and try the practice text again.", "n_assessed")
-    nothing = F.lit("There were no assessed target sounds. No pronunciation judgment is available. "
-                    "You can replay the full recording or choose another practice text.")
-    intro = F.when(F.col("n_review") > 0, review).when(F.col("n_assessed") > 0, clear).otherwise(nothing)
+    intro = (F.when(F.col("n_review") > 0, F.format_string(FLAGGED, "n_review", "n_assessed", "review_words"))
+             .when(F.col("n_assessed") > 0, F.format_string(CLEAR, "n_assessed")).otherwise(NOTHING))
     kind = F.when(F.col("n_review") > 0, "review").when(F.col("n_assessed") > 0, "no_flag").otherwise("unassessed")
-    cover = F.format_string("%d target sound(s) were not assessed.", "n_unassessed")
-    return events.withColumns({"intro_id": kind, "text": F.concat_ws(" ", intro, cover)})
+    text = F.concat(intro, F.lit(" "), F.format_string(COVERAGE, "n_unassessed"))
+    if "unassessed" in events.columns:
+        text = F.concat(text, F.when(F.size("unassessed") > 0, F.format_string(UNASSESSED, F.array_join("unassessed", ", "))).otherwise(""))
+    if "n_items" in events.columns:
+        text = F.concat(text, F.when(F.col("review_words") > F.col("n_items"), F.format_string(FOCUS, "n_items")).otherwise(""))
+    return events.withColumns({"intro_id": kind, "text": text})
+
+
+def feedback_text(positions: DataFrame, event: str, word: str, k: int = 3) -> DataFrame:
+    """(event, intro_id, text, n_items): summary, unassessed words, focus sentence and at most ``k`` review items of every recording.
+
+    Positions carry ``idx, target, assessed, flagged, p_error`` and ``text``, the word's text (that of its first position counts). One pass makes a
+    row per word; the words of a recording are few and meet in its row. Null texts are shown as an empty string.
+    """
+    hit = F.col("assessed") & F.col("flagged")
+    targets = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("idx", "target")))), lambda x: x["target"]))
+    words = positions.groupBy(event, word).agg(
+        F.coalesce(F.min_by("text", "idx"), F.lit("")).alias("_text"), F.count(F.lit(1)).alias("_n"), count_if(F.col("assessed")).alias("_a"), count_if(hit).alias("_r"),
+        F.max(F.when(hit, F.col("p_error"))).alias("_p"), targets.alias("_t"))
+    name = quoted(F.col("_text"))
+    sounds = F.array_join(F.transform("_t", lambda t: F.concat(F.lit("/"), t, F.lit("/"))), ", ")
+    number = F.col(word) + 1
+    item = F.when(F.col("_r") > 0, F.struct((-F.col("_p")).alias("p"), F.col(word).alias("w"), F.format_string(ITEM, number, name, sounds).alias("s")))
+    gap = F.when((F.col("_r") == 0) & (F.col("_a") < F.col("_n")), F.struct(F.col(word).alias("w"), F.format_string("word %d %s", number, name).alias("s")))
+    per = words.groupBy(event).agg(
+        F.sum("_a").alias("n_assessed"), F.sum("_r").alias("n_review"), F.sum(F.col("_n") - F.col("_a")).alias("n_unassessed"), count_if(F.col("_r") > 0).alias("review_words"),
+        F.transform(F.array_sort(F.collect_list(gap)), lambda x: x["s"]).alias("unassessed"), F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("_items"))
+    out = render_summary(per.withColumn("n_items", F.size("_items")))
+    shown = F.concat_ws("\n\n", F.array("text"), F.transform("_items", lambda x: x["s"]))
+    return out.select(event, "intro_id", shown.alias("text"), "n_items")
 
 
 def render_count_sentence(df: DataFrame, words: str) -> DataFrame:

@@ -157,16 +157,23 @@ def review_topk(spark, sf_dir):
     return rounded(out.select("event", "word", "p_max", F.concat_ws(",", "targets").alias("targets"), F.col("rank").cast("long").alias("rank")), "p_max")
 
 
-@query("render_text", f"""WITH {POSITIONS_SQL}, {ROLLUP_SQL}, e AS (SELECT event, CAST(sum(n_assessed) AS BIGINT) a, CAST(sum(n_review) AS BIGINT) r, CAST(sum(n_positions - n_assessed) AS BIGINT) u, count(*) FILTER (WHERE n_review > 0) w FROM roll GROUP BY event)
+@query("render_text", f"""WITH {POSITIONS_SQL},
+wd AS (SELECT event, word, arg_min(text, idx) AS wt, count(*) n, count(*) FILTER (WHERE assessed) a, count(*) FILTER (WHERE assessed AND flagged) r, max(p_error) FILTER (WHERE assessed AND flagged) p,
+  list(target ORDER BY idx) FILTER (WHERE assessed AND flagged) t FROM pos GROUP BY ALL),
+wn AS (SELECT *, CAST(to_json(wt) AS VARCHAR) AS q, list_filter(t, lambda x, i: list_position(t, x) = i) AS td FROM wd),
+w AS (SELECT *, array_to_string(list_transform(td, lambda x: '/' || x || '/'), ', ') AS sounds, row_number() OVER (PARTITION BY event, r > 0 ORDER BY p DESC, word) rk FROM wn),
+e AS (SELECT event, CAST(sum(a) AS BIGINT) a, CAST(sum(r) AS BIGINT) r, CAST(sum(n - a) AS BIGINT) u, count(*) FILTER (WHERE r > 0) w,
+  string_agg('word ' || word + 1 || ' ' || q, ', ' ORDER BY word) FILTER (WHERE r = 0 AND a < n) gaps,
+  string_agg('Review word ' || word + 1 || ', ' || q || ', paying attention to the target sound(s) ' || sounds || '. Replay the full recording, then try the practice text again if you wish.', chr(10) || chr(10) ORDER BY rk) FILTER (WHERE r > 0 AND rk <= 3) items
+  FROM w GROUP BY event)
 SELECT event, CASE WHEN r > 0 THEN 'review' WHEN a > 0 THEN 'no_flag' ELSE 'unassessed' END intro_id,
  CASE WHEN r > 0 THEN 'The model flagged ' || r || ' of ' || a || ' assessed target sounds across ' || w || ' word(s) for review. A flag suggests a place to listen again; it does not establish a specific pronunciation error.'
   WHEN a > 0 THEN 'No positions were flagged among ' || a || ' assessed target sounds. This does not establish that every sound was correct. You can replay the full recording and try the practice text again.'
-  ELSE 'There were no assessed target sounds. No pronunciation judgment is available. You can replay the full recording or choose another practice text.' END || ' ' || u || ' target sound(s) were not assessed.' AS text FROM e""")
+  ELSE 'There were no assessed target sounds. No pronunciation judgment is available. You can replay the full recording or choose another practice text.' END || ' ' || u || ' target sound(s) were not assessed.'
+  || CASE WHEN gaps IS NULL THEN '' ELSE ' Unassessed words: ' || gaps || '.' END || CASE WHEN w > 3 THEN ' This message focuses on 3 of the flagged words.' ELSE '' END || CASE WHEN items IS NULL THEN '' ELSE chr(10) || chr(10) || items END AS text,
+ CAST(least(w, 3) AS INT) AS n_items FROM e""")
 def render_text(spark, sf_dir):
-    w = fb.word_rollup(positions_by_word(spark, sf_dir), ["event", "word"])
-    e = w.groupBy("event").agg(F.sum("n_assessed").alias("n_assessed"), F.sum("n_review").alias("n_review"),
-                               F.sum(F.col("n_positions") - F.col("n_assessed")).alias("n_unassessed"), F.count_if(F.col("n_review") > 0).alias("review_words"))
-    return fb.render_summary(e).select("event", "intro_id", "text")
+    return fb.feedback_text(positions_by_word(spark, sf_dir), "event", "word")
 
 
 @query("summary_text_check", f"""WITH {POSITIONS_SQL}, g AS (SELECT event, target, count(*) FILTER (WHERE assessed AND flagged) f, count(*) FILTER (WHERE assessed) a, len(list(text ORDER BY idx) FILTER (WHERE assessed AND flagged)) n,

@@ -47,13 +47,15 @@ def rank_normalize(spark, sf_dir):
 
 
 @query("phone_design", f"""WITH {PTOK_SQL}, {EVIDENCE_SQL.split("pa AS")[0].rstrip().rstrip(",")},
-x AS (SELECT key, unnest([-gop, -viterbi_gop, ln(sub / ok), ln(del / ok)]) AS v FROM ev), y AS (SELECT key, sign(v) * ln(1 + abs(v)) AS v FROM x)
-SELECT key, CAST(199 AS INT) AS width, round(1 + 2 * sum(v), 6) AS total, CAST(1 + 2 * count(*) FILTER (WHERE v <> 0) AS INT) AS non_zero FROM y GROUP BY key""")
+x AS (SELECT key, pid, unnest([-gop, -viterbi_gop, ln(sub / ok), ln(del / ok)]) AS v, unnest([0, 1, 2, 3]) AS i FROM ev), y AS (SELECT key, pid, i, round(sign(v) * ln(1 + abs(v)), 8) + 0.0 AS v FROM x),
+z AS (SELECT key, i AS slot, v AS value FROM y UNION ALL SELECT key, 3 + pid, 1.0::DOUBLE FROM ev UNION ALL SELECT key, 43 + i * 39 + pid - 1, v FROM y)
+SELECT key, CAST(slot AS INT) AS slot, value, CAST(199 AS INT) AS width FROM z WHERE value <> 0""")
 def phone_design(spark, sf_dir):
+    """Every filled slot of the design: four cues, the symbol, and the cues of the symbol."""
     d = mo.phone_design(cues(spark, sf_dir), "source", fr.CUES, interactions=True)
     v = vector_to_array(F.col("features"))
-    return d.select("key", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-                    F.size(F.filter(v, lambda x: x != 0)).alias("non_zero"))
+    flat = d.select("key", F.size(v).alias("width"), F.posexplode(v).alias("slot", "value"))
+    return flat.select("key", "slot", (F.round("value", 8) + F.lit(0.0)).alias("value"), "width").where("value <> 0")
 
 
 def _split(spark, sf_dir):
