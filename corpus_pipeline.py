@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage works on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last returns
-one row of token digests per document that is left.
+one row of token digests per document that is left. In every stage null texts are empty ones, null ids, languages and
+sources are values like others, rows repeated whole share one fate, and columns other than those of ``documents`` are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go. Rows that share an id but not the text are judged each by its own text;
+    without labels every document scores one half and stays."""
     model = cotrain.trained(docs, table(spark, sf_dir, "labels"))
     return cotrain.scored(docs, model, carry=COLUMNS).where("accepted").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; no document goes."""
+    """Lines that many documents share stay in one of them; no document goes. Rows that share an id count as one document
+    for a line; a null id owns no line."""
     out = line_dedup.drop_shared_lines(docs, carry=("lang", "source"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -40,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go, told apart by id and text: a clean text stays whatever shares its id."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = written(found.where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_v").alias("_dv")), "contaminated")
     version = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -48,7 +52,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoded and decoded again by the byte-level BPE."""
+    """Encoded and decoded again by the byte-level BPE; one row of digests per row, null texts have no tokens."""
     return bpe_digests(docs)
 
 
