@@ -94,12 +94,31 @@ def characteristic_polynomial(spark: SparkSession, matrix: list[list[int]]) -> l
     return es.from_residues([moduli[r["id"]] for r in rows], [r["c"] for r in rows])
 
 
-def _projected(x: np.ndarray, model: Whitening) -> tuple[np.ndarray, np.ndarray]:
-    """(n * x - sums) whole, and its whitened components."""
-    top = model.n * int(np.abs(x).max(initial=0)) + max((abs(s) for s in model.sums), default=0)
-    small = top * top * x.shape[1] < 1 << 62
-    centred = x * model.n - np.array(model.sums, dtype=np.int64) if small else x.astype(object) * model.n - np.array(model.sums, dtype=object)
-    return centred, centred.astype(np.float64) @ model.axes
+#: Whole numbers below this are computed in 64 bits.
+SMALL = 1 << 62
+
+
+def _tops(x: np.ndarray, model: Whitening) -> tuple[int, int]:
+    return int(np.abs(x).max(initial=0)), max((abs(v) for v in model.sums), default=0)
+
+
+def _projected(x: np.ndarray, model: Whitening) -> np.ndarray:
+    """Whitened components of whole vectors: n * x - sums is exact before it becomes a double."""
+    top, sums = _tops(x, model)
+    kind = np.int64 if model.n * top + sums < SMALL else object
+    return (x.astype(kind) * model.n - np.array(model.sums, dtype=kind)).astype(np.float64) @ model.axes
+
+
+def _deviations(x: np.ndarray, model: Whitening) -> np.ndarray:
+    """Sum of (n * x - sums)^2 per row, exactly: in 64 bits if all of it fits, else from n^2 x.x - 2 n x.sums + sums.sums, whose
+    parts mostly do, so that only one long number a row is left."""
+    (top, sums), dims = _tops(x, model), x.shape[1]
+    if (model.n * top + sums) ** 2 * dims < SMALL:
+        c = x * model.n - np.array(model.sums, dtype=np.int64)
+        return (c * c).sum(axis=1)
+    y = x if top * max(top, sums) * dims < SMALL else x.astype(object)
+    squares, mixed = (y * y).sum(axis=1), (y * np.array(model.sums, dtype=y.dtype)).sum(axis=1)
+    return squares.astype(object) * (model.n * model.n) - mixed.astype(object) * (2 * model.n) + sum(v * v for v in model.sums)
 
 
 def _identity_error(fit: DataFrame, model: Whitening) -> float:
@@ -108,7 +127,7 @@ def _identity_error(fit: DataFrame, model: Whitening) -> float:
 
     def summed(of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = sum(of(_projected(_matrix(b.column(0), dims), model)[1]) for b in batches)
+            total = sum(of(_projected(_matrix(b.column(0), dims), model)) for b in batches)
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], ["i", "v"])
         rows = fit.select("x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
@@ -157,8 +176,8 @@ def whitened(df: DataFrame, key: str = "vec_id", vector: str = "embedding", coun
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centred, white = _projected(_matrix(batch.column(1), dims), model)
-            squares = (centred * centred).sum(axis=1)
+            x = _matrix(batch.column(1), dims)
+            white, squares = _projected(x, model), _deviations(x, model)
             deviation = pa.array(squares).cast(pa.decimal128(38, 0)) if squares.dtype != object else pa.array([Decimal(int(v)) for v in squares], pa.decimal128(38, 0))
             each = pa.array(np.repeat(np.arange(len(white)), k))
             size = len(white) * k

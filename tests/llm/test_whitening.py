@@ -112,6 +112,15 @@ def test_low_rank_and_empty(spark):
     assert out.count() == 0 and out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
 
 
+def test_deviations_in_any_range():
+    r = random.Random(9)
+    for top, n in ((50, 40), (3000, 10 ** 9), (10 ** 12, 10 ** 6)):
+        x = np.array([[r.randint(-top, top) for _ in range(4)] for _ in range(5)])
+        model = whitening.Whitening(n, [r.randint(-n * top, n * top) for _ in range(4)], np.zeros((4, 1)), [1.0])
+        want = [sum((n * int(v) - s) ** 2 for v, s in zip(row, model.sums)) for row in x]
+        assert [int(v) for v in whitening._deviations(x, model)] == want
+
+
 def test_large_entries(spark):
     """Sums of products beyond a long stay exact."""
     r = random.Random(5)
