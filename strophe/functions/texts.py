@@ -55,7 +55,11 @@ def non_ascii_chars(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[^\x00-\x7f]"), F.lit(0))))
 
 
-def live_text_reason(x: Column, positions: Column, max_chars: int = 500, max_positions: int = 80) -> Column:
+# Limits of an entered text.
+LIVE_CHARS, LIVE_POSITIONS = 500, 80
+
+
+def live_text_reason(x: Column, positions: Column, max_chars: int = LIVE_CHARS, max_positions: int = LIVE_POSITIONS) -> Column:
     """Why an entered text is refused, null when it may be assessed."""
     text = F.trim(F.regexp_replace(F.regexp_replace(x, "^" + SPACES, ""), SPACES + "$", ""))
     foreign = F.regexp_replace(text, r"[\x00-\x7f]", "").rlike(r"[\p{L}\p{N}]")
@@ -151,12 +155,16 @@ def json_value(x: Column) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
+# Fixed value: name of the id scheme, part of every hashed text.
+ID_SCHEME = "local_deterministic_sha256.v1"
+
+
 def stable_id(kind: str, parts: Sequence[Column], namespace: str, length: int = 20) -> Column:
     """Deterministic id: SHA-256 over canonical JSON (sorted keys, no blanks) of the parts."""
     body = F.concat(
         F.lit(f'{{"kind":"{kind}","namespace":"{namespace}","parts":['),
         F.concat_ws(",", *[json_value(p) for p in parts]),
-        F.lit('],"scheme":"local_deterministic_sha256.v1"}\n'),
+        F.lit(f'],"scheme":"{ID_SCHEME}"}}\n'),
     )
     return F.concat(F.lit(kind + "_"), F.substring(F.sha2(body, 256), 1, length))
 
