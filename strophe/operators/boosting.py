@@ -1,6 +1,7 @@
 """Gradient-boosted trees grown best leaf first over histograms, many models by the same passes.
 
-Cues are cut into fixed cells; every view of the rows (see ``manyfit``) gets bins of about equal count, made once from cell counts by leaving its
+Cues are cut into fixed cells and rows of equal context, group, symbol, label and cells are counted once: passes read these counts, not the rows.
+Every view of the rows (see ``manyfit``) gets bins of about equal count, made once from cell counts by leaving its
 groups out. A pass sums gradient, curvature and rows per (fit, node, feature, bin); the driver finds best splits in those sums, whose
 number does not grow with the rows. A pass looks one level ahead in all leaves, so a tree takes about as many passes as it is deep. Symbols are features of their own (this symbol or not).
 """
@@ -66,11 +67,17 @@ def cells(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(x * CELLS), -REACH, REACH - 1).astype(np.int64) + REACH
 
 
-def cell_counts(rows: DataFrame, cues: Sequence[str]) -> list:
-    """(ctx, g, cue, cell, n): bounded by contexts x groups x cells."""
-    cell = lambda c: F.greatest(F.least(F.floor(F.col(c) * CELLS), F.lit(REACH - 1)), F.lit(-REACH)).cast("int") + REACH
-    flat = rows.select("ctx", "g", F.posexplode(F.array(*[cell(c) for c in cues])).alias("cue", "cell"))
-    return flat.groupBy("ctx", "g", "cue", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
+def counted(rows: DataFrame, cues: Sequence[str], seen: Sequence[tuple[int, int]]) -> DataFrame:
+    """(ctx, g, s, y, a cell per cue, n): rows of the (context, group) pairs in ``seen`` by what trees can tell apart."""
+    cell = lambda c: (F.greatest(F.least(F.floor(F.col(c) * CELLS), F.lit(REACH - 1)), F.lit(-REACH)) + REACH).cast("int")
+    mine = rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(seen), "ctx int, g int")), ["ctx", "g"])
+    return mine.groupBy("ctx", "g", "s", "y", *[cell(c).alias(c) for c in cues]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def cell_counts(table: DataFrame, cues: Sequence[str]) -> list:
+    """(ctx, g, cue, cell, n) of counted rows: bounded by contexts x groups x cells."""
+    flat = table.select("ctx", "g", "n", F.posexplode(F.array(*cues)).alias("cue", "cell"))
+    return flat.groupBy("ctx", "g", "cue", "cell").agg(F.sum("n").cast("long").alias("n")).collect()
 
 
 def binned(counts: Sequence, view, cues: int, bins: int = 255) -> np.ndarray:
@@ -90,8 +97,8 @@ def binned(counts: Sequence, view, cues: int, bins: int = 255) -> np.ndarray:
     return table
 
 
-def _bins_of(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.column_stack([table[k][cells(x[:, k])] for k in range(len(table))])
+def _bins_of(cell: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return np.column_stack([table[k][cell[:, k]] for k in range(len(table))])
 
 
 def nodes_of(tree: Sequence[tuple[int, int, int, int, int]], b: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -107,10 +114,10 @@ def nodes_of(tree: Sequence[tuple[int, int, int, int, int]], b: np.ndarray, s: n
     return node
 
 
-def predicted(model: Boosted, b: np.ndarray, s: np.ndarray, first: int = 0) -> np.ndarray:
-    """Sum of the trees from ``first`` on."""
+def predicted(trees: Sequence[Tree], b: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Sum of the trees."""
     total = np.zeros(len(s))
-    for tree in model.trees[first:]:
+    for tree in trees:
         node = nodes_of(tree.splits, b, s)
         value = np.zeros(1 + max([0, *tree.values]))
         for k, v in tree.values.items():
@@ -180,78 +187,106 @@ def best_split(found: np.ndarray, cues: int, l2: float, min_rows: int) -> tuple
     return float(gain[at]), feature, cut, float(total[0]), float(total[1]), float(left[at, 0]), float(left[at, 1])
 
 
-def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, jobs: Sequence[tuple], tasks: int) -> dict[tuple[int, int], np.ndarray]:
+class _Views:
+    """Which fits see a context, and a row's place among them: rows carry one score per fit of their context only."""
+
+    def __init__(self, fits: Sequence[Boost]):
+        self.ctx = [f.ctx for f in fits]
+
+    def of(self, ctx: int) -> list[int]:
+        return [i for i, c in enumerate(self.ctx) if ctx in (SHARED, c)]
+
+
+def _batch(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """ctx, g, s, y, cells and count of a batch of counted rows."""
+    ctx, g, s, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    return ctx, g, s, y, np.column_stack([batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(k)]), batch.column(4 + k).to_numpy(zero_copy_only=False)
+
+
+def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, views: _Views, bins, jobs: Sequence[tuple], tasks: int) -> dict[tuple[int, int], np.ndarray]:
     """(fit, node) -> sums of gradient, curvature and rows per bin. A task returns its non-empty bins; with many tasks they are summed
-    by a shuffle first, so the driver sees fits x nodes x bins at most ``DIRECT`` times over. ``jobs``: model so far, first tree not
-    yet in the stored scores, weight by group, splits to follow, wanted nodes."""
-    k = len(cues)
+    by a shuffle first, so the driver sees fits x nodes x bins at most ``DIRECT`` times over. ``jobs``: trees not yet in the
+    stored scores, weight by group, splits to follow, wanted nodes; ``bins``: broadcast bin tables by fit."""
+    k, width = len(cues), len(cues) * SIZE + symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = SIZE
-        total: dict[tuple[int, int], np.ndarray] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ctx, g, s, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            x = np.column_stack([batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(k)])
-            known = batch.column(4 + k).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
-            for i, (model, first, weight, splits, wanted) in enumerate(jobs):
-                if not wanted:
-                    continue
-                at = np.flatnonzero(((ctx == SHARED) | (ctx == model.fit.ctx)) & (weight[g] > 0))
-                if len(at) == 0:
-                    continue
-                b = _bins_of(x[at], model.bins)
-                score = known[at, i] + predicted(model, b, s[at], first)
-                p, w = 1 / (1 + np.exp(-score)), weight[g[at]]
-                grad, curve = w * (p - y[at]), w * p * (1 - p)
-                node = nodes_of(splits, b, s[at])
-                for target in wanted:
-                    m = np.flatnonzero(node == target) if splits else np.arange(len(at))
-                    found = total.setdefault((i, target), np.zeros((k * size + symbols, 3)))
-                    code = np.concatenate([b[m] + np.arange(k) * size, k * size + s[at][m, None]], axis=1)
-                    for j, v in enumerate((grad[m], curve[m], np.ones(len(m)))):
-                        found[:, j] += np.bincount(code.ravel(), weights=np.repeat(v, k + 1), minlength=len(found))
-        for (i, target), found in total.items():
+            ctx, g, s, y, cell, n = _batch(batch, k)
+            offsets = batch.column(5 + k).offsets.to_numpy()
+            known = batch.column(5 + k).values.to_numpy(zero_copy_only=False)
+            for c in np.unique(ctx):
+                here = np.flatnonzero(ctx == c)
+                for place, i in enumerate(views.of(c)):
+                    trees, weight, splits, wanted = jobs[i]
+                    if not wanted:
+                        continue
+                    at = here[weight[g[here]] > 0]
+                    if len(at) == 0:
+                        continue
+                    b = _bins_of(cell[at], bins.value[i])
+                    score = known[offsets[at] + place] + predicted(trees, b, s[at])
+                    p, w = 1 / (1 + np.exp(-score)), n[at] * weight[g[at]]
+                    node = nodes_of(splits, b, s[at])
+                    slot = np.full(max(node.max(), *wanted) + 1, -1)
+                    slot[wanted] = np.arange(len(wanted))
+                    of = slot[node]
+                    m = np.flatnonzero(of >= 0)
+                    code = of[m, None] * width + np.concatenate([b[m] + np.arange(k) * SIZE, k * SIZE + s[at][m, None]], axis=1)
+                    found = total.setdefault(i, np.zeros((len(wanted) * width, 3)))
+                    for j, v in enumerate((w * (p - y[at]), w * p * (1 - p), n[at])):
+                        found[:, j] += np.bincount(code.ravel(), weights=np.repeat(v[m], k + 1), minlength=len(found))
+        for i, found in total.items():
             used = np.flatnonzero(found[:, 2])
-            is_cue = used < k * size
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), i), pa.int32()), pa.array(np.full(len(used), target), pa.int32()),
-                 pa.array(np.where(is_cue, used // size, k + used - k * size), pa.int32()), pa.array(np.where(is_cue, used % size, 0), pa.int32()),
-                 *(pa.array(found[used, j]) for j in range(3))], ["fit", "node", "feature", "bin", "g", "h", "n"])
+                [pa.array(np.full(len(used), i), pa.int32()), pa.array(np.array(jobs[i][3])[used // width], pa.int32()), pa.array(used % width, pa.int32()),
+                 *(pa.array(found[used, j]) for j in range(3))], ["fit", "node", "at", "g", "h", "n"])
 
-    parts = rows.select("ctx", "g", "s", "y", *cues, "known").mapInArrow(run, "fit int, node int, feature int, bin int, g double, h double, n double")
-    if tasks * sum(len(j[4]) for j in jobs) > DIRECT:
-        parts = parts.groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    parts = rows.mapInArrow(run, "fit int, node int, at int, g double, h double, n double")
+    if tasks * sum(len(j[3]) for j in jobs) > DIRECT:
+        parts = parts.groupBy("fit", "node", "at").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     t = parts.toArrow()
     col = {c: t.column(c).to_numpy() for c in t.column_names}
-    at = np.where(col["feature"] < k, col["feature"] * SIZE + col["bin"], k * SIZE + col["feature"] - k)
-    out = {(i, target): np.zeros((k * SIZE + symbols, 3)) for i, j in enumerate(jobs) for target in j[4]}
+    out = {(i, target): np.zeros((width, 3)) for i, j in enumerate(jobs) for target in j[3]}
     order = np.lexsort((col["node"], col["fit"]))
     which = col["fit"][order].astype(np.int64) * (1 << 32) + col["node"][order]
     keys, starts = np.unique(which, return_index=True)
     for code, rows_ in zip(keys.tolist(), np.split(order, starts[1:])):
         for j, v in enumerate("ghn"):
-            out[code >> 32, code & 0xFFFFFFFF][:, j] += np.bincount(at[rows_], weights=col[v][rows_], minlength=k * SIZE + symbols)
+            out[code >> 32, code & 0xFFFFFFFF][:, j] += np.bincount(col["at"][rows_], weights=col[v][rows_], minlength=width)
     return out
 
 
-def _with_scores(rows: DataFrame, cues: Sequence[str], models: Sequence[Boosted], start: int) -> DataFrame:
-    """Rows with ``known``: score of every model by trees so far (an array by model)."""
+def _with_scores(rows: DataFrame, cues: Sequence[str], views: _Views, bins, starts: Sequence[float], trees: Sequence[Sequence[Tree]]) -> DataFrame:
+    """Counted rows with ``known``: score by ``trees`` of every model of their context, on top of the scores they carry, if any, else of ``starts``."""
     k = len(cues)
-    cols = ["ctx", "g", "s", "y", *cues]
+    cols, carried = ["ctx", "g", "s", "y", *cues, "n"], "known" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            x = np.column_stack([batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(k)]) if batch.num_rows else np.zeros((0, k))
-            old = batch.column(4 + k).flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) if start else np.tile([m.start for m in models], (len(s), 1))
-            new = np.column_stack([old[:, i] + predicted(m, _bins_of(x, m.bins), s, start) for i, m in enumerate(models)]) if len(s) else old
-            offsets = pa.array(np.arange(len(s) + 1) * len(models), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4 + k)), pa.ListArray.from_arrays(offsets, pa.array(new.ravel()))], [*cols, "known"])
+            if batch.num_rows == 0:
+                continue
+            ctx, _, s, _, cell, _ = _batch(batch, k)
+            sizes = np.zeros(len(s), dtype=np.int64)
+            for c in np.unique(ctx):
+                sizes[ctx == c] = len(views.of(c))
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            if carried:
+                old = batch.column(5 + k)
+                new = old.values.to_numpy(zero_copy_only=False)[old.offsets[0].as_py():old.offsets[-1].as_py()].copy()
+            else:
+                new = np.zeros(offsets[-1])
+            for c in np.unique(ctx):
+                here = np.flatnonzero(ctx == c)
+                for place, i in enumerate(views.of(c)):
+                    at = offsets[here] + place
+                    new[at] += predicted(trees[i], _bins_of(cell[here], bins.value[i]), s[here]) + (0.0 if carried else starts[i])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5 + k)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(new))], [*cols, "known"])
 
     types = dict(rows.dtypes)
-    return stored(rows.select(*cols, *(["known"] if start else [])).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", known array<double>"), "boosting")
+    return stored(rows.select(*cols, *(["known"] if carried else [])).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in cols) + ", known array<double>"), "boosting")
 
 
 def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sums: GroupSums, symbols: int, refresh: int = 8) -> list[Boosted]:
@@ -260,8 +295,11 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
 
     A fit that sees no rows or one label only gets no splits; ties go to the lower feature and bin. Rows need no null.
     """
-    counts = cell_counts(rows, cues)
-    positives = {(r["ctx"], r["g"]): float(r["p"]) for r in rows.groupBy("ctx", "g").agg(F.sum("y").alias("p")).collect()}
+    spark = rows.sparkSession
+    seen = [k for k in sums.keys if any(k[0] in (SHARED, f.ctx) and k[1] not in f.out for f in fits)]
+    table = stored(counted(rows, cues, seen), "boosting-cells")
+    counts = cell_counts(table, cues)
+    positives = {(r["ctx"], r["g"]): float(r["p"]) for r in table.groupBy("ctx", "g").agg(F.sum(F.col("y") * F.col("n")).alias("p")).collect()}
     models, weights = [], []
     for f in fits:
         w = sums.weights(f.view)
@@ -270,19 +308,20 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
         rate = min(max(yes / all_, 1e-12), 1 - 1e-12) if all_ else 0.5
         models.append(Boosted(f, float(np.log(rate / (1 - rate))), binned(counts, f.view, len(cues)), []))
         weights.append(w)
-    table, at = _with_scores(rows, cues, models, 0), 0
+    views, bins, starts = _Views(fits), spark.sparkContext.broadcast([m.bins for m in models]), [m.start for m in models]
+    table, at = _with_scores(table, cues, views, bins, starts, [[] for _ in models]), 0
     tasks = table.rdd.getNumPartitions()
     for t in range(max((f.rounds for f in fits), default=0)):
         if t - at == refresh:
-            table, at = _with_scores(table, cues, models, at), t
+            table, at = _with_scores(table, cues, views, bins, starts, [m.trees[at:] for m in models]), t
         growers = [_Grower(f) for f in fits]
         for g, f in zip(growers, fits):
             if t >= f.rounds:
                 g.wanted = []
         while any(g.wanted for g in growers):
-            jobs = [(m, at, w, g.look_ahead(), g.wanted) for m, w, g in zip(models, weights, growers)]
+            jobs = [(m.trees[at:], w, g.look_ahead(), g.wanted) for m, w, g in zip(models, weights, growers)]
             found: dict[int, dict[int, tuple]] = {i: {} for i in range(len(fits))}
-            for (i, node), sums_ in _histograms(table, cues, symbols, jobs, tasks).items():
+            for (i, node), sums_ in _histograms(table, cues, symbols, views, bins, jobs, tasks).items():
                 if split := best_split(sums_, len(cues), fits[i].l2, fits[i].min_rows):
                     found[i][node] = split
             for i, g in enumerate(growers):
@@ -307,7 +346,7 @@ def boosted_scores(rows: DataFrame, cues: Sequence[str], models: Sequence[Booste
             for m, name in zip(models, names):
                 at = np.flatnonzero(of == name.rsplit("|", 1)[0]) if on else np.arange(len(s))
                 if len(at):
-                    score = m.start + predicted(m, _bins_of(x[at], m.bins), s[at])
+                    score = m.start + predicted(m.trees, _bins_of(cells(x[at]), m.bins), s[at])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([name] * len(at)), pa.array(score)], [key, "model", "score"])
 
     return rows.select(key, "s", *cues, *([on] if on else [])).mapInArrow(run, f"{key} {kind}, model string, score double")

@@ -83,3 +83,26 @@ def test_many_values_share_bins():
     counts = [(-1, 0, 0, c, 3) for c in range(1000)] + [(-1, 1, 0, 5, 9), (2, 0, 0, 7, 1)]
     table = bo.binned(counts, (-1, frozenset([1])), 1)
     assert table.max() == 254 and (np.diff(table[0][:1000].astype(int)) >= 0).all() and np.bincount(table[0][:1000]).max() <= 4
+
+
+def test_equal_rows_are_read_once(spark):
+    df = spark.createDataFrame(sample(), "ctx int, g int, s int, y int, a double, b double")
+    seen = [(c, g) for c in (-1, 0) for g in range(3)]
+    once, many = (bo.counted(d, CUES, seen).collect() for d in (df, df.crossJoin(spark.range(50)).drop("id")))
+    key = lambda rows: {tuple(r[:-1]): r["n"] for r in rows}
+    assert len(once) == len(many) and {k: 50 * n for k, n in key(once).items()} == key(many)
+    assert sum(key(once).values()) == df.where("g < 3").count()
+    assert mf.group_sums(df, CUES, 4).keys == [(c, g) for c in (-1, 0) for g in range(4)]
+
+
+def test_every_context_scores_its_own_fits(spark):
+    """Rows of a context carry scores of the fits that see it, over stored scores of earlier rounds as well."""
+    data = sample()
+    df = spark.createDataFrame(data, "ctx int, g int, s int, y int, a double, b double").repartition(3).persist()
+    fits = [bo.Boost("x", 5, frozenset([1]), rounds=3, min_rows=20), bo.Boost("y", 0, frozenset(), rounds=5, min_rows=20), bo.Boost("z", 0, frozenset([2]), leaves=3, rounds=4, min_rows=20)]
+    together = bo.boosted_fit(df, CUES, fits, mf.group_sums(df, CUES, 4), 3, refresh=2)
+    for m, f in zip(together, fits):
+        want, seen = plain(data, f)
+        rows = spark.createDataFrame([(i, *r) for i, r in enumerate(seen)], "key long, ctx int, g int, s int, y int, a double, b double")
+        got = {r["key"]: r["score"] for r in bo.boosted_scores(rows, CUES, [m]).collect()}
+        assert np.abs(np.array([got[i] for i in range(len(seen))]) - want).max() < 1e-9
