@@ -3,7 +3,8 @@
 A fit is a context (a set of features), the groups it must not see and an inverse penalty. One pass sums, per
 fit and symbol, gradient and curvature of a small local design (constant and cues); everything else - scaling, one-hot
 symbols, symbol x cue products - is linear algebra on those sums. So a pass reads the rows once for all fits,
-tasks return fits x symbols rows, and Newton's method on the driver sees small systems only.
+tasks return fits x symbols rows, and Newton's method on the driver sees small systems only. Where many rows are equal they are
+counted first and passes read the counts.
 
 Rows need: ``ctx`` (-1: shared by every context), ``g`` (group code), ``s`` (symbol code), ``y`` (0 or 1) and the cues, none null.
 """
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.session import stored
+
 SHARED = -1
 
 
@@ -90,12 +93,40 @@ class Linear:
     table: np.ndarray
 
 
-def _design(batch: pa.RecordBatch, cues: int) -> tuple[np.ndarray, ...]:
-    """Columns of a batch, ordered by context and symbol."""
-    ctx, g, s, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-    z = np.column_stack([np.ones(batch.num_rows), *(batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(cues))])
+def counted(rows: DataFrame, cues: Sequence[str], worth: float = 0.5) -> DataFrame:
+    """(ctx, g, s, y, cues, n): equal rows once with their count ``n``; rows as they are, with ``n`` = 1, if more than the share ``worth`` of them is distinct.
+
+    The share is an estimate over all rows and decides the plan only: sums are the same either way.
+    """
+    cols = ["ctx", "g", "s", "y", *cues]
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*cols)).alias("d")).first()
+    if size["d"] > worth * size["n"]:
+        return rows.select(*cols, F.lit(1.0).alias("n"))
+    return stored(rows.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("n")), "fit-counts")
+
+
+def _design(batches: Sequence[pa.RecordBatch], cues: int) -> tuple[np.ndarray, ...]:
+    """Columns of some batches, ordered by context and symbol."""
+    t = pa.Table.from_batches(batches)
+    ctx, g, s, y, *xs, n = (c.to_numpy() for c in t.columns)
     order = np.lexsort((s, ctx))
-    return ctx[order], g[order], s[order], y[order].astype(np.float64), z[order]
+    z = np.ones((len(order), cues + 1))
+    for i, x in enumerate(xs):
+        z[:, i + 1] = x[order]
+    return ctx[order], g[order], s[order], y[order].astype(np.float64), n[order], z
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least ``least`` rows: sums by context and symbol cost less on long runs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 #: Fits x symbols x tasks that may reach the driver unsummed in one pass; beyond, sums are shuffled first.
@@ -103,31 +134,33 @@ DIRECT = 100_000
 
 
 def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int, np.ndarray, np.ndarray]], tasks: int) -> dict[tuple[int, int], np.ndarray]:
-    """(fit, symbol) -> gradient, curvature and loss of all rows, for fits given as (context, weight by group, table by symbol)."""
+    """(fit, symbol) -> gradient, curvature and loss of all counted rows, for fits given as (context, weight by group, table by symbol)."""
     k = len(cues) + 1
     up = np.triu_indices(k)
     width = k + len(up[0]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ctx, g, s, y, z = _design(batch, k - 1)
-            zz = z[:, up[0]] * z[:, up[1]]
-            for c in np.unique(ctx):
-                here = slice(*np.searchsorted(ctx, [c, c + 1]))
-                symbols, starts = np.unique(s[here], return_index=True)
-                for i, (fc, weight, table) in enumerate(fits):
-                    if c not in (SHARED, fc):
+        for held in _gathered(batches):
+            ctx, g, s, y, n, z = _design(held, k - 1)
+            change = np.flatnonzero((np.diff(ctx) != 0) | (np.diff(s) != 0)) + 1
+            runs = list(zip(np.concatenate([[0], change]).tolist(), np.concatenate([change, [len(s)]]).tolist()))
+            for i, (fc, weight, table) in enumerate(fits):
+                for a, b in runs:
+                    if ctx[a] not in (SHARED, fc):
+                        continue
+                    here, symbol = z[a:b], int(s[a])
+                    w = n[a:b] * weight[g[a:b]]
+                    if not w.any():
                         continue
-                    w, label = weight[g[here]], y[here]
-                    eta = (z[here] * table[s[here]]).sum(axis=1)
-                    p = 0.5 * (1 + np.tanh(eta / 2))
-                    part = np.column_stack((z[here] * (w * (p - label))[:, None], zz[here] * (w * p * (1 - p))[:, None], w * (np.logaddexp(0, eta) - label * eta)))
-                    for symbol, row in zip(symbols.tolist(), np.add.reduceat(part, starts, axis=0)):
-                        old = total.get((i, symbol))
-                        total[i, symbol] = row if old is None else old + row
+                    eta, label = here @ table[symbol], y[a:b]
+                    e = np.exp(-np.abs(eta))
+                    p = np.where(eta >= 0, 1.0, e) / (1 + e)
+                    curve = here.T @ (here * (w * p * (1 - p))[:, None])
+                    loss = w @ (np.maximum(eta, 0) + np.log1p(e) - label * eta)
+                    row = np.concatenate([here.T @ (w * (p - label)), curve[up], [loss]])
+                    old = total.get((i, symbol))
+                    total[i, symbol] = row if old is None else old + row
         if total:
             keys, values = zip(*total.items())
             values = np.array(values)
@@ -135,7 +168,7 @@ def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int,
                                              ["fit", "symbol", *(f"v{j}" for j in range(width))])
 
     cols = [f"v{j}" for j in range(width)]
-    parts = rows.select("ctx", "g", "s", "y", *cues).mapInArrow(run, "fit int, symbol int, " + ", ".join(f"{c} double" for c in cols))
+    parts = rows.select("ctx", "g", "s", "y", *cues, "n").mapInArrow(run, "fit int, symbol int, " + ", ".join(f"{c} double" for c in cols))
     if tasks * len(fits) * len(fits[0][2]) > DIRECT:
         parts = parts.groupBy("fit", "symbol").agg(*[F.sum(c).alias(c) for c in cols])
     t = parts.toArrow()
@@ -202,6 +235,7 @@ def fit_logistic(rows: DataFrame, cues: Sequence[str], fits: Sequence[Fit], sums
 
     A fit that sees no rows stays at zero; one label only drives the constant until the passes end.
     """
+    rows = counted(rows, cues)
     states, tasks = [_Newton(f, sums, symbols, len(cues)) for f in fits], rows.rdd.getNumPartitions()
     for _ in range(max_passes):
         open_ = [s for s in states if not s.done]
