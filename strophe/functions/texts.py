@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.inventory import (
@@ -169,3 +169,22 @@ def stable_id(kind: str, parts: Sequence[Column], namespace: str, length: int =
     return F.concat(F.lit(kind + "_"), F.substring(F.sha2(body, 256), 1, length))
 
 
+
+
+def word_counts(df: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, n_words, n_distinct, first_sorted, last_sorted, position_weight) of arrays of words; keys without a word are left out.
+
+    Rows are counted by themselves, only numbers and two words of a row are shuffled. Words of several rows of one key are counted apart, as
+    these rows may share words; null is a key like any other.
+    """
+    w = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    weights = F.aggregate(F.transform(w, lambda x, i: ((i + 1) * F.length(x)).cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    rows = df.select(key, F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+                     F.array_min(w).alias("first_sorted"), F.array_max(w).alias("last_sorted"), weights.alias("position_weight"))
+    per = rows.groupBy(key).agg(F.sum("n_words").alias("n_words"), F.sum("n_distinct").alias("n_distinct"), F.min("first_sorted").alias("first_sorted"),
+                                F.max("last_sorted").alias("last_sorted"), F.sum("position_weight").alias("position_weight"), F.count(F.lit(1)).alias("_rows"))
+    shared = per.where("_rows > 1").select(F.col(key).alias("_key"))
+    again = df.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, F.explode(words).alias("_word"))
+    exact = again.distinct().groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    out = per.where("n_words > 0").join(exact, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, "n_words", F.coalesce("_n", "n_distinct").alias("n_distinct"), "first_sorted", "last_sorted", "position_weight")

@@ -68,10 +68,8 @@ u AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS po
 SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct, min(word) AS first_sorted, max(word) AS last_sorted,
   CAST(sum(pos * length(word)) AS BIGINT) AS position_weight FROM u GROUP BY doc_id""")
 def tokenize_words(spark, sf_dir):
-    w = documents(spark, sf_dir).select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("pos", "word"))
-    return w.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"), F.count_distinct("word").alias("n_distinct"), F.min("word").alias("first_sorted"),
-        F.max("word").alias("last_sorted"), F.sum((F.col("pos") + 1) * F.length("word")).alias("position_weight"))
+    d = documents(spark, sf_dir).select("doc_id", tx.words(F.col("text")).alias("w"))
+    return tx.word_counts(d, "doc_id", "w")
 
 
 @query("symbol_normalize", f"""WITH {TOKENS_SQL},

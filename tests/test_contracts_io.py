@@ -6,9 +6,11 @@ import hashlib
 import json
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strophe.functions import hooks
 from strophe.functions import texts as tx
 from strophe.functions.inventory import ALLOPHONES, DROPPED_LABELS, PHONES
 from strophe.operators import association as ac
@@ -141,3 +143,24 @@ def test_structural_checks(spark):
     assert [tuple(r) for r in ac.inconsistent_metadata(meta, ["grp"], ["sev", "site"]).collect()] == [("g", "sev")]
     twice = spark.createDataFrame([(1, 0, [0.0]), (1, 0, [1.0]), (1, 1, [0.0])], "event long, frame long, logits array<double>")
     assert [tuple(r) for r in duplicate_frames(twice).collect()] == [(1, 0, 2)]
+
+
+def test_mapper_calls_are_bounded(spark):
+    texts = pa.array(["a" * 10, None, "b" * 30, "c" * 5, "d" * 5, "", "é" * 200])
+    assert list(hooks.slices(texts, 20)) == [(0, 2), (2, 1), (3, 3), (6, 1)] and list(hooks.slices(pa.array([], pa.string()), 20)) == []
+    most = spark.sparkContext.accumulator(0)
+
+    def mapper(batch):
+        most.add(int(sum(map(len, batch)) > hooks.CALL))
+        return [list(t) for t in batch], [[] for _ in batch]
+
+    df = spark.range(3000).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 1000)).alias("t")).unionByName(spark.createDataFrame([(None,), ("",)], "t string"))
+    got = hooks.map_texts(df.repartition(1), "t", mapper).select("t", F.size("symbols").alias("n"), F.size("unknown").alias("u")).collect()
+    assert len(got) == 3002 and all(r["n"] == len(r["t"] or "") and r["u"] == 0 for r in got) and most.value == 0
+
+
+def test_word_counts_of_repeated_and_null_keys(spark):
+    rows = [(1, ["b", "a", "b"]), (2, ["x"]), (2, ["x", "yy"]), (3, []), (4, None), (None, ["q"]), (None, ["q", "r"]), (5, []), (5, ["z"])]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    got = {r["k"]: tuple(r)[1:] for r in tx.word_counts(df, "k", "w").collect()}
+    assert got == {1: (3, 2, "a", "b", 6), 2: (3, 2, "x", "yy", 6), None: (3, 2, "q", "r", 4), 5: (1, 1, "z", "z", 1)}
