@@ -226,3 +226,16 @@ def test_final_assessment_needs_every_condition(spark):
         r = rs.final_assessment(spark.createDataFrame([(verdict,)], "verdict string"), spark.createDataFrame([row], cols)).first()
         assert r["supported"] is want
         assert r["wording"].startswith("statistically") == want
+
+
+def test_normal_cdf_and_halving_against_plain_forms(spark):
+    zs = [-9.0, -7.5, -7.0, -3.3, -0.7, 0.0, 1e-9, 0.4, 2.0, 6.9, 7.2, 9.0]
+    got = {r["z"]: r["p"] for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", mo.normal_cdf(F.col("z")).alias("p")).collect()}
+    assert all(got[z] == pytest.approx(math.erfc(-z / math.sqrt(2)) / 2, rel=1e-9, abs=1e-15) for z in zs)
+    r = random.Random(4)
+    for points in (1, 2, 7, 8, 256):
+        q = sorted(r.randrange(40) / 2 for _ in range(points))
+        xs = [i / 4 for i in range(-2, 84)]
+        df = spark.createDataFrame([(x, q) for x in xs], "x double, q array<double>")
+        counts = df.select("x", *[mo._count_below(F.col("q"), F.col("x"), points, u).alias(n) for u, n in ((False, "b"), (True, "u"))]).collect()
+        assert [(c["b"], c["u"]) for c in counts] == [(sum(v < c["x"] for v in q), sum(v <= c["x"] for v in q)) for c in counts]
