@@ -45,8 +45,6 @@ DOTTED, PLAIN = r"^[0-9]{1,3}(?:\.[0-9]{1,3})+$", r"^(?:[0-9]+|[0-9]{4}(?:[\x20-
 #: Values that stand for a secret.
 PLACEHOLDER = r"(?i)[=:]\x20{0,3}[\"']?(?:(.)\1*|[a-z_-]+)$"
 
-#: At most so many judged proposals train the trees, in expectation; the rest of the settings.
-TRAINING_ROWS = 20_000
 TREES, DEPTH = 12, 4
 PRECISION = 0.98
 FEATURES = ("k", "chars", "digits", "letters", "uppers", "separators", "at", "equals", "groups", "luhn", "parts_fit", "form", "cue", "number_cue", "before_kind", "after_kind")
@@ -142,22 +140,24 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).where("label IS NOT NULL")
 
 
-def chosen(rows: DataFrame, sample: int = TRAINING_ROWS, precision: float = PRECISION) -> DataFrame:
-    """``rows`` of proposals with ``accepted``: valid base spans, and what the trees accept."""
-    base = F.coalesce("valid", F.lit(False))
+def training(rows: DataFrame) -> DataFrame:
+    """Every judged proposal with features, ``label``, ``back`` (held back for the thresholds: a quarter, by text and start) and ``weight``:
+    all kinds weigh the same, so that rare ones are learnt."""
     known = judged(featured(rows))
-    # every kind has the same share of the sample, so that rare ones are learnt and have a threshold
-    totals = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for kind, n in totals.items():
-        share = F.when(F.col("kind") == kind, F.lit(sample / len(totals) / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(31), "doc_id", "kind", "start"), F.lit(1_000_000)) / 1_000_000
-    fit = written(known.where(draw < share).withColumn("back", F.pmod(F.xxhash64(F.lit(32), "doc_id", "start"), F.lit(4)) == 0), "judged")
+    totals = known.groupBy("kind").agg(F.count(F.lit(1)).alias("_n"))
+    share = totals.join(totals.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds"))).select("kind", (F.col("_all") / F.col("_kinds") / F.col("_n")).alias("weight"))
+    return known.withColumn("back", F.pmod(F.xxhash64(F.lit(32), "doc_id", "start"), F.lit(4)) == 0).join(F.broadcast(share), "kind")
+
+
+def chosen(rows: DataFrame, precision: float = PRECISION) -> DataFrame:
+    """``rows`` of proposals with ``accepted``: valid base spans, and what the trees accept; they learn from every judged proposal."""
+    base = F.coalesce("valid", F.lit(False))
+    fit = written(training(rows), "judged")
     if fit.where("NOT back").select("label").distinct().count() < 2:
         return rows.withColumn("accepted", base)
     pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, stepSize=0.3, cacheNodeIds=False)
-    model = trees.fit(pack.transform(fit.where("NOT back")).select("features", "label"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, stepSize=0.3, cacheNodeIds=False, weightCol="weight")
+    model = trees.fit(pack.transform(fit.where("NOT back")).select("features", "label", "weight"))
     limits = thresholds(_probability(model, pack, fit.where("back")), precision)
     limit = F.lit(2.0)
     for kind, value in limits.items():

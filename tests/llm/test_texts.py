@@ -7,6 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strophe.llm import bpe, line_dedup, personal_data, quality_rules
 
@@ -170,3 +172,12 @@ def test_bpe_columns_equal_lists():
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_personal_data_learns_from_every_judged_proposal(spark):
+    text = F.concat(F.lit("host "), F.col("id") % 250, F.lit(".1.2.3 and 999."), F.col("id") % 9, F.lit(".0.1"), F.when(F.col("id") % 100 == 0, " ssn 123-45-6789").otherwise(""))
+    rows = personal_data.proposals(spark.range(15_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    fit = personal_data.training(rows)
+    per = {r["kind"]: (r["n"], r["w"]) for r in fit.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
+    assert fit.count() == personal_data.judged(personal_data.featured(rows)).count() > 20_000 and per["ip"][0] == 30_000 and per["ssn"][0] == 150
+    assert max(w for _, w in per.values()) == pytest.approx(min(w for _, w in per.values()))
