@@ -360,6 +360,30 @@ def prior_replacement(evidence: DataFrame, priors: DataFrame, on: Sequence[str]
         "_k", "_s", "_o", "_d", "_t")
 
 
+def with_open_parts(evidence: DataFrame) -> DataFrame:
+    """Add ``open_parts``: (i, m) of the symbols with mass that are not accepted, by index from 0. It depends on the row alone, so rows that
+    meet many priors take it once, before they do."""
+    parts = F.transform("sub_parts", lambda m, i: F.struct(i.alias("i"), m.alias("m")))
+    blocked = lambda x: (x["m"] == 0) | F.array_contains("accepted", (x["i"] + 1).cast("int"))
+    return evidence.withColumn("open_parts", F.filter(parts, lambda x: F.coalesce(~blocked(x), F.lit(True))))
+
+
+def _over_open(value) -> Column:
+    return F.aggregate("open_parts", F.lit(0.0), lambda acc, x: acc + value(x))
+
+
+def replaced_mass(evidence: DataFrame, priors: DataFrame, on: Sequence[str] = ("source",)) -> DataFrame:
+    """``cf_ok, cf_del`` of ``prior_replacement`` and ``cf_mass``, the sum of its ``cf_sub``; ``evidence`` has ``open_parts``."""
+    j = evidence.join(priors, list(on))
+    left = 1.0 - _over_accepted("sub_p")
+    j = j.withColumn("_k", F.col("op_sub") / left / (GENERIC_OPS["SUB"] / (len(PHONES) - F.size("accepted"))))
+    j = j.withColumn("_s", F.transform("open_parts", lambda x: x["m"] * F.get("sub_p", x["i"]) * F.col("_k")))
+    j = j.withColumns({"_o": F.col("ok") * F.col("op_ok") / GENERIC_OPS["OK"], "_d": F.col("del") * F.col("op_del") / GENERIC_OPS["DEL"]})
+    j = j.withColumn("_t", F.col("_o") + F.col("_d") + _total("_s"))
+    mass = F.aggregate("_s", F.lit(0.0), lambda acc, v: acc + v / F.col("_t"))
+    return j.withColumns({"cf_ok": F.col("_o") / F.col("_t"), "cf_del": F.col("_d") / F.col("_t"), "cf_mass": mass}).drop("_k", "_s", "_o", "_d", "_t")
+
+
 def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFrame, baselines: Sequence[str],
                      on: Sequence[str] = ("source",)) -> DataFrame:
     """Nine compressed cues: four evidence scores, occurrence shift, identity support, three baselines.
@@ -370,9 +394,9 @@ def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFr
     """
     n = len(PHONES)
     keys = [c for c in on if c in reliability.columns]
-    j = evidence.join(priors, list(on)).join(reliability.select(*keys, "reliability"), keys)
-    j = j.withColumns({"_open": _where_open(lambda m, i: m), "_prod": _where_open(lambda m, i: m * F.get("sub_p", i))})
-    j = j.withColumns({"_m": _total("_open"), "_mq": _total("_prod"), "_left": 1.0 - _over_accepted("sub_p"), "_u": 1.0 / (n - F.size("accepted"))})
+    own = evidence if "open_parts" in evidence.columns else with_open_parts(evidence)
+    j = own.join(priors, list(on)).join(reliability.select(*keys, "reliability"), keys)
+    j = j.withColumns({"_m": _over_open(lambda x: x["m"]), "_mq": _over_open(lambda x: x["m"] * F.get("sub_p", x["i"])), "_left": 1.0 - _over_accepted("sub_p"), "_u": 1.0 / (n - F.size("accepted"))})
     r = F.col("reliability")
     j = j.withColumns({"_num": r * F.col("_mq") / F.col("_left") + (1 - r) * F.col("_u") * F.col("_m"), "_den": F.col("_m") * F.col("_u")})
     cues = {
@@ -383,4 +407,4 @@ def compact_features(evidence: DataFrame, priors: DataFrame, reliability: DataFr
         **{f"x_{b}": -F.col(b) for b in baselines},
     }
     j = j.withColumns({k: signed_log(v) for k, v in cues.items()})
-    return j.drop("_open", "_prod", "_m", "_mq", "_left", "_u", "_num", "_den")
+    return j.drop("open_parts", "_m", "_mq", "_left", "_u", "_num", "_den")

@@ -77,10 +77,10 @@ def learned_cues(data: DataFrame, conf: DataFrame, folds: Sequence[Fold]) -> Dat
             uses.append((f.number, g, outs.setdefault(f.out | {g}, len(outs))))
     contexts = spark.createDataFrame([(c, g) for out, c in outs.items() for g in sorted(out)], "ctx int, grp string")
     arrays = stored(pr.prior_arrays(*pr.leave_out_prior(conf, contexts), by=["ctx"]), "fold-priors")
-    rows = data.join(F.broadcast(spark.createDataFrame(uses, "fold int, grp string, ctx int")), "grp")
-    changed = pr.prior_replacement(rows, arrays, ["ctx", "source"])
-    mass = F.aggregate("cf_sub", F.lit(0.0), lambda a, v: a + v)
-    return changed.withColumns({"x3": signed_log(log_ratio(mass, F.col("cf_ok"))), "x4": signed_log(log_ratio(F.col("cf_del"), F.col("cf_ok")))})
+    own = pr.with_open_parts(data).drop("sub_parts")
+    rows = own.join(F.broadcast(spark.createDataFrame(uses, "fold int, grp string, ctx int")), "grp")
+    changed = pr.replaced_mass(rows, arrays, ["ctx", "source"])
+    return changed.withColumns({"x3": signed_log(log_ratio(F.col("cf_mass"), F.col("cf_ok"))), "x4": signed_log(log_ratio(F.col("cf_del"), F.col("cf_ok")))})
 
 
 def prepared(data: DataFrame, conf: DataFrame, folds: Sequence[Fold]) -> DataFrame:
@@ -185,7 +185,8 @@ def inner_rows(data: DataFrame, conf: DataFrame, groups: Sequence[str], baseline
     contexts = spark.createDataFrame([(c, g) for out, c in outs.items() for g in sorted(out)], "ctx int, grp string")
     arrays = stored(pr.prior_arrays(*pr.leave_out_prior(conf, contexts), by=["ctx"]), "inner-priors")
     sure = stored(pr.leave_out_reliability(conf, contexts).select("ctx", "source", "reliability"), "inner-reliability")
-    rows = data.join(F.broadcast(spark.createDataFrame(uses, "held int, grp string, ctx int")), "grp")
+    own = pr.with_open_parts(data).drop("sub_parts")
+    rows = own.join(F.broadcast(spark.createDataFrame(uses, "held int, grp string, ctx int")), "grp")
     cues = pr.compact_features(rows, arrays, sure, list(baselines), ["ctx", "source"])
     codes = spark.createDataFrame([(g, i) for i, g in enumerate(groups)], "grp string, g int")
     cues = cues.join(F.broadcast(codes), "grp").select(

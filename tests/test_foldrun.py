@@ -108,3 +108,14 @@ def test_manifest_refuses_a_changed_missing_or_new_part(spark):
     part.limit(0).write.mode("overwrite").parquet(f"{path}/predictions/cohort=case/fold=g02/strategy=s")
     with pytest.raises(ValueError, match="g02"):
         fr.load_frozen(spark, path, df.columns, fr.PARTS)
+
+
+def test_open_parts_are_taken_once_and_change_nothing(spark, inputs):
+    data, counts = inputs
+    arrays = pr.prior_arrays(*pr.group_equal_prior(counts))
+    mass = F.aggregate("cf_sub", F.lit(0.0), lambda a, v: a + v)
+    want = {r["key"]: tuple(r)[1:] for r in pr.prior_replacement(data, arrays).select("key", "cf_ok", "cf_del", mass).collect()}
+    slim = pr.with_open_parts(data).drop("sub_parts")
+    got = {r["key"]: tuple(r)[1:] for r in pr.replaced_mass(slim, arrays).select("key", "cf_ok", "cf_del", "cf_mass").collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], rel=1e-13, abs=1e-15) for k in want)
+    assert slim.where(F.size("open_parts") > 2).isEmpty()
