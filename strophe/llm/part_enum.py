@@ -12,7 +12,9 @@ hash. Classes that share a signature are tried in rounds: first against one lead
 a group, then, where a group still spans several components, against the nearest member of another
 component, and at last against every member of another component. A bound from bucket counts that
 never rejects a similar pair goes before the exact check of whole sets. So groups of similar copies
-cost about one pair a member, and no link that could join two components is lost.
+cost about one pair a member, and no link that could join two components is lost. After the first round only members
+with an untried pair within the bound go on, the followers of one leader as a group of their own: where unrelated
+sets or several clusters merely share a signature, nothing goes on to the later rounds.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BUCKETS = 256
 SEEN_CLASSES, SEEN_WORDS = 100_000, 150_000
 #: Members of a signature group that a task holds at once; the blocks of a larger group meet in pairs.
 BLOCK = 2048
+#: Comparisons spent on the untried pairs of a group, at least, and as a multiple of those with leaders; a denser group goes on whole.
+LOOKED, TIMES = 1 << 19, 32
 
 U = np.uint64
 
@@ -49,6 +53,12 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; for arrays of a text's size several times faster than ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of a text (A-Z lower-cased)."""
 
@@ -72,7 +82,7 @@ class Shingler:
             s = h[:len(h) - k + 1] + U(k)
             for i in range(1, k):
                 s = s * U(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i]
-        return np.unique(mixed(s))
+        return distinct_sorted(mixed(s))
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -138,7 +148,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
                 sums = (part[1:] - part[:-1]).reshape(n1, n2) @ member
                 some = (at[1:] - at[:-1]).reshape(n1, n2).astype(np.uint64) @ member > 0
                 found.append((sums + salt)[some])
-    return np.unique(mixed(np.concatenate(found))).view(np.int64)
+    return distinct_sorted(mixed(np.concatenate(found))).view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -232,8 +242,30 @@ def _shared(rows: DataFrame) -> DataFrame:
     return _dealt(rows, "sig", "k1").mapInArrow(run, "g long, k1 long")
 
 
+def untried(n: np.ndarray, c: np.ndarray, x: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of members that hold the pairs within the bound other than ``pairs``, those of each leader with its followers: the
+    followers of one leader, with its position, and, with -1, members that have such a pair outside their own part."""
+    m = len(n)
+    part, pairs = np.arange(m), [p for p in pairs if len(p[1])]
+    for a, b in pairs:
+        part[b] = a[0]
+    followers = np.flatnonzero(part != np.arange(m))
+    if sum(len(b) * (m - 1 - len(b)) for _, b in pairs) > max(LOOKED, TIMES * m * (m - len(followers))):
+        yield -1, np.arange(m)
+        return
+    yield from ((a[0], b) for a, b in pairs if len(b) > 1)
+    left = np.zeros(m, bool)
+    for i in followers:
+        ok = (c != c[i]) & (part != part[i])
+        ok[ok] = may_link(n[i], n[ok], np.abs(x[i] - x[ok]).sum(axis=1), percent)
+        left |= ok
+        left[i] |= ok.any()
+    yield -1, np.flatnonzero(left)
+
+
 def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
-    """(a, ka, b, kb): candidate pairs, within the bound, of groups (g, id, k1, c, n, sketch) with components c.
+    """(a, ka, b, kb): candidate pairs, within the bound, of groups (g, id, k1, c, n, sketch) with components c;
+    and, after ``star``, (a, ka, g): members (id a, key ka) of smaller groups g that hold all untried pairs.
 
     ``star``: one leader for each part of a group that lies within its bound. ``nearest``: each member outside the
     group's largest component with the nearest member of another component. ``all``: every pair of
@@ -260,6 +292,8 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
             yield np.full(ok.sum(), i), others[ok]
             rest = others[~ok] if how == "star" else others
 
+    names = ["a", "ka", "b", "kb", "g"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in itertools.chain(batches, [None]):
@@ -278,11 +312,18 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
             two = start[end - start == 2]
             gap = np.abs(sk[two].astype(np.int16) - sk[two + 1]).sum(axis=1)
             two = two[(c[two] != c[two + 1]) & may_link(n[two], n[two + 1], gap, percent)]
-            found = [(two, two + 1)]
+            found, left = [(two, two + 1)], [(two[:0], g[:0])]
             for i, j in zip(start[end - start > 2], end[end - start > 2], strict=True):
-                found += [(i + a, i + b) for a, b in of_group(n[i:j], c[i:j], sk[i:j].astype(np.int16))]
+                own = n[i:j], c[i:j], sk[i:j].astype(np.int16)
+                pairs = list(of_group(*own))
+                found += [(i + a, i + b) for a, b in pairs]
+                for leader, at in untried(*own, pairs, percent) if how == "star" else ():
+                    name = g[i] if leader < 0 else mixed((g[i:i + 1] ^ k[i + leader]).view(np.uint64), 11).view(np.int64)[0]
+                    left.append((i + at, np.full(len(at), name)))
             a, b = (np.concatenate([f[h] for f in found]) for h in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (k[a], k1[a], k[b], k1[b])], ["a", "ka", "b", "kb"])
+            at, group = (np.concatenate([f[h] for f in left]) for h in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(z) for z in (k[a], k1[a], k[b], k1[b])), pa.nulls(len(a), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(k1[at]), *[pa.nulls(len(at), pa.int64())] * 2, pa.array(group)], names)
 
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
     size = written(size, "sizes")
@@ -293,11 +334,11 @@ def _pairs(members: DataFrame, percent: int, how: str) -> DataFrame:
     small = members.join(size, "g", "left_anti").withColumn("_x", F.lit(0)).withColumn("_y", F.lit(0))
     cols = ["g", "_x", "_y", "id", "k1", "c", "n", "sketch"]
     dealt = _dealt(small.select(cols).union(big.select(cols)), "g", "_x", "_y", "id")
-    return dealt.mapInArrow(run, "a long, ka long, b long, kb long").distinct()
+    return dealt.mapInArrow(run, "a long, ka long, b long, kb long, g long")
 
 
-def _elements(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, k1, elements): the sets of the representatives in any group, cut anew from the texts; where
+def _elements(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, k1, elements): the sets of the representatives in any of the pairs, cut anew from the texts; where
     ids repeat, with more rows than asked for."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
@@ -308,7 +349,7 @@ def _elements(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(x)[0] for x in sets], pa.int64()),
                                                   pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "k1", "elements"])
 
-    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text"), members.select("id"), "id")
+    texts = maybe_in(docs.select(F.col("doc_id").alias("id"), "text"), pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     return texts.mapInArrow(cut, "id long, k1 long, elements binary")
 
 
@@ -354,20 +395,23 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int
     shared = written(_shared(sigs).distinct(), "shared")
     members = shared.join(classes.where("rep IS NOT NULL").select("k1", F.col("rep").alias("id"), "n", "sketch"), "k1")
     members = written(members.select("g", "id", "k1", "n", "sketch"), "members")
-    sets = written(_elements(members, docs, shingle), "sets")
     tried = edges = None
     found = members.withColumn("c", F.col("id"))
     for how in ("star", "nearest", "nearest", "all"):
-        pairs = _pairs(found, percent, how)
+        made = written(_pairs(found, percent, how), "made")
+        pairs = made.where("g IS NULL").select("a", "ka", "b", "kb").distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "ka", "b", "kb"], "left_anti"), "pairs")
-        links = written(_verified(pairs, sets, percent), "links")
+        if tried is None:  # later rounds see only what holds untried pairs
+            members = made.where("g IS NOT NULL").select("g", F.col("a").alias("id"), F.col("ka").alias("k1")).distinct()
+        links = written(_verified(pairs, written(_elements(pairs, docs, shingle), "sets"), percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if edges is None or links.count():  # else the components are as before
             edges = links if edges is None else edges.unionByName(links)
             labels = components(edges)
             found = members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
             still = found.groupBy("g").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("g")
-            found = written(found.join(written(still, "open"), "g", "left_semi"), "open-members")
+            found = found.join(written(still, "open"), "g", "left_semi")
+            found = written(found.join(classes.select("k1", F.col("rep").alias("id"), "n", "sketch"), ["k1", "id"]), "open-members")
             if found.isEmpty():
                 break
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))

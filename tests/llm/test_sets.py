@@ -132,6 +132,27 @@ def test_near_duplicates_odd(odd, empty):
     assert part_enum.near_duplicate_classes(empty).count() == 0
 
 
+def test_unrelated_sets_of_a_group_are_done_after_one_round(spark, monkeypatch):
+    """Groups of sets that share a signature but are beyond the bound go to no later round; of a cluster among them only its followers do."""
+    r = np.random.default_rng(8)
+    cluster = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [r.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(60)] + [np.concatenate((cluster[5:], r.integers(0, 1 << 63, 5, dtype=np.uint64))) for _ in range(4)]
+    rows = [(g, i, i, i, len(s), bytearray(part_enum.sketch(s))) for g in (1, 2) for i, s in enumerate(sets) if g == 1 or i < 60]
+    for block in (2048, 16):
+        monkeypatch.setattr(part_enum, "BLOCK", block)
+        out = part_enum._pairs(spark.createDataFrame(rows, "g long, id long, k1 long, c long, n long, sketch binary"), 80, "star").collect()
+        pairs = {(min(x["a"], x["b"]), max(x["a"], x["b"])) for x in out if x["g"] is None}
+        left = {}
+        for x in out:
+            if x["g"] is not None:
+                left.setdefault(x["g"], set()).add(x["a"])
+        close = {(i, j) for i in range(60, 64) for j in range(i + 1, 64)}
+        # every untried pair goes on inside one group, and nobody without one
+        assert pairs <= close and len(pairs) >= 3
+        assert all(any({*p} <= ids for ids in left.values()) for p in close - pairs)
+        assert set().union(*left.values()) <= {60, 61, 62, 63}
+
+
 def test_signatures_are_shared():
     """Every pair at the very threshold shares a signature, over many sizes (random cuts leave none out)."""
     r = np.random.default_rng(3)
