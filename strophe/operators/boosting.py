@@ -2,8 +2,9 @@
 
 Cues are cut into fixed cells and rows of equal context, group, symbol, label and cells are counted once: passes read these counts, not the rows.
 Every view of the rows (see ``manyfit``) gets bins of about equal count, made once from cell counts by leaving its
-groups out. A pass sums gradient, curvature and rows per (fit, node, feature, bin); the driver finds best splits in those sums, whose
-number does not grow with the rows. A pass looks one level ahead in all leaves, so a tree takes about as many passes as it is deep. Symbols are features of their own (this symbol or not).
+groups out. Models whose view has few counted rows are grown by one task each, all at once. For larger views a pass over all tasks sums gradient, curvature
+and rows per (fit, node, feature, bin); the driver finds best splits in those sums, whose number does not grow with the rows. A pass looks one level ahead in all
+leaves, so a tree takes about as many passes as it is deep. Both ways grow the same trees. Symbols are features of their own (this symbol or not).
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.operators.manyfit import SHARED, GroupSums
+from strophe.operators.manyfit import SHARED, GroupSums, gathered
 from strophe.session import stored
 
 #: Cells a unit of a cue, and cells on either side of zero; values beyond fall into the last ones.
 CELLS, REACH = 128, 1 << 13
 #: Bins of a cue at most, and histograms that may reach the driver unsummed in one pass.
 SIZE, DIRECT = 256, 1500
+#: Counted rows of a view at most for one task to grow its trees; it decides the plan only.
+NEAR = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -84,9 +87,9 @@ def binned(counts: Sequence, view, cues: int, bins: int = 255) -> np.ndarray:
     """Bin of every cell, per cue: a bin for each cell in use while they are few, else bins of about equal count."""
     ctx, out = view
     have = np.zeros((cues, 2 * REACH), dtype=np.int64)
-    for c, g, cue, cell, n in counts:
-        if c in (SHARED, ctx) and g not in out:
-            have[cue, cell] += n
+    c, g, cue, cell, n = np.asarray(counts, dtype=np.int64).reshape(-1, 5).T
+    mine = np.isin(c, (SHARED, ctx)) & ~np.isin(g, list(out))
+    np.add.at(have, (cue[mine], cell[mine]), n[mine])
     table = np.zeros((cues, 2 * REACH), dtype=np.uint8)
     for k, row in enumerate(have):
         used = row > 0
@@ -101,6 +104,18 @@ def _bins_of(cell: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.column_stack([table[k][cell[:, k]] for k in range(len(table))])
 
 
+def equal_rows(columns: Sequence[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """First row of every distinct one, and the place of each row among those; columns come with a bound of their whole numbers from 0."""
+    code, size = np.zeros(len(columns[0][0]), dtype=np.int64), 1
+    for values, bound in columns:
+        if size * bound >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            size = len(found)
+        code, size = code * bound + values, size * bound
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    return first, place
+
+
 def nodes_of(tree: Sequence[tuple[int, int, int, int, int]], b: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Node of every row after the splits; features from the number of cues on are symbols."""
     node = np.zeros(len(s), dtype=np.int64)
@@ -203,6 +218,59 @@ def _batch(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
     return ctx, g, s, y, np.column_stack([batch.column(4 + i).to_numpy(zero_copy_only=False) for i in range(k)]), batch.column(4 + k).to_numpy(zero_copy_only=False)
 
 
+def _node_sums(b: np.ndarray, s: np.ndarray, node: np.ndarray, wanted: Sequence[int], parts: Sequence[np.ndarray], symbols: int) -> np.ndarray:
+    """(wanted nodes * (cues * 256 + symbols), parts): sums of ``parts`` by bin and symbol of every wanted node."""
+    k = b.shape[1]
+    width = k * SIZE + symbols
+    slot = np.full(max(node.max(), *wanted) + 1, -1)
+    slot[wanted] = np.arange(len(wanted))
+    of = slot[node]
+    m = np.flatnonzero(of >= 0)
+    code = of[m, None] * width + np.concatenate([b[m] + np.arange(k) * SIZE, k * SIZE + s[m][:, None]], axis=1)
+    return np.column_stack([np.bincount(code.ravel(), weights=np.repeat(v[m], k + 1), minlength=len(wanted) * width) for v in parts])
+
+
+def _grown_in_tasks(rows: DataFrame, cues: Sequence[str], symbols: int, models: Sequence[Boosted], weights: Sequence[np.ndarray], keys: Sequence[tuple[int, int]]) -> None:
+    """Grow every model in a task of its own, from the counted rows of its view: at most ``NEAR`` each."""
+    spark, k = rows.sparkSession, len(cues)
+    given = spark.sparkContext.broadcast([(m.fit, m.start, m.bins) for m in models])
+
+    def grow(key: tuple, t: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        fit, start, bins = given.value[i]
+        s, y, *cell, n, w = (c.to_numpy() for c in t.columns[1:])
+        b = _bins_of(np.column_stack(cell), bins)
+        first, place = equal_rows([(s, symbols), (y, 2), *((b[:, j], SIZE) for j in range(k))])
+        b, s, y, n, w = b[first], s[first], y[first], np.bincount(place, n), np.bincount(place, w)
+        score, out = np.full(len(s), start), []
+        for at in range(fit.rounds):
+            p = 1 / (1 + np.exp(-score))
+            parts, grower = (w * (p - y), w * p * (1 - p), n), _Grower(fit)
+            while grower.wanted:
+                sums = _node_sums(b, s, nodes_of(grower.look_ahead(), b, s), grower.wanted, parts, symbols).reshape(len(grower.wanted), -1, 3)
+                found = {node: best_split(v, k, fit.l2, fit.min_rows) for node, v in zip(grower.wanted, sums)}
+                grower.learn({node: split for node, split in found.items() if split})
+            tree = grower.tree()
+            score += predicted([tree], b, s)
+            out += [(i, at, *split, 0.0) for split in tree.splits] + [(i, at, node, -1, 0, 0, 0, v) for node, v in tree.values.items()]
+        return pa.table([pa.array(c, pa.float64() if j == 7 else pa.int32()) for j, c in enumerate(zip(*out))] if out else [[]] * 8, schema=shape)
+
+    shape = pa.schema([*((c, pa.int32()) for c in ("fit", "tree", "node", "feature", "bin", "left", "right")), ("value", pa.float64())])
+    seen = [(i, c, g, float(w[g])) for i, (m, w) in enumerate(zip(models, weights)) for c, g in keys if c in (SHARED, m.fit.ctx) and g not in m.fit.out]
+    mine = rows.join(F.broadcast(spark.createDataFrame(seen, "fit int, ctx int, g int, w double")), ["ctx", "g"])
+    # more partitions than models, so that few meet in one
+    mine = mine.select("fit", "s", "y", *cues, "n", (F.col("n") * F.col("w")).alias("w")).repartition(4 * len(models), "fit")
+    t = mine.groupBy("fit").applyInArrow(grow, "fit int, tree int, node int, feature int, bin int, left int, right int, value double").toArrow()
+    trees = [[Tree([], {}) for _ in range(m.fit.rounds)] for m in models]
+    for i, at, node, feature, cut, left, right, value in sorted(zip(*(c.to_pylist() for c in t.columns))):  # a parent's number is below its children's
+        if feature < 0:
+            trees[i][at].values[node] = value
+        else:
+            trees[i][at].splits.append((node, feature, cut, left, right))
+    for m, grown in zip(models, trees):
+        m.trees.extend(grown)
+
+
 def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, views: _Views, bins, jobs: Sequence[tuple], tasks: int) -> dict[tuple[int, int], np.ndarray]:
     """(fit, node) -> sums of gradient, curvature and rows per bin. A task returns its non-empty bins; with many tasks they are summed
     by a shuffle first, so the driver sees fits x nodes x bins at most ``DIRECT`` times over. ``jobs``: trees not yet in the
@@ -229,15 +297,8 @@ def _histograms(rows: DataFrame, cues: Sequence[str], symbols: int, views: _View
                     b = _bins_of(cell[at], bins.value[i])
                     score = known[offsets[at] + place] + predicted(trees, b, s[at])
                     p, w = 1 / (1 + np.exp(-score)), n[at] * weight[g[at]]
-                    node = nodes_of(splits, b, s[at])
-                    slot = np.full(max(node.max(), *wanted) + 1, -1)
-                    slot[wanted] = np.arange(len(wanted))
-                    of = slot[node]
-                    m = np.flatnonzero(of >= 0)
-                    code = of[m, None] * width + np.concatenate([b[m] + np.arange(k) * SIZE, k * SIZE + s[at][m, None]], axis=1)
-                    found = total.setdefault(i, np.zeros((len(wanted) * width, 3)))
-                    for j, v in enumerate((w * (p - y[at]), w * p * (1 - p), n[at])):
-                        found[:, j] += np.bincount(code.ravel(), weights=np.repeat(v[m], k + 1), minlength=len(found))
+                    found = _node_sums(b, s[at], nodes_of(splits, b, s[at]), wanted, (w * (p - y[at]), w * p * (1 - p), n[at]), symbols)
+                    total[i] = total[i] + found if i in total else found
         for i, found in total.items():
             used = np.flatnonzero(found[:, 2])
             yield pa.RecordBatch.from_arrays(
@@ -291,24 +352,37 @@ def _with_scores(rows: DataFrame, cues: Sequence[str], views: _Views, bins, star
 
 def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sums: GroupSums, symbols: int, refresh: int = 8) -> list[Boosted]:
     """Boosted logistic trees for all fits at once: ``rounds`` trees of at most ``leaves`` leaves each, grown best gain first, leaf values
-    shrunk by ``l2`` and ``rate``, groups weighted equally. Scores by earlier trees are stored every ``refresh`` rounds.
+    shrunk by ``l2`` and ``rate``, groups weighted equally. Passes over large views store the scores by earlier trees every ``refresh`` rounds.
 
     A fit that sees no rows or one label only gets no splits; ties go to the lower feature and bin. Rows need no null.
     """
     spark = rows.sparkSession
     seen = [k for k in sums.keys if any(k[0] in (SHARED, f.ctx) and k[1] not in f.out for f in fits)]
     table = stored(counted(rows, cues, seen), "boosting-cells")
-    counts = cell_counts(table, cues)
-    positives = {(r["ctx"], r["g"]): float(r["p"]) for r in table.groupBy("ctx", "g").agg(F.sum(F.col("y") * F.col("n")).alias("p")).collect()}
-    models, weights = [], []
+    counts = np.array(cell_counts(table, cues), dtype=np.int64)
+    per = {(r["ctx"], r["g"]): r for r in table.groupBy("ctx", "g").agg(F.sum(F.col("y") * F.col("n")).alias("p"), F.count(F.lit(1)).alias("size")).collect()}
+    cuts = {v: binned(counts, v, len(cues)) for v in {f.view for f in fits}}
+    models, weights, near = [], [], []
     for f in fits:
         w = sums.weights(f.view)
         mine = [(k, row[0]) for k, row, ok in zip(sums.keys, sums.sums, sums.seen(f.view)) if ok]
-        yes, all_ = sum(w[k[1]] * positives.get(k, 0.0) for k, _ in mine), sum(w[k[1]] * n for k, n in mine)
+        yes, all_ = sum(w[k[1]] * float(per[k]["p"]) for k, _ in mine), sum(w[k[1]] * n for k, n in mine)
         rate = min(max(yes / all_, 1e-12), 1 - 1e-12) if all_ else 0.5
-        models.append(Boosted(f, float(np.log(rate / (1 - rate))), binned(counts, f.view, len(cues)), []))
+        models.append(Boosted(f, float(np.log(rate / (1 - rate))), cuts[f.view], []))
         weights.append(w)
-    views, bins, starts = _Views(fits), spark.sparkContext.broadcast([m.bins for m in models]), [m.start for m in models]
+        near.append(sum(per[k]["size"] for k, _ in mine) <= NEAR)
+    few, many = ([i for i, one in enumerate(near) if one == side] for side in (True, False))
+    if few:
+        _grown_in_tasks(table, cues, symbols, [models[i] for i in few], [weights[i] for i in few], sums.keys)
+    if many:
+        _grown_by_passes(table, cues, symbols, [models[i] for i in many], [weights[i] for i in many], refresh)
+    return models
+
+
+def _grown_by_passes(table: DataFrame, cues: Sequence[str], symbols: int, models: Sequence[Boosted], weights: Sequence[np.ndarray], refresh: int) -> None:
+    """Grow all models together by passes over the counted rows; scores are stored every ``refresh`` rounds."""
+    spark, fits, starts = table.sparkSession, [m.fit for m in models], [m.start for m in models]
+    views, bins = _Views(fits), spark.sparkContext.broadcast([m.bins for m in models])
     table, at = _with_scores(table, cues, views, bins, starts, [[] for _ in models]), 0
     tasks = table.rdd.getNumPartitions()
     for t in range(max((f.rounds for f in fits), default=0)):
@@ -330,23 +404,35 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
         for m, g, f in zip(models, growers, fits):
             if t < f.rounds:
                 m.trees.append(g.tree())
-    return models
 
 
 def boosted_scores(rows: DataFrame, cues: Sequence[str], models: Sequence[Boosted], key: str = "key", on: str | None = None) -> DataFrame:
     """(key, model, score): score of every row under every model, or under the models whose name starts with the row's ``on`` and a bar."""
-    k, names = len(cues), [m.fit.name for m in models]
+    k, by_name = len(cues), {}
+    for m in models:
+        by_name.setdefault(m.fit.name.rsplit("|", 1)[0] if on else "", []).append(m)
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(1).to_numpy(zero_copy_only=False)
-            x = np.column_stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(k)]) if len(s) else np.zeros((0, k))
-            of = np.array(batch.column(2 + k).to_pylist() if on else [""] * len(s), dtype=object)
-            for m, name in zip(models, names):
-                at = np.flatnonzero(of == name.rsplit("|", 1)[0]) if on else np.arange(len(s))
-                if len(at):
-                    score = m.start + predicted(m.trees, _bins_of(cells(x[at]), m.bins), s[at])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([name] * len(at)), pa.array(score)], [key, "model", "score"])
+        for held in gathered(batches):
+            t = pa.Table.from_batches(held).combine_chunks()
+            s = t.column(1).fill_null(-1).to_numpy()
+            cell = cells(np.column_stack([t.column(2 + i).to_numpy() for i in range(k)]))
+            if on:
+                coded = t.column(2 + k).combine_chunks().dictionary_encode()
+                of, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            else:
+                of, known = np.zeros(len(s), dtype=np.int64), [""]
+            for j, name in enumerate(known):
+                mine = by_name.get(name, [])
+                at = np.flatnonzero(of == j) if mine else []
+                if len(at) == 0:
+                    continue
+                # equal rows are scored once
+                first, place = equal_rows([(s[at] + 1, int(s.max()) + 2), *((cell[at, i], 2 * REACH) for i in range(k))])
+                keys = t.column(0).take(pa.array(at)).combine_chunks()
+                for m in mine:
+                    score = m.start + predicted(m.trees, _bins_of(cell[at[first]], m.bins), s[at[first]])
+                    yield pa.RecordBatch.from_arrays([keys, pa.repeat(m.fit.name, len(at)), pa.array(score[place])], [key, "model", "score"])
 
     return rows.select(key, "s", *cues, *([on] if on else [])).mapInArrow(run, f"{key} {kind}, model string, score double")

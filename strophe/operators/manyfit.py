@@ -116,7 +116,7 @@ def _design(batches: Sequence[pa.RecordBatch], cues: int) -> tuple[np.ndarray, .
     return ctx[order], g[order], s[order], y[order].astype(np.float64), n[order], z
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[list[pa.RecordBatch]]:
+def gathered(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iterator[list[pa.RecordBatch]]:
     """Batches in lists of at least ``least`` rows: sums by context and symbol cost less on long runs."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -141,7 +141,7 @@ def newton_sums(rows: DataFrame, cues: Sequence[str], fits: Sequence[tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for held in _gathered(batches):
+        for held in gathered(batches):
             ctx, g, s, y, n, z = _design(held, k - 1)
             change = np.flatnonzero((np.diff(ctx) != 0) | (np.diff(s) != 0)) + 1
             runs = list(zip(np.concatenate([[0], change]).tolist(), np.concatenate([change, [len(s)]]).tolist()))

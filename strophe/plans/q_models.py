@@ -238,9 +238,9 @@ def fold_pipeline(spark, sf_dir):
 
 @query("fold_run")
 def fold_run(spark, sf_dir):
-    """What every fold and strategy chose among the logistic candidates, with its calibration."""
+    """What every fold and strategy chose among all candidates, with its calibration."""
     data = cues(spark, sf_dir)
-    _, chosen = fr.run_folds(data, conf(spark, sf_dir), _folds(data), fr.CANDIDATES[:4])
+    _, chosen = fr.run_folds(data, conf(spark, sf_dir), _folds(data))
     return chosen.select("cohort", "fold", "strategy", "candidate", "threshold", *[F.round(c, 5).alias(c) for c in ("dev_ap", "slope", "intercept", "f1")])
 
 

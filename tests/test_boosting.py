@@ -106,3 +106,40 @@ def test_every_context_scores_its_own_fits(spark):
         rows = spark.createDataFrame([(i, *r) for i, r in enumerate(seen)], "key long, ctx int, g int, s int, y int, a double, b double")
         got = {r["key"]: r["score"] for r in bo.boosted_scores(rows, CUES, [m]).collect()}
         assert np.abs(np.array([got[i] for i in range(len(seen))]) - want).max() < 1e-9
+
+
+def test_trees_grown_in_tasks_are_those_of_passes(spark, monkeypatch):
+    """Size decides who grows the trees of a view: one task, or passes over all of them."""
+    data = sample(900)
+    df = spark.createDataFrame(data, "ctx int, g int, s int, y int, a double, b double").repartition(3).persist()
+    fits = [bo.Boost("x", 0, frozenset(), rounds=5, min_rows=20), bo.Boost("y", 5, frozenset([3]), leaves=3, rounds=3), bo.Boost("z", 0, frozenset([2]), leaves=5, rounds=4, min_rows=20)]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "key long, ctx int, g int, s int, y int, a double, b double")
+    passes, real, found = [], bo._histograms, []
+
+    def noted(table, cues, symbols, views, *a):
+        passes.append(len(views.ctx))
+        return real(table, cues, symbols, views, *a)
+
+    monkeypatch.setattr(bo, "_histograms", noted)
+    for limit, models in ((1 << 18, 0), (500, 2), (0, 3)):
+        monkeypatch.setattr(bo, "NEAR", limit)
+        passes.clear()
+        grown = bo.boosted_fit(df, CUES, fits, mf.group_sums(df, CUES, 4), 3, refresh=2)
+        assert set(passes) == ({models} if models else set()) and [m.fit for m in grown] == fits and [len(m.trees) for m in grown] == [5, 3, 4]
+        found.append({(r["key"], r["model"]): r["score"] for r in bo.boosted_scores(rows, CUES, grown).collect()})
+    assert len(found[0]) == 3 * len(data) and all(f.keys() == found[0].keys() and max(abs(f[k] - found[0][k]) for k in f) < 1e-9 for f in found)
+
+
+def test_equal_rows_beyond_one_long_number():
+    r = np.random.default_rng(4)
+    cols = [(r.integers(0, 3, 400), 1 << 30) for _ in range(5)]
+    first, place = bo.equal_rows(cols)
+    table = np.column_stack([c for c, _ in cols])
+    assert len(first) == len(np.unique(table, axis=0)) and (table[first][place] == table).all()
+
+
+def test_rows_of_unknown_symbols_are_scored(spark):
+    df = spark.createDataFrame(sample(), "ctx int, g int, s int, y int, a double, b double")
+    models = bo.boosted_fit(df, CUES, [bo.Boost("x", 0, frozenset(), rounds=3, min_rows=20)], mf.group_sums(df, CUES, 4), 3)
+    rows = spark.createDataFrame([(i, s, 0.1, 1.0) for i, s in enumerate((0, None, 2, None))], "key long, s int, a double, b double")
+    assert {r["key"] for r in bo.boosted_scores(rows, CUES, models).where("NOT isnan(score)").collect()} == {0, 1, 2, 3}

@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from strophe.operators import priors as pr
 from strophe.plans import foldrun as fr
 from strophe.plans import q_models as qm
@@ -67,6 +68,21 @@ def test_labels_of_a_test_group_change_nothing_in_its_fold(inputs):
         assert runs[0] == runs[1] and len(runs[0][0]) == 2 * data.where(F.col("grp") == test).count()
 
 
+@pytest.mark.parametrize("name", ["fold_run", "fold_pipeline"])
+def test_queries_try_every_candidate(spark, sf_dir, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def noted(rows, fits, candidates, *a, **k):
+        raise Seen(fits, candidates)
+
+    monkeypatch.setattr(fr, "fit_all", noted)
+    with pytest.raises(Seen) as found:
+        entry.queries()[name](spark, sf_dir)
+    fits, candidates = found.value.args
+    assert len(candidates) == 8 and list(candidates) == list(fr.CANDIDATES) and len(fits) == 12 * len(fr.STRATEGIES)
+
+
 def test_inner_scores_never_see_their_group(inputs):
     data = inputs[0].where(qm.LABELLED).where("grp IN ('g00', 'g03', 'g08', 'g11')")
     groups = sorted(r[0] for r in data.select("grp").distinct().collect())
