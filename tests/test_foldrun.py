@@ -68,7 +68,7 @@ def test_labels_of_a_test_group_change_nothing_in_its_fold(inputs):
         assert runs[0] == runs[1] and len(runs[0][0]) == 2 * data.where(F.col("grp") == test).count()
 
 
-@pytest.mark.parametrize("name", ["fold_run", "fold_pipeline"])
+@pytest.mark.parametrize("name", ["fold_run", "freeze_then_evaluate", "fold_pipeline"])
 def test_queries_try_every_candidate(spark, sf_dir, monkeypatch, name):
     class Seen(Exception):
         pass
