@@ -77,10 +77,11 @@ def counted(rows: DataFrame, cues: Sequence[str], seen: Sequence[tuple[int, int]
     return mine.groupBy("ctx", "g", "s", "y", *[cell(c).alias(c) for c in cues]).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def cell_counts(table: DataFrame, cues: Sequence[str]) -> list:
-    """(ctx, g, cue, cell, n) of counted rows: bounded by contexts x groups x cells."""
+def cell_counts(table: DataFrame, cues: Sequence[str]) -> np.ndarray:
+    """A row (ctx, g, cue, cell, n) each of counted rows: bounded by contexts x groups x cells."""
     flat = table.select("ctx", "g", "n", F.posexplode(F.array(*cues)).alias("cue", "cell"))
-    return flat.groupBy("ctx", "g", "cue", "cell").agg(F.sum("n").cast("long").alias("n")).collect()
+    t = flat.groupBy("ctx", "g", "cue", "cell").agg(F.sum("n").cast("long").alias("n")).toArrow()
+    return np.column_stack([c.to_numpy().astype(np.int64) for c in t.columns])
 
 
 def binned(counts: Sequence, view, cues: int, bins: int = 255) -> np.ndarray:
@@ -262,7 +263,8 @@ def _grown_in_tasks(rows: DataFrame, cues: Sequence[str], symbols: int, models:
     mine = mine.select("fit", "s", "y", *cues, "n", (F.col("n") * F.col("w")).alias("w")).repartition(4 * len(models), "fit")
     t = mine.groupBy("fit").applyInArrow(grow, "fit int, tree int, node int, feature int, bin int, left int, right int, value double").toArrow()
     trees = [[Tree([], {}) for _ in range(m.fit.rounds)] for m in models]
-    for i, at, node, feature, cut, left, right, value in sorted(zip(*(c.to_pylist() for c in t.columns))):  # a parent's number is below its children's
+    order = np.lexsort([t.column(c).to_numpy() for c in ("node", "tree", "fit")])  # a parent's number is below its children's
+    for i, at, node, feature, cut, left, right, value in zip(*(c.to_numpy()[order].tolist() for c in t.columns)):
         if feature < 0:
             trees[i][at].values[node] = value
         else:
@@ -359,7 +361,7 @@ def boosted_fit(rows: DataFrame, cues: Sequence[str], fits: Sequence[Boost], sum
     spark = rows.sparkSession
     seen = [k for k in sums.keys if any(k[0] in (SHARED, f.ctx) and k[1] not in f.out for f in fits)]
     table = stored(counted(rows, cues, seen), "boosting-cells")
-    counts = np.array(cell_counts(table, cues), dtype=np.int64)
+    counts = cell_counts(table, cues)
     per = {(r["ctx"], r["g"]): r for r in table.groupBy("ctx", "g").agg(F.sum(F.col("y") * F.col("n")).alias("p"), F.count(F.lit(1)).alias("size")).collect()}
     cuts = {v: binned(counts, v, len(cues)) for v in {f.view for f in fits}}
     models, weights, near = [], [], []
